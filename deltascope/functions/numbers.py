@@ -53,9 +53,29 @@ def reasons(*rules: tuple[Column, Column | str]) -> Column:
     )
 
 
+def sql_text(value: str) -> str:
+    """A string literal for a SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_value(value) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, str):
+        return sql_text(value)
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def fixed_array(values: list, kind: str = "string") -> Column:
+    """A small fixed list as an array literal."""
+    return F.expr(f"cast(array({', '.join(_sql_value(value) for value in values)}) as array<{kind}>)")
+
+
 def lookup(key: Column, table: dict, default) -> Column:
     """Value of a small fixed table, as a map literal inside the expression."""
     if not table:
         return F.lit(default)
-    entries = [F.lit(item) for pair in table.items() for item in pair]
-    return F.coalesce(F.element_at(F.create_map(*entries), key), F.lit(default))
+    entries = ", ".join(f"{_sql_value(name)}, {_sql_value(value)}" for name, value in table.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), key), F.lit(default))

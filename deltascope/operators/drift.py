@@ -6,7 +6,7 @@ grouping by item and by pair inside that placement. Which columns identify an it
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope import vocab
-from deltascope.functions.numbers import any_where, count_where, flag, lookup, max_where, sum_where
+from deltascope.functions.numbers import any_where, count_where, fixed_array, lookup, max_where, sum_where
 from deltascope.operators import facts as fact_jobs
 
 _SEPARATOR = "\u001f"
@@ -236,7 +236,7 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
         ).alias("flows"),
     )
     severity = lambda rank, any_added: F.when(
-        any_added, F.element_at(F.array(*[F.lit(name) for name in vocab.SEVERITIES]), F.greatest(rank, F.lit(1)) + 1)
+        any_added, F.element_at(fixed_array(vocab.SEVERITIES), F.greatest(rank, F.lit(1)) + 1)
     ).otherwise("None")
     shaped = (
         aggregated.withColumn("max_added_permission_severity", severity(F.col("_added_permission_rank"), F.size("added_permissions") > 0))
@@ -281,7 +281,7 @@ def file_drift(drift_items: DataFrame) -> DataFrame:
 def permission_drift(drift_items: DataFrame) -> DataFrame:
     return drift_items.where(F.col("kind") == "permission").select(
         "pair_id", F.col("key").alias("permission"), "status", F.col("weight").alias("score"),
-        F.element_at(F.array(*[F.lit(name) for name in vocab.SEVERITIES]), F.col("rank") + 1).alias("level"),
+        F.element_at(fixed_array(vocab.SEVERITIES), F.col("rank") + 1).alias("level"),
     )
 
 
@@ -295,7 +295,7 @@ def api_drift(drift_items: DataFrame) -> DataFrame:
     return drift_items.where(F.col("kind") == "api").select(
         "pair_id", "first.path", F.col("first.name").alias("api_name"), "status", "n_old", "n_new",
         F.col("first.line").alias("first_line"), F.col("first.type").alias("category"),
-        F.element_at(F.array(*[F.lit(name) for name in vocab.SEVERITIES]), F.col("rank") + 1).alias("severity"),
+        F.element_at(fixed_array(vocab.SEVERITIES), F.col("rank") + 1).alias("severity"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope import vocab
 from deltascope.functions import hosts, text
-from deltascope.functions.numbers import lookup
+from deltascope.functions.numbers import fixed_array, lookup, sql_text
 from deltascope.operators import lexing
 
 _FIELDS = {
@@ -36,7 +36,10 @@ def _fact(kind: str, *, path=None, stage=0, line=None, phase=0, position=0, **va
     )
     given = {"kind": F.lit(kind), "path": path, "line": line, "at": order, **values}
     return F.struct(
-        *[as_column(given.get(name)).cast(dtype).alias(name) for name, dtype in _FIELDS.items()]
+        *[
+            as_column(given[name]).cast(dtype).alias(name) if name in given else F.expr(f"cast(null as {dtype}) as {name}")
+            for name, dtype in _FIELDS.items()
+        ]
     )
 
 
@@ -91,62 +94,60 @@ def permission_facts(manifests: DataFrame, risk: dict | None = None) -> DataFram
     return _spread(manifests, F.concat(permissions, host_list, optional, fields))
 
 
-# -- script lines -----------------------------------------------------------
-def _pattern_hits(body: Column, patterns: list[dict], make) -> list[Column]:
-    """One optional fact per pattern; the anchor test keeps most regular expressions from running."""
-    hits = []
-    for position, spec in enumerate(patterns):
-        matched = body.rlike("(?U)" + spec["pattern"])
-        if spec.get("anchor"):
-            matched = body.contains(spec["anchor"]) & matched
-        hits.append(F.when(matched, make(spec, position)))
-    return hits
-
-
-def api_hits(code_only: Column, clean: Column, path: Column, line: Column, patterns=None) -> list[Column]:
-    snippet = F.substring(F.trim(clean), 1, 100)
-    return _pattern_hits(
-        code_only,
-        vocab.API_PATTERNS if patterns is None else patterns,
-        lambda spec, position: _fact(
-            "api", path=path, line=line, position=position, name=spec["name"], type=spec["category"],
-            rank=vocab.severity_rank(spec["severity"]), detail=snippet,
-            source=F.regexp_extract(code_only, "(?U)" + spec["pattern"], 0),
-        ),
-    )
+# -- script text ------------------------------------------------------------
+class PatternTable:
+    """The line patterns of one run as parallel lists; a hit is a position in them.
 
+    Rows carry only the positions that matched, so the expression per line is one boolean per pattern
+    and everything else about a hit is looked up once it exists. Patterns are data: pass other lists to
+    look for other things.
+    """
 
-def obfuscation_hits(clean: Column, path: Column, line: Column, patterns=None) -> list[Column]:
-    return _pattern_hits(
-        clean,
-        vocab.OBFUSCATION_PATTERNS if patterns is None else patterns,
-        lambda spec, position: _fact(
-            "obfuscation", path=path, line=line, position=position, name=spec["name"], type=spec["name"],
-            weight=spec["score"], detail=spec["description"], source=F.substring(F.trim(clean), 1, 100),
-        ),
-    )
+    def __init__(self, api_patterns=None, obfuscation_patterns=None, flow_sources=None, flow_sinks=None):
+        default = lambda given, fixed: fixed if given is None else given
+        groups = [
+            ("api", True, default(api_patterns, vocab.API_PATTERNS)),
+            ("obfuscation", False, default(obfuscation_patterns, vocab.OBFUSCATION_PATTERNS)),
+            ("flow_source", True, default(flow_sources, vocab.FLOW_SOURCES)),
+            ("flow_sink", True, default(flow_sinks, vocab.FLOW_SINKS)),
+        ]
+        self.rows = [
+            {
+                "kind": kind, "masked": masked, "position": position, "name": spec["name"],
+                "pattern": "(?U)" + spec["pattern"], "anchor": spec.get("anchor", ""),
+                "type": spec.get("category", spec["name"]), "weight": spec.get("score"),
+                "rank": vocab.severity_rank(spec["severity"]) if "severity" in spec else None,
+                "description": spec.get("description"),
+            }
+            for kind, masked, specs in groups
+            for position, spec in enumerate(specs)
+        ]
 
+    def hits(self, code_only: str, clean: str) -> Column:
+        """Positions of the patterns found in a line; the anchor test keeps most expressions from running."""
+        cases = []
+        for at, row in enumerate(self.rows):
+            body = code_only if row["masked"] else clean
+            test = f"{body} rlike {sql_text(row['pattern'])}"
+            if row["anchor"]:
+                test = f"contains({body}, {sql_text(row['anchor'])}) and {test}"
+            cases.append(f"case when {test} then {at} end")
+        return F.expr(f"array_compact(cast(array({', '.join(cases)}) as array<int>))")
 
-def flow_hits(code_only: Column, clean: Column, path: Column, line: Column, sources=None, sinks=None) -> list[Column]:
-    snippet = F.substring(F.trim(clean), 1, 120)
-    make = lambda kind: lambda spec, position: _fact(
-        kind, path=path, line=line, position=position, name=spec["name"], detail=snippet
-    )
-    return _pattern_hits(code_only, vocab.FLOW_SOURCES if sources is None else sources, make("flow_source")) + _pattern_hits(
-        code_only, vocab.FLOW_SINKS if sinks is None else sinks, make("flow_sink")
-    )
+    def of(self, hit: Column, field: str, kind: str) -> Column:
+        return F.get(fixed_array([row[field] for row in self.rows], kind), hit)
 
 
-# -- network ----------------------------------------------------------------
 _ADDRESS = "(?iU)" + vocab.URL_PATTERN
 _SOCKET = "(?iU)" + vocab.WEBSOCKET_PATTERN
 # What an address covers. A port that runs on into more host characters stays outside, because then a
 # bare address or domain starting at the port is a finding of its own.
 _COVERED = (
-    r"(?iU)\b?(https?|wss?)(://(?:\[[0-9a-fA-F:]+\]|[a-zA-Z0-9.\-]+)"
-    r"(?:(?::\d++(?![A-Za-z0-9.\-]))?(?:/[^\s'\"`<>]*)?)?)"
+    r"(?iU)(https?|wss?)(://(?:\[[0-9a-fA-F:]+\]|[a-zA-Z0-9.\-]+)"
+    r"(?::\d++(?![A-Za-z0-9.\-]))?(?:/[^\s'\"`<>]*)?)"
 )
-# Calls whose literal argument is a destination, and the text up to that literal
+# Calls whose literal argument is a destination: kind, expression, and the text before the destination.
+# A literal that is never closed by a plain quote ends at its last escaped one.
 _CLOSED = r"(?:(?:\\.|(?!\{0})[^\\])*+\{0}|.*\\\{0})"
 _SINKS = [
     ("Fetch_Destination", r"\bfetch\s*\(\s*(['\"`])" + _CLOSED.format(1), r"^fetch\s*\(\s*['\"`]"),
@@ -162,145 +163,175 @@ _SINKS = [
         r"^navigator\.sendBeacon\s*\(\s*['\"`]",
     ),
 ]
-_FOUND = "struct<type:string,value:string>"
-
-
-def _found(kind: str, values: Column) -> Column:
-    return F.transform(
-        values,
-        lambda value: F.struct(
-            F.lit(kind).alias("type"), F.regexp_replace(value, r"[).,;]+$", "").alias("value")
-        ),
-    )
+_SCAN = "struct<hit:int,scan:string,bare:boolean,source:string,phase:int,position:int>"
+# Without one of these marks no endpoint can match.
+_ENDPOINT_MARKS = r"://|[0-9]\.[0-9]|[A-Za-z0-9-]\.[A-Za-z]"
 
 
-def endpoints(body: Column, bare_domains: bool) -> Column:
-    """URLs, sockets, addresses and (on request) bare domains of a text, in finding order."""
-    rest = F.regexp_replace(body, _COVERED, "$1 ")
-    kinds = [
-        _found("URL", F.regexp_extract_all(body, F.lit(_ADDRESS), F.lit(0))),
-        _found("WebSocket", F.regexp_extract_all(body, F.lit(_SOCKET), F.lit(0))),
-        _found("IPv4", F.regexp_extract_all(rest, F.lit("(?U)" + vocab.IPV4_PATTERN), F.lit(0))),
-    ]
-    if bare_domains:
-        domains = F.regexp_extract_all(rest, F.lit("(?iU)" + vocab.DOMAIN_PATTERN), F.lit(0))
-        suffix = lambda value: F.lower(
-            F.element_at(F.split(F.split(F.split(value, "/")[0], ":")[0], r"\."), -1)
-        )
-        kinds.append(_found("Domain", F.filter(domains, lambda value: ~suffix(value).isin(vocab.NON_NETWORK_TLDS))))
-    empty = F.array().cast(f"array<{_FOUND}>")
-    # Without one of these marks nothing can match, so most texts skip all the expressions above.
-    marks = r"://|\d\.\d" + (r"|[A-Za-z0-9-]\.[A-Za-z]" if bare_domains else "")
-    return F.when(body.rlike(marks), F.concat(*kinds)).otherwise(empty)
-
-
-def sink_endpoints(clean: Column) -> Column:
-    """Endpoints inside the literal destination of a call, with the call kind as source."""
-    found = []
+def sink_destinations(clean: Column) -> Column:
+    """Literal destinations of outbound calls, as scans, in the order of the call kinds."""
+    per_kind = []
     for kind, pattern, prefix in _SINKS:
-        destinations = F.transform(
-            F.regexp_extract_all(clean, F.lit("(?U)" + pattern), F.lit(0)),
-            lambda hit: F.regexp_replace(hit, "(?U)" + prefix, ""),
-        )
-        inner = F.transform(destinations, lambda value: value.substr(F.lit(1), F.length(value) - 1))
-        found.append(
+        per_kind.append(
             F.transform(
-                F.flatten(F.transform(inner, lambda value: endpoints(value, True))),
-                lambda item: F.struct(item["type"].alias("type"), item["value"].alias("value"), F.lit(kind).alias("source")),
+                F.regexp_extract_all(clean, F.lit("(?U)" + pattern), F.lit(0)),
+                lambda hit, at: _scan(F.regexp_replace(F.regexp_replace(hit, "(?U)" + prefix, ""), r"(?s).$", ""), True, kind, 1, at),
             )
         )
-    empty = F.array().cast("array<struct<type:string,value:string,source:string>>")
-    return F.when(clean.rlike(r"fetch|\.open|WebSocket|sendBeacon"), F.concat(*found)).otherwise(empty)
+    return F.when(clean.rlike(r"fetch|\.open|WebSocket|sendBeacon"), F.concat(*per_kind)).otherwise(_no_scans())
 
 
-def _network_fact(item: Column, position: Column, path, line, stage, seq, phase, source, decoded=False, preview=None) -> Column:
-    value = item["value"]
-    return _fact(
-        "network", path=path, line=line, stage=stage, phase=seq * 4 + phase, position=position, name=value,
-        type=item["type"], local=hosts.is_local(value), plain_http=hosts.is_plain_http(value), decoded=decoded,
-        source=source, detail=preview,
+def _no_scans() -> Column:
+    return F.array().cast(f"array<{_SCAN}>")
+
+
+def _scan(body, bare: bool, source: str, phase: int, position=None) -> Column:
+    return F.struct(
+        F.lit(None).cast("int").alias("hit"), body.alias("scan"), F.lit(bare).alias("bare"),
+        F.lit(source).alias("source"), F.lit(phase).alias("phase"),
+        (F.lit(0) if position is None else position).cast("int").alias("position"),
     )
 
 
-def line_network(clean: Column, path: Column, line: Column) -> Column:
-    zero = F.lit(0)
-    static = F.transform(
-        endpoints(clean, False),
-        lambda item, at: _network_fact(item, at, path, line, 0, zero, 0, F.lit("static_literal")),
+def uncovered(body: Column) -> Column:
+    """The text with every URL and socket cut down to its scheme, for finds that are not inside one."""
+    return F.when(body.contains("://"), F.regexp_replace(body, _COVERED, "$1 ")).otherwise(body)
+
+
+def found_endpoints(body: Column, rest: Column, bare: Column) -> Column:
+    """URLs, sockets, IPv4 addresses and, where `bare`, domains of a text, as {type, value}."""
+    whole = lambda column, pattern: F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
+    tagged = lambda kind, values: F.transform(
+        values, lambda value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
     )
-    sinks = F.transform(
-        sink_endpoints(clean), lambda item, at: _network_fact(item, at, path, line, 0, zero, 1, item["source"])
+    suffix = lambda value: F.lower(F.element_at(F.split(F.split(value, "[/:]")[0], r"\."), -1))
+    domains = F.filter(
+        whole(rest, "(?iU)" + vocab.DOMAIN_PATTERN), lambda value: ~suffix(value).isin(vocab.NON_NETWORK_TLDS)
     )
-    return F.concat(static, sinks)
+    return F.when(
+        body.rlike(_ENDPOINT_MARKS),
+        F.concat(
+            tagged("URL", whole(body, _ADDRESS)),
+            tagged("WebSocket", whole(body, _SOCKET)),
+            tagged("IPv4", whole(rest, "(?U)" + vocab.IPV4_PATTERN)),
+            tagged("Domain", F.when(bare, domains).otherwise(F.array().cast("array<string>"))),
+        ),
+    ).otherwise(F.array().cast("array<struct<type:string,value:string>>"))
 
 
-def literal_network(value: Column, path: Column, line: Column, seq: Column) -> Column:
-    plain = F.transform(
-        endpoints(value, True),
-        lambda item, at: _network_fact(item, at, path, line, 1, seq, 2, F.lit("string_literal")),
-    )
-    decoded_text = F.coalesce(text.decoded_base64(value), F.lit(""))
-    decoded = F.transform(
-        endpoints(decoded_text, True),
-        lambda item, at: _network_fact(
-            item, at, path, line, 1, seq, 3, F.lit(vocab.DECODED_SOURCE), True, F.substring(value, 1, 80)
+def literal_obfuscation(script: Column, value: Column, bits: Column) -> Column:
+    """Name of the obfuscation sign a literal shows, if any."""
+    return F.when(
+        script & (F.length(value) >= vocab.HIGH_ENTROPY["min_length"]),
+        F.when(bits >= vocab.HIGH_ENTROPY["min_entropy"], vocab.HIGH_ENTROPY["name"]).when(
+            (F.length(value) >= vocab.LONG_BASE64["min_length"]) & value.rlike(r"^[A-Za-z0-9+/=]+$"),
+            vocab.LONG_BASE64["name"],
         ),
     )
-    return F.concat(plain, decoded)
 
 
-def literal_obfuscation(value: Column, path: Column, line: Column, seq: Column) -> Column:
-    """High-entropy or long base64 literal, as an array of at most one fact."""
-    long_enough = F.length(value) >= vocab.HIGH_ENTROPY["min_length"]
-    bits = F.when(long_enough, text.entropy(value))
-    make = lambda spec, description: _fact(
-        "obfuscation", path=path, line=line, stage=1, phase=seq, name=spec["name"], type=spec["name"],
-        weight=spec["score"], detail=description, source=F.concat(F.substring(value, 1, 60), F.lit("...")),
-    )
-    entropy_text = F.concat(F.lit("High Shannon entropy string detected (H="), F.format_string("%.2f", bits), F.lit(")."))
-    return F.array_compact(
-        F.array(
-            F.when(bits >= vocab.HIGH_ENTROPY["min_entropy"], make(vocab.HIGH_ENTROPY, entropy_text)).when(
-                long_enough
-                & (F.length(value) >= vocab.LONG_BASE64["min_length"])
-                & value.rlike(r"^[A-Za-z0-9+/=]+$"),
-                make(vocab.LONG_BASE64, F.lit(vocab.LONG_BASE64["description"])),
-            )
+def script_scans(files: DataFrame, table: PatternTable) -> DataFrame:
+    """What is found per fragment: pattern hits, and texts to look through for endpoints."""
+    part, script, body = F.col("part"), F.col("script"), F.col("body")
+    is_line, is_literal = part == "line", part == "literal"
+    staged = (
+        lexing.fragments(files)
+        .where(body != "")
+        .withColumns(
+            {
+                "code_only": F.when(is_line & script, text.mask_literals(body)),
+                "bits": F.when(is_literal & script & (F.length(body) >= vocab.HIGH_ENTROPY["min_length"]), text.entropy(body)),
+                "decoded": F.when(is_literal, text.decoded_base64(body)),
+            }
         )
+        .withColumn("hits", F.when(is_line & script, table.hits("code_only", "body")))
+    )
+    as_hits = F.transform(
+        "hits",
+        lambda hit: F.struct(
+            hit.alias("hit"), F.lit(None).cast("string").alias("scan"), F.lit(False).alias("bare"),
+            F.lit(None).cast("string").alias("source"), F.lit(0).alias("phase"), F.lit(0).alias("position"),
+        ),
+    )
+    line_jobs = F.concat(
+        F.coalesce(as_hits, _no_scans()), F.array(_scan(body, False, "static_literal", 0)), sink_destinations(body)
+    )
+    literal_jobs = F.array(
+        _scan(body, True, "string_literal", 2), _scan(F.coalesce("decoded", F.lit("")), True, vocab.DECODED_SOURCE, 3)
+    )
+    symbol = F.array(_scan(F.lit(None).cast("string"), False, "symbol", 0))
+    jobs = F.when(is_line, line_jobs).when(is_literal, literal_jobs).otherwise(symbol)
+    exploded = staged.select("package_id", "path", "script", "part", "line", "seq", "body", "bits", F.inline(jobs))
+    sign = literal_obfuscation(script, body, F.col("bits"))
+    # A literal's own sign rides on its first scan.
+    return exploded.withColumn("sign", F.when(is_literal & (F.col("phase") == 2), sign)).where(
+        F.col("hit").isNotNull() | F.col("sign").isNotNull() | (F.col("source") == "symbol") | F.col("scan").rlike(_ENDPOINT_MARKS)
     )
 
 
-def script_facts(
-    files: DataFrame, api_patterns=None, obfuscation_patterns=None, flow_sources=None, flow_sinks=None
-) -> DataFrame:
+def script_facts(files: DataFrame, **patterns) -> DataFrame:
     """API, network, obfuscation, flow and symbol facts of all files, from one pass over the text."""
-    parts = lexing.fragments(files).withColumn(
-        "code_only", F.when(F.col("script") & (F.col("part") == "line"), text.mask_literals(F.col("body")))
+    table = PatternTable(**patterns)
+    scans = script_scans(files, table)
+    body, hit, sign = F.col("body"), F.col("hit"), F.col("sign")
+    # Endpoints of a scan, plus one entry for a hit, a sign or a symbol.
+    found_type = "array<struct<type:string,value:string>>"
+    staged = scans.withColumn("rest", uncovered(F.col("scan")))
+    endpoints = found_endpoints(F.col("scan"), F.col("rest"), F.col("bare"))
+    own = F.when(
+        hit.isNotNull() | sign.isNotNull() | (F.col("source") == "symbol"),
+        F.array(F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("value"))),
+    ).otherwise(F.array().cast(found_type))
+    rows = staged.select(
+        "package_id", "path", "part", "line", "seq", "body", "bits", "hit", "sign", "source", "phase", "position",
+        F.posexplode(F.concat(own, endpoints)).alias("found_at", "found"),
+    ).withColumn("value", F.regexp_replace("found.value", r"[).,;]+$", ""))
+    is_network = F.col("value").isNotNull()
+    kind = (
+        F.when(is_network, "network")
+        .when(hit.isNotNull(), table.of(hit, "kind", "string"))
+        .when(sign.isNotNull(), "obfuscation")
+        .otherwise(F.col("part"))
     )
-    part, path, line, seq = F.col("part"), F.col("path"), F.col("line"), F.col("seq")
-    body, code_only = F.col("body"), F.col("code_only")
-    script_line = F.array_compact(
-        F.array(
-            *api_hits(code_only, body, path, line, api_patterns),
-            *obfuscation_hits(body, path, line, obfuscation_patterns),
-            *flow_hits(code_only, body, path, line, flow_sources, flow_sinks),
-        )
+    rows = rows.withColumn("kind", kind)
+    kind = F.col("kind")
+    by_hit = lambda field, dtype: F.when(hit.isNotNull(), table.of(hit, field, dtype))
+    sign_row = lambda field: F.when(sign == vocab.HIGH_ENTROPY["name"], F.lit(vocab.HIGH_ENTROPY[field])).when(
+        sign == vocab.LONG_BASE64["name"], F.lit(vocab.LONG_BASE64[field])
     )
-    symbol = lambda kind: F.array(_fact(kind, path=path, name=body))
-    none = F.slice(F.array(_fact("function", path=path, name=body)), 1, 0)
-    found = (
-        F.when(part == "line", F.concat(F.when(F.col("script"), script_line).otherwise(none), line_network(body, path, line)))
-        .when(
-            part == "literal",
-            F.concat(
-                F.when(F.col("script"), literal_obfuscation(body, path, line, seq)).otherwise(none),
-                literal_network(body, path, line, seq),
-            ),
-        )
-        .when(part == "function", symbol("function"))
-        .otherwise(symbol("listener"))
+    entropy_text = F.concat(F.lit("High Shannon entropy string detected (H="), F.format_string("%.2f", "bits"), F.lit(")."))
+    sign_text = F.when(sign == vocab.HIGH_ENTROPY["name"], entropy_text).otherwise(F.lit(vocab.LONG_BASE64["description"]))
+    of_line = F.trim(body)
+    network = lambda column: F.when(is_network, column)
+    in_literal = F.col("part") == "literal"
+    values = {
+        "name": F.coalesce(network(F.col("value")), by_hit("name", "string"), sign, body),
+        "type": F.coalesce(network(F.col("found.type")), by_hit("type", "string"), sign),
+        "weight": F.when(~is_network, F.coalesce(by_hit("weight", "int"), sign_row("score"))),
+        "rank": by_hit("rank", "int"),
+        "local": network(hosts.is_local(F.col("value"))),
+        "plain_http": network(hosts.is_plain_http(F.col("value"))),
+        "decoded": network(F.col("source") == vocab.DECODED_SOURCE),
+        "source": network(F.col("source")),
+        "detail": F.when(is_network, F.when(F.col("source") == vocab.DECODED_SOURCE, F.substring(body, 1, 80)))
+        .when(kind == "api", F.substring(of_line, 1, 100))
+        .when(kind.isin(*("flow_source", "flow_sink")), F.substring(of_line, 1, 120))
+        .when(sign.isNotNull(), sign_text)
+        .when(hit.isNotNull(), by_hit("description", "string")),
+    }
+    order = F.struct(
+        F.col("path").alias("path"),
+        F.when(in_literal, 1).otherwise(0).alias("stage"),
+        F.col("line").alias("line"),
+        # Within a line: calls after plain finds; within literals: literal by literal, decoded text last.
+        (F.when(in_literal, F.col("seq") * 4).otherwise(0) + F.coalesce("phase", F.lit(0))).cast("int").alias("phase"),
+        F.coalesce(by_hit("position", "int"), F.col("position") * 1000 + F.col("found_at")).cast("int").alias("position"),
+    )
+    columns = {"kind": kind, "path": F.col("path"), "line": F.when(F.col("line") > 0, F.col("line")), "at": order, **values}
+    return rows.select(
+        F.col("package_id").cast("string").alias("package_id"),
+        *[columns.get(name, F.lit(None)).cast(dtype).alias(name) for name, dtype in _FIELDS.items()],
     )
-    return _spread(parts.where(F.col("body") != ""), found)
 
 
 def first_per_line(facts: DataFrame) -> DataFrame:

@@ -1,0 +1,20 @@
+"""Joins that stay balanced when one key holds a large part of the rows."""
+from pyspark.sql import DataFrame, functions as F
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str, by: list[str], how: str = "left",
+                ways: int = 64, share: int = 1000) -> DataFrame:
+    """Join rows to a table with one row per key, splitting the rows of frequent keys over many tasks.
+
+    `size` is the column of `per_key` that counts the rows of the key; a key is frequent when it has more
+    than 1/share of all rows, so there are fewer than `share` of them and the list may be broadcast. Rows
+    of such a key are spread by a hash of the columns `by`, and its one row is repeated for each part.
+    """
+    total = per_key.agg(F.sum(size))
+    hot = per_key.where(F.col(size) * share > total.scalar()).select(*keys, F.lit(True).alias("_hot"))
+    is_hot = F.coalesce("_hot", F.lit(False))
+    part = F.pmod(F.xxhash64(*[F.col(name) for name in by]), F.lit(ways)).cast("int")
+    spread = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.when(is_hot, part).otherwise(0)).drop("_hot")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    repeated = per_key.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(copies)).drop("_hot")
+    return spread.join(repeated, [*keys, "_part"], how).drop("_part")

@@ -15,6 +15,8 @@ def local_session(app: str = "deltascope", cores: str = "8", partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Plans here are built from thousands of column calls; call-site capture would dominate building them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
