@@ -23,7 +23,7 @@ COLUMNS = ["package_id", *_FIELDS]
 SCHEMA = "package_id string, " + ", ".join(f"{name} {kind}" for name, kind in _FIELDS.items())
 
 
-def _fact(kind: str, *, path=None, stage=0, line=None, phase=0, position=0, **values) -> Column:
+def fact(kind: str, *, path=None, stage=0, line=None, phase=0, position=0, **values) -> Column:
     """One fact as a struct; fields that are not given are null."""
     as_column = lambda value: value if isinstance(value, Column) else F.lit(value)
     path, line = as_column(path), as_column(line)
@@ -52,11 +52,11 @@ def file_facts(files: DataFrame) -> DataFrame:
     """One fact per file; a .wasm file is also an obfuscation fact. Content is not read."""
     path = F.col("path")
     name = F.element_at(F.split(path, "/"), -1)
-    file = _fact(
+    file = fact(
         "file", path=path, name=name, type=F.when(name.endswith(".js"), "script").otherwise("other"),
         detail=F.col("sha256"), size=F.col("size"),
     )
-    wasm = _fact(
+    wasm = fact(
         "obfuscation", path=path, line=1, name=F.lit(vocab.WASM_FILE["name"]), type=vocab.WASM_FILE["name"],
         weight=vocab.WASM_FILE["score"], detail=vocab.WASM_FILE["description"], source=name,
     )
@@ -72,19 +72,19 @@ def permission_facts(manifests: DataFrame, risk: dict | None = None) -> DataFram
 
     permissions = F.transform(
         "permissions",
-        lambda name: _fact(
+        lambda name: fact(
             "permission", name=name, weight=lookup(name, scores, default_score),
             rank=lookup(name, ranks, vocab.severity_rank(default_level)),
         ),
     )
     host_list = F.transform(
         "hosts",
-        lambda name: _fact("host", name=name, weight=hosts.host_scope_score(name), type=hosts.host_scope(name)),
+        lambda name: fact("host", name=name, weight=hosts.host_scope_score(name), type=hosts.host_scope(name)),
     )
-    optional = F.transform("optional_permissions", lambda name: _fact("optional", name=name))
+    optional = F.transform("optional_permissions", lambda name: fact("optional", name=name))
     fields = F.array(
         *[
-            _fact("manifest", name=F.lit(field), detail=F.col(field).cast("string"))
+            fact("manifest", name=F.lit(field), detail=F.col(field).cast("string"))
             for field in (
                 "name", "version", "manifest_version", "background", "content_scripts",
                 "content_security_policy", "externally_connectable", "web_accessible_resource_count",

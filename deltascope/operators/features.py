@@ -93,7 +93,8 @@ def feature_table(pairs: DataFrame, summary: DataFrame) -> DataFrame:
     joined = described.join(features, "pair_id", "left")
     return joined.select(
         *[C(f"_{name}").alias(name) for name in vocab.METADATA_COLUMNS],
-        *[F.coalesce(name, F.lit(0.0)).alias(name) for name in vocab.feature_names()],
+        # A pair without any fact has zero drift, which is not the same as a failed analyser.
+        *[F.coalesce(name, F.lit(1.0 if name.endswith("_available") else 0.0)).alias(name) for name in vocab.feature_names()],
     )
 
 

@@ -213,10 +213,18 @@ def error_category(label: Column) -> Column:
     )
 
 
+# What an error row shows of its pair
+ERROR_FIELDS = [
+    "label", "permission_risk_delta", "host_scope_score_delta", "new_external_network_count", "added_obfuscation_score",
+    "source_sink_flow_count", "service_worker_introduced", "added_api_count",
+]
+
+
 def attributed_errors(predictions: DataFrame, features: DataFrame) -> DataFrame:
-    """Wrong predictions joined to their feature rows, with a category."""
+    """Wrong predictions joined to the telling features of their pair, with a category."""
     wrong = predictions.where(C("truth") != C("predicted")).select("model", "record_id", "predicted", "score")
-    return wrong.join(features, "record_id").withColumn("failure_category", error_category(C("label")))
+    shown = features.select("record_id", *ERROR_FIELDS)
+    return wrong.join(shown, "record_id").withColumn("failure_category", error_category(C("label")))
 
 
 def error_breakdown(errors: DataFrame) -> DataFrame:
