@@ -1,5 +1,6 @@
 """All registered queries."""
-from deltascope.queries import drift_queries
+from deltascope.queries import drift_queries, text_queries
 
-QUERIES = {**drift_queries.QUERIES}
-ORACLES = {**drift_queries.ORACLES}
+_MODULES = [drift_queries, text_queries]
+QUERIES = {name: function for module in _MODULES for name, function in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

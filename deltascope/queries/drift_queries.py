@@ -5,6 +5,7 @@ from deltascope import vocab
 from deltascope.functions.numbers import half_even
 from deltascope.operators import audits, drift, features, metrics, reviews, scoring, splits
 from deltascope.queries import tables as t
+from deltascope.session import ensure_checkpoint_dir
 
 C = F.col
 QUERIES, ORACLES = {}, {}
@@ -289,9 +290,18 @@ ranked AS (SELECT CAST(max(p) AS BIGINT) AS positive_count, CAST(max(n) AS BIGIN
   round(sum(pos * (CAST(p - pos_below AS DOUBLE) / (p - pos_below + n - neg_below))) / max(p), 6) AS pr_auc FROM below)"""
 
 
+def stored_features(spark, sf_dir):
+    """The feature table as stored rows: evaluation reads it several times and must not rebuild it."""
+    ensure_checkpoint_dir(spark)
+    return pair_features(spark, sf_dir).checkpoint()
+
+
+def predictions_of(rows):
+    return metrics.score_predictions(scoring.score(scoring.summary_from_features(features.supervised(rows))))
+
+
 def scorer_predictions(spark, sf_dir):
-    rows = features.supervised(pair_features(spark, sf_dir))
-    return metrics.score_predictions(scoring.score(scoring.summary_from_features(rows)))
+    return predictions_of(stored_features(spark, sf_dir))
 
 
 @query(f"WITH {SCORER_SQL} SELECT pair_id AS record_id, score, predicted, truth FROM predictions")
@@ -340,14 +350,16 @@ _CATEGORY_SQL = """CASE WHEN label = 'benign_transition' THEN 'benign update fla
 @query(f"WITH {SCORER_SQL} SELECT model, {_CATEGORY_SQL} AS failure_category, count(CASE WHEN label = 'benign_transition' THEN 1 END) AS false_positives, count(CASE WHEN label = 'risky_transition' THEN 1 END) AS false_negatives FROM predictions WHERE truth <> predicted GROUP BY 1, 2")
 def error_breakdown(spark, sf_dir):
     """False positives and negatives by category."""
-    errors = metrics.attributed_errors(scorer_predictions(spark, sf_dir), pair_features(spark, sf_dir).drop("score"))
+    rows = stored_features(spark, sf_dir)
+    errors = metrics.attributed_errors(predictions_of(rows), rows)
     return metrics.error_breakdown(errors)
 
 
 @query(f"WITH {SCORER_SQL} SELECT pair_id AS record_id, model, {_CATEGORY_SQL} AS failure_category, score FROM predictions WHERE truth <> predicted")
 def error_attribution(spark, sf_dir):
     """Every wrong prediction with its category."""
-    errors = metrics.attributed_errors(scorer_predictions(spark, sf_dir), pair_features(spark, sf_dir))
+    rows = stored_features(spark, sf_dir)
+    errors = metrics.attributed_errors(predictions_of(rows), rows)
     return errors.select("record_id", "model", "failure_category", "score")
 
 

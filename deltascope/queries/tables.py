@@ -257,14 +257,14 @@ codeline AS (
   SELECT id, line, clean, {masked_sql('clean')} AS code_only
   FROM (SELECT id, unnest(ls) AS clean, generate_subscripts(ls, 1) AS line FROM cut)),
 tok AS (
-  SELECT id, unnest(ts) AS x, generate_subscripts(ts, 1) AS at
+  SELECT id, unnest(ts) AS x, generate_subscripts(ts, 1) AS place
   FROM (SELECT id, regexp_extract_all(clean, {TOKEN_SQL}, 1) AS ts FROM src)),
 tokline AS (
-  SELECT *, 1 + coalesce(sum(length(x) - length(replace(x, chr(10), ''))) OVER (PARTITION BY id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
+  SELECT *, 1 + coalesce(sum(length(x) - length(replace(x, chr(10), ''))) OVER (PARTITION BY id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
   FROM tok),
 lit AS (
-  SELECT id, CAST(line AS BIGINT) AS line, at, x[2:-2] AS value,
-         row_number() OVER (PARTITION BY id, line ORDER BY at) - 1 AS seq
+  SELECT id, CAST(line AS BIGINT) AS line, place, x[2:-2] AS value,
+         row_number() OVER (PARTITION BY id, line ORDER BY place) - 1 AS seq
   FROM tokline WHERE {LITERAL_TEST_SQL})"""
 
 
