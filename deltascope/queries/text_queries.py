@@ -112,14 +112,14 @@ def obfuscation_hits(spark, sf_dir):
 @query(
     f"WITH {DOCUMENTS}, long AS (SELECT id, line, seq, value, length(value) AS n FROM lit WHERE length(value) >= 40), "
     "ch AS (SELECT id, line, seq, n, c, count(*) AS k FROM (SELECT id, line, seq, n, unnest(string_split(value, '')) AS c FROM long) GROUP BY ALL) "
-    "SELECT CAST(id AS VARCHAR) AS package_id, line, seq, n AS length, round(-sum(k / n::DOUBLE * log2(k / n::DOUBLE)), 2) AS entropy FROM ch GROUP BY id, line, seq, n"
+    "SELECT CAST(id AS VARCHAR) AS package_id, line, seq, n AS length, round(-sum(k / n::DOUBLE * log2(k / n::DOUBLE)), 3) AS entropy FROM ch GROUP BY id, line, seq, n"
 )
 def literal_entropy(spark, sf_dir):
     """Shannon entropy of every long literal."""
     long = lexing.literals(t.document_files(spark, sf_dir)).where(F.length("value") >= vocab.HIGH_ENTROPY["min_length"])
     return long.select(
         "package_id", C("line").cast("long").alias("line"), C("seq").cast("long").alias("seq"), F.length("value").cast("long").alias("length"),
-        F.round(text.entropy(C("value")), 2).alias("entropy"),
+        text.entropy(C("value")).alias("entropy"),
     )
 
 
