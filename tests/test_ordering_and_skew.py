@@ -1,0 +1,50 @@
+"""Ordered computations and joins give the same result on the plan for large groups."""
+import pytest
+from pyspark.sql import Window, functions as F
+
+from deltascope.operators import ordering, skew, versions
+
+
+@pytest.fixture
+def rows(spark):
+    # One group holds a third of all rows.
+    return spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97 + 1).alias("g"), (F.col("id") * 7919 % 3001).alias("v"), "id"
+    )
+
+
+def _with_limit(spark, limit, action):
+    spark.conf.set(ordering.GROUP_LIMIT_CONF, str(limit))
+    try:
+        return action()
+    finally:
+        spark.conf.unset(ordering.GROUP_LIMIT_CONF)
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_positions_on_both_plans(spark, rows, group):
+    run = lambda: {row.id: row.position for row in ordering.positioned(rows, [F.desc("v"), F.col("id")], group).collect()}
+    assert _with_limit(spark, 0, run) == _with_limit(spark, 10**6, run)
+
+
+def test_next_row_on_both_plans(spark, rows):
+    run = lambda: {row.id: row.next_id for row in ordering.with_next(rows, ["g"], [F.col("v"), F.col("id")], ["id"]).collect()}
+    wanted = {
+        row.id: row.n
+        for row in rows.withColumn("n", F.lead("id").over(Window.partitionBy("g").orderBy("v", "id"))).collect()
+    }
+    assert _with_limit(spark, 0, run) == wanted and _with_limit(spark, 10**6, run) == wanted
+
+
+def test_spread_join_keeps_every_row(spark, rows):
+    counts = rows.groupBy("g").agg(F.count("*").alias("n"))
+    joined = skew.spread_join(rows, counts, ["g"], "n", by=["id"], share=10)
+    assert joined.count() == 3000
+    assert {row.g: row.n for row in joined.select("g", "n").distinct().collect()} == {row.g: row.n for row in counts.collect()}
+
+
+def test_chain_order_of_mixed_versions(spark):
+    rows = [("e", "2.0", "2024-03-01T00:00:00Z", "c"), ("e", "9.0", "2024-01-01", "a"), ("e", "1.10", None, "n2"), ("e", "1.9", None, "n1"), ("e", "beta", None, "z")]
+    frame = spark.createDataFrame(rows, "extension_id string, version string, timestamp string, package_id string")
+    pairs = versions.consecutive_pairs(frame).collect()
+    assert sorted(row.pair_id for row in pairs) == sorted(["a->c", "c->n1", "n1->n2", "n2->z"])
