@@ -11,6 +11,7 @@ from deltascope.operators import facts as fact_jobs
 
 _SEPARATOR = "\u001f"
 FLOW_KINDS = ("flow_source", "flow_sink")
+PLACED_KINDS = ("api", "network", "obfuscation", "function", "listener")
 
 
 def package_roles(pairs: DataFrame) -> DataFrame:
@@ -51,7 +52,10 @@ def items(pairs: DataFrame, facts: DataFrame, errors: DataFrame | None = None) -
     placed = sided.repartition("pair_id")
     old, new = F.col("side") == "old", F.col("side") == "new"
     group = F.when(F.col("kind").isin(*FLOW_KINDS), "flow").otherwise(F.col("kind"))
-    first = F.struct("path", "name", "line", "type", "rank", "local", "plain_http", "decoded", "source", "detail")
+    # The first occurrence, of the new version when there is one; one minimum gives it with its place.
+    # Only kinds that occur at places in code have one; the others are told by their key alone.
+    shown = ["path", "name", "line", "type", "rank", "local", "plain_http", "decoded", "source", "detail"]
+    earliest = F.min(F.when(F.col("kind").isin(*PLACED_KINDS), F.struct(old.alias("from_old"), "at", *shown)))
     names = lambda kind: F.array_sort(F.collect_set(F.when(new & (F.col("kind") == kind), F.col("name"))))
     grouped = placed.groupBy("pair_id", group.alias("kind"), item_key().alias("key")).agg(
         F.bool_or(old).alias("in_old"),
@@ -66,8 +70,8 @@ def items(pairs: DataFrame, facts: DataFrame, errors: DataFrame | None = None) -
         F.max(F.when(new, F.col("size"))).alias("new_size"),
         F.max(F.when(old, F.col("detail"))).alias("old_detail"),
         F.max(F.when(new, F.col("detail"))).alias("new_detail"),
-        F.min(F.when(new, F.col("at"))).alias("at"),
-        F.coalesce(F.min_by(first, F.when(new, F.col("at"))), F.min_by(first, F.col("at"))).alias("first"),
+        earliest.alias("_earliest"),
+        F.max("type").alias("_type"),
         # Counts over the occurrences of the new version
         count_where(new & ~F.col("local")).alias("new_external"),
         count_where(new & F.col("plain_http")).alias("new_http"),
@@ -82,7 +86,19 @@ def items(pairs: DataFrame, facts: DataFrame, errors: DataFrame | None = None) -
         .when(changed, "modified")
         .otherwise("retained")
     )
-    return grouped.withColumn("status", status)
+    best = F.col("_earliest")
+    return grouped.withColumns(
+        {
+            "status": status,
+            "at": F.when(~best["from_old"], best["at"]),
+            "first": F.struct(
+                *[
+                    (F.coalesce(best["type"], "_type") if name == "type" else best[name]).alias(name)
+                    for name in shown
+                ]
+            ),
+        }
+    ).drop("_earliest", "_type")
 
 
 def analyzer_of(kind: Column) -> Column:
@@ -108,26 +124,16 @@ def added_endpoints(drift_items: DataFrame) -> DataFrame:
     )
 
 
-def _without_repeats(drift_items: DataFrame) -> DataFrame:
-    """Mark added endpoints that repeat an earlier one in another spelling; stays inside the placement."""
-    spelled = F.when((F.col("kind") == "network") & (F.col("status") == "added"), F.lower("key")).otherwise(F.col("key"))
-    payload = [name for name in drift_items.columns if name not in ("pair_id", "kind", "status")]
-    totals = ["n_old", "n_new", "new_external", "new_http", "new_ip"]
-    grouped = drift_items.groupBy("pair_id", "kind", "status", spelled.alias("_key")).agg(
-        F.min_by(F.struct(*payload), F.col("at")).alias("kept"),
-        F.first(F.struct(*payload)).alias("only"),
-        *[F.sum(name).alias(f"_{name}") for name in totals],
-    )
-    kept = F.coalesce("kept", "only")
-    return grouped.select(
-        "pair_id", "kind", "status",
-        *[F.col(f"_{name}").alias(name) if name in totals else kept[name].alias(name) for name in payload],
+def _first_spellings(endpoints: Column) -> Column:
+    """Of endpoints {value_key, at, ...} the first of each lower-case spelling; a package bounds the list."""
+    ordered = F.array_sort(endpoints)
+    return F.filter(
+        ordered, lambda item, at: (at == 0) | (item["value_key"] != F.get(ordered, at - 1)["value_key"])
     )
 
 
 def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """One row per pair: state of both versions, drift counts, and the names that explain them."""
-    rows = _without_repeats(drift_items)
     kind, status = F.col("kind"), F.col("status")
     is_ = lambda name, *states: (kind == name) & (status.isin(*states) if states else F.lit(True))
     name_list = lambda condition, column="key": F.array_sort(F.collect_set(F.when(condition, F.col(column))))
@@ -144,7 +150,12 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
     # A background entry that is empty in any JSON sense counts as absent.
     absent = lambda text: text.isNull() | text.isin("{}", '""', "[]", "null", "false", "0", "0.0")
     earliest = lambda condition, *columns: F.min_by(F.struct(*columns), F.when(condition, F.col("at")))
-    aggregated = rows.groupBy("pair_id").agg(
+    endpoint = F.struct(
+        F.lower("key").alias("value_key"), "at", F.col("key").alias("value"), first["local"].alias("local"),
+        first["plain_http"].alias("plain_http"), first["decoded"].alias("decoded"), first["type"].alias("type"),
+        first["path"].alias("path"), first["line"].alias("line"),
+    )
+    aggregated = drift_items.groupBy("pair_id").agg(
         # states
         old_count("permission").alias("old_permission_count"),
         new_count("permission").alias("new_permission_count"),
@@ -210,18 +221,10 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
         max_where(is_("api", "added"), F.col("rank")).alias("_added_api_rank"),
         earliest(is_("api", "added"), "first.path", "first.line", "first.detail").alias("first_added_api"),
         # network
-        count_where(added_net & ~first["local"]).alias("new_external_count"),
-        count_where(added_net & first["local"]).alias("new_local_count"),
-        count_where(added_net & ~first["local"] & first["plain_http"]).alias("plain_http_addition_count"),
-        count_where(added_net & first["decoded"]).alias("decoded_endpoint_count"),
-        count_where(added_net & (first["type"] == "IPv4")).alias("hardcoded_ip_addition_count"),
+        F.collect_list(F.when(added_net, endpoint)).alias("_endpoints"),
         sum_where(kind == "network", F.col("new_external")).alias("new_external_endpoint_total"),
         sum_where(kind == "network", F.col("new_http")).alias("new_http_endpoint_total"),
         sum_where(kind == "network", F.col("new_ip")).alias("new_ip_total"),
-        F.slice(
-            F.array_sort(F.collect_list(F.when(added_net & ~first["local"], F.struct("at", F.col("key").alias("value"))))), 1, 3
-        ).alias("_external_sample"),
-        earliest(added_net & first["decoded"], F.col("key").alias("value"), "first.path", "first.line", "first.local").alias("first_decoded"),
         # obfuscation
         sum_where(is_("obfuscation", "added"), F.col("n_new")).alias("added_obfuscation_count"),
         sum_where(is_("obfuscation", "added"), F.col("weight_new")).alias("added_obfuscation_score"),
@@ -238,8 +241,23 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
     severity = lambda rank, any_added: F.when(
         any_added, F.element_at(fixed_array(vocab.SEVERITIES), F.greatest(rank, F.lit(1)) + 1)
     ).otherwise("None")
+    found = lambda test: F.filter("_endpoints", test)
+    external = found(lambda item: ~item["local"])
+    decoded = found(lambda item: item["decoded"])
+    by_place = lambda items: F.array_sort(F.transform(items, lambda item: F.struct(item["at"].alias("at"), item.alias("item"))))
+    endpoints = aggregated.withColumn("_endpoints", _first_spellings(F.col("_endpoints"))).withColumns(
+        {
+            "new_external_count": F.size(external),
+            "new_local_count": F.size(found(lambda item: item["local"])),
+            "plain_http_addition_count": F.size(F.filter(external, lambda item: item["plain_http"])),
+            "decoded_endpoint_count": F.size(decoded),
+            "hardcoded_ip_addition_count": F.size(found(lambda item: item["type"] == "IPv4")),
+            "external_sample": F.transform(F.slice(by_place(external), 1, 3), lambda item: item["item"]["value"]),
+            "first_decoded": F.get(by_place(decoded), F.lit(0))["item"],
+        }
+    )
     shaped = (
-        aggregated.withColumn("max_added_permission_severity", severity(F.col("_added_permission_rank"), F.size("added_permissions") > 0))
+        endpoints.withColumn("max_added_permission_severity", severity(F.col("_added_permission_rank"), F.size("added_permissions") > 0))
         .withColumn("max_added_api_severity", severity(F.col("_added_api_rank"), F.col("added_api_count") > 0))
         .withColumn("background_added", absent(F.col("_old_background")) & ~absent(F.col("new_background")))
         .withColumn("new_background_present", ~absent(F.col("new_background")))
@@ -252,8 +270,7 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
         .withColumn("web_accessible_resource_change_count", F.abs(F.col("_new_resources") - F.col("_old_resources")))
         .withColumn("size_delta_bytes", F.col("new_total_size_bytes") - F.col("old_total_size_bytes"))
         .withColumn("source_sink_flow_count", F.size("flows"))
-        .withColumn("external_sample", F.transform("_external_sample", lambda item: item["value"]))
-        .drop("_added_permission_rank", "_added_api_rank", "_old_background", "_old_resources", "_new_resources", "_external_sample")
+        .drop("_added_permission_rank", "_added_api_rank", "_old_background", "_old_resources", "_new_resources", "_endpoints")
     )
     if errors is None:
         return shaped.withColumn("failed_analyzers", F.array().cast("array<struct<analyzer:string,error:string>>"))
