@@ -11,7 +11,7 @@ from deltascope.operators import facts as fact_jobs
 
 _SEPARATOR = "\u001f"
 FLOW_KINDS = ("flow_source", "flow_sink")
-PLACED_KINDS = ("api", "network", "obfuscation", "function", "listener")
+PLACED_KINDS = ("api", "network", "obfuscation", "function", "listener", *FLOW_KINDS)
 
 
 def package_roles(pairs: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def item_key() -> Column:
     kind = F.col("kind")
     joined = lambda *columns: F.concat_ws(_SEPARATOR, *columns)
     return (
-        F.when(kind.isin("file", *FLOW_KINDS), F.col("path"))
-        .when(kind.isin("api", "function", "listener"), joined("path", "name"))
+        F.when(kind == "file", F.col("path"))
+        .when(kind.isin("api", "function", "listener", *FLOW_KINDS), joined("path", "name"))
         .when(kind == "obfuscation", joined("path", "name", F.col("line").cast("string")))
         .otherwise(F.col("name"))
     )
@@ -51,13 +51,12 @@ def items(pairs: DataFrame, facts: DataFrame, errors: DataFrame | None = None) -
         )
     placed = sided.repartition("pair_id")
     old, new = F.col("side") == "old", F.col("side") == "new"
-    group = F.when(F.col("kind").isin(*FLOW_KINDS), "flow").otherwise(F.col("kind"))
     # The first occurrence, of the new version when there is one; one minimum gives it with its place.
     # Only kinds that occur at places in code have one; the others are told by their key alone.
     shown = ["path", "name", "line", "type", "rank", "local", "plain_http", "decoded", "source", "detail"]
     earliest = F.min(F.when(F.col("kind").isin(*PLACED_KINDS), F.struct(old.alias("from_old"), "at", *shown)))
-    names = lambda kind: F.array_sort(F.collect_set(F.when(new & (F.col("kind") == kind), F.col("name"))))
-    grouped = placed.groupBy("pair_id", group.alias("kind"), item_key().alias("key")).agg(
+    # Only sums, minima and maxima here: with a collected set Spark would hash and then sort all items again.
+    grouped = placed.groupBy("pair_id", "kind", item_key().alias("key")).agg(
         F.bool_or(old).alias("in_old"),
         F.bool_or(new).alias("in_new"),
         sum_where(old, F.col("copies")).alias("n_old"),
@@ -76,8 +75,6 @@ def items(pairs: DataFrame, facts: DataFrame, errors: DataFrame | None = None) -
         count_where(new & ~F.col("local")).alias("new_external"),
         count_where(new & F.col("plain_http")).alias("new_http"),
         count_where(new & (F.col("type") == "IPv4")).alias("new_ip"),
-        names("flow_source").alias("sources"),
-        names("flow_sink").alias("sinks"),
     )
     changed = F.col("kind").isin("file", "manifest") & ~F.col("old_detail").eqNullSafe(F.col("new_detail"))
     status = (
@@ -132,6 +129,18 @@ def _first_spellings(endpoints: Column) -> Column:
     )
 
 
+def _flows_of(hits: Column) -> Column:
+    """Files with both a source and a sink, from the source and sink hits of the new version of a pair."""
+    names = lambda path, kind: F.array_sort(
+        F.transform(F.filter(hits, lambda hit: (hit["path"] == path) & (hit["kind"] == kind)), lambda hit: hit["name"])
+    )
+    paths = F.array_sort(F.array_distinct(F.transform(hits, lambda hit: hit["path"])))
+    files = F.transform(
+        paths, lambda path: F.struct(path.alias("path"), names(path, "flow_source").alias("sources"), names(path, "flow_sink").alias("sinks"))
+    )
+    return F.filter(files, lambda file: (F.size(file["sources"]) > 0) & (F.size(file["sinks"]) > 0))
+
+
 def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """One row per pair: state of both versions, drift counts, and the names that explain them."""
     kind, status = F.col("kind"), F.col("status")
@@ -144,7 +153,7 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
     first = F.col("first")
     dynamic = first["type"].isin(vocab.DYNAMIC_EXECUTION_TYPES)
     added_net = is_("network", "added")
-    flow = (kind == "flow") & (F.size("sources") > 0) & (F.size("sinks") > 0)
+    flow_hit = F.when(kind.isin(*FLOW_KINDS) & F.col("in_new"), F.struct(first["path"].alias("path"), "kind", first["name"].alias("name")))
     field = lambda name, side: F.max(F.when(is_("manifest") & (F.col("key") == name), F.col(f"{side}_detail")))
     script_file = is_("file") & (first["type"] == "script")
     # A background entry that is empty in any JSON sense counts as absent.
@@ -234,9 +243,7 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
         # structure
         count_where(is_("function", "added")).alias("added_function_count"),
         count_where(is_("listener", "added")).alias("added_listener_count"),
-        F.array_sort(
-            F.collect_list(F.when(flow, F.struct(F.col("key").alias("path"), "sources", "sinks")))
-        ).alias("flows"),
+        F.collect_list(flow_hit).alias("_flow_hits"),
     )
     severity = lambda rank, any_added: F.when(
         any_added, F.element_at(fixed_array(vocab.SEVERITIES), F.greatest(rank, F.lit(1)) + 1)
@@ -254,6 +261,7 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
             "hardcoded_ip_addition_count": F.size(found(lambda item: item["type"] == "IPv4")),
             "external_sample": F.transform(F.slice(by_place(external), 1, 3), lambda item: item["item"]["value"]),
             "first_decoded": F.get(by_place(decoded), F.lit(0))["item"],
+            "flows": _flows_of(F.col("_flow_hits")),
         }
     )
     shaped = (
@@ -270,7 +278,7 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
         .withColumn("web_accessible_resource_change_count", F.abs(F.col("_new_resources") - F.col("_old_resources")))
         .withColumn("size_delta_bytes", F.col("new_total_size_bytes") - F.col("old_total_size_bytes"))
         .withColumn("source_sink_flow_count", F.size("flows"))
-        .drop("_added_permission_rank", "_added_api_rank", "_old_background", "_old_resources", "_new_resources", "_endpoints")
+        .drop("_added_permission_rank", "_added_api_rank", "_old_background", "_old_resources", "_new_resources", "_endpoints", "_flow_hits")
     )
     if errors is None:
         return shaped.withColumn("failed_analyzers", F.array().cast("array<struct<analyzer:string,error:string>>"))
@@ -331,6 +339,9 @@ def symbol_drift(drift_items: DataFrame) -> DataFrame:
 
 def flow_list(drift_items: DataFrame) -> DataFrame:
     """Source-to-sink files of the new version; they are not compared with the old one."""
-    return drift_items.where(
-        (F.col("kind") == "flow") & (F.size("sources") > 0) & (F.size("sinks") > 0)
-    ).select("pair_id", F.col("key").alias("path"), "sources", "sinks")
+    names = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("first.name"))))
+    hits = drift_items.where(F.col("kind").isin(*FLOW_KINDS) & F.col("in_new"))
+    grouped = hits.groupBy("pair_id", F.col("first.path").alias("path")).agg(
+        names("flow_source").alias("sources"), names("flow_sink").alias("sinks")
+    )
+    return grouped.where((F.size("sources") > 0) & (F.size("sinks") > 0))
