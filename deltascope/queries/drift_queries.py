@@ -455,7 +455,8 @@ def provisional_labels(spark, sf_dir):
     """Labels from manifest evidence alone."""
     from deltascope.operators import curation
 
-    return curation.provisional_labels(summaries(spark, sf_dir))
+    pairs = t.order_pairs(spark, sf_dir).select("pair_id")
+    return curation.provisional_labels(drift.complete(pairs, summaries(spark, sf_dir)))
 
 
 @query(f"WITH {LABELLED_SQL} SELECT pair_id AS record_id, split, CAST(added_risk AS DOUBLE) AS permission_risk_delta FROM labelled")
