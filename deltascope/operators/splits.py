@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from deltascope import vocab
 from deltascope.functions.versions import iso_time
 from deltascope.operators.ordering import positioned
+from deltascope.session import stored
 
 
 def check_ratios(train: float, validation: float, test: float) -> None:
@@ -14,6 +15,7 @@ def check_ratios(train: float, validation: float, test: float) -> None:
 
 
 def _cut(groups: DataFrame, order: list[Column], train: float, validation: float) -> DataFrame:
+    groups = stored(groups)
     total = groups.count()
     first = int(total * train)
     second = first + int(total * validation)

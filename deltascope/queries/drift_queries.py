@@ -5,7 +5,7 @@ from deltascope import vocab
 from deltascope.functions.numbers import half_even
 from deltascope.operators import audits, drift, features, metrics, reviews, scoring, splits
 from deltascope.queries import tables as t
-from deltascope.session import ensure_checkpoint_dir
+from deltascope.session import stored
 
 C = F.col
 QUERIES, ORACLES = {}, {}
@@ -292,8 +292,7 @@ ranked AS (SELECT CAST(max(p) AS BIGINT) AS positive_count, CAST(max(n) AS BIGIN
 
 def stored_features(spark, sf_dir):
     """The feature table as stored rows: evaluation reads it several times and must not rebuild it."""
-    ensure_checkpoint_dir(spark)
-    return pair_features(spark, sf_dir).checkpoint()
+    return stored(pair_features(spark, sf_dir))
 
 
 def predictions_of(rows):

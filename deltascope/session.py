@@ -1,7 +1,7 @@
 """Session helpers."""
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "deltascope", cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -34,3 +34,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="deltascope-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The rows written once to the checkpoint folder, for results that are read several times."""
+    ensure_checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint()
