@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from deltascope.session import ensure_checkpoint_dir
 
@@ -65,3 +66,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     values = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def extended(frame: DataFrame, **added: str) -> StructType:
+    """The columns of a frame and more, by name and type."""
+    return StructType([*frame.schema.fields, *(StructField(name, DataType.fromDDL(kind)) for name, kind in added.items())])

@@ -2,19 +2,42 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import bitpack, bpe, common, packing
+from deltascope.llm import bitpack, bpe, byte_cnn, common, language_id, minhash, packing, quality_rules
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER_SIZE = 50_257
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").withColumn("held_out", common.fold_of(F.col("doc_id"), 4) == 2)
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.with_language(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").withColumn("held_out", common.fold_of(F.col("doc_id"), 5) == 0)
+    net = byte_cnn.fit(docs.where("not held_out"), common.table(spark, sf_dir, "labels"))
+    scored = byte_cnn.with_score(docs.select("doc_id", "held_out", "text"), net).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= byte_cnn.THRESHOLD).cast("int"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = common.stored(quality_rules.document_stats(common.table(spark, sf_dir, "documents")), "stats")
+    cutoffs = quality_rules.learn(stats, common.table(spark, sf_dir, "labels"))
+    return quality_rules.judge(stats, cutoffs)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bitpack.write(common.table(spark, sf_dir, "documents"), common.shared_folder(spark, "ids"), TOKENIZER, TOKENIZER_SIZE)
     return bitpack.read(files)
@@ -24,5 +47,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), RANKS)
 
 
-QUERIES = {"op3_packing": op3_packing, "op9_token_files": op9_token_files, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_packing": op3_packing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_minhash": op7_minhash,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_token_files": op9_token_files,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
