@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import bitpack, bpe, byte_cnn, common, language_id, minhash, packing, quality_rules
+from deltascope.llm import bitpack, bpe, byte_cnn, common, grid_join, language_id, minhash, packing, quality_rules
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER_SIZE = 50_257
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.similar_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").withColumn("held_out", common.fold_of(F.col("doc_id"), 5) == 0)
     net = byte_cnn.fit(docs.where("not held_out"), common.table(spark, sf_dir, "labels"))
@@ -50,10 +54,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_grid_join": op4_grid_join,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_minhash": op7_minhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+#: Cosines of all pairs of one label, and the smallest id that each vector reaches.
+OP4_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id != b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS low FROM embeddings
+  UNION
+  SELECT l.a, r.low FROM reach r JOIN links l ON l.b = r.node WHERE r.low < l.a
+), lowest AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN lowest ON node = e.vec_id LEFT JOIN counted ON a = e.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op4_grid_join": OP4_SQL}
