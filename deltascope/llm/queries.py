@@ -1,14 +1,16 @@
 """Registered queries of this subpackage: each operator over its whole table with production parameters."""
 from __future__ import annotations
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import bitpack, bpe, byte_cnn, common, grid_join, language_id, minhash, packing, quality_rules
+from deltascope.llm import bitpack, bpe, byte_cnn, common, grid_join, language_id, licence_scan, maxent_lm, minhash, packing, quality_rules
+from deltascope.llm.paths import RANKS, TOKENIZER, TOKENIZER_SIZE
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-TOKENIZER_SIZE = 50_257
-RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+def op1_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").withColumn("held_out", common.fold_of(F.col("doc_id"), 5) == 1)
+    return maxent_lm.learn_and_score(docs)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= byte_cnn.THRESHOLD).cast("int"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -52,14 +58,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_maxent_lm": op1_maxent_lm,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_grid_join": op4_grid_join,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_licence_scan": op6_licence_scan,
     "op7_minhash": op7_minhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 #: Cosines of all pairs of one label, and the smallest id that each vector reaches.
 OP4_SQL = """
@@ -80,4 +89,4 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_i
 FROM embeddings e LEFT JOIN lowest ON node = e.vec_id LEFT JOIN counted ON a = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op4_grid_join": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_grid_join": OP4_SQL, "op6_licence_scan": licence_scan.scan_sql()}
