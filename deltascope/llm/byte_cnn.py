@@ -116,7 +116,7 @@ def train(texts: list[str], marks: list[int], share: float, passes: int = PASSES
     """A network from a sample that holds both labels. share: how often label 1 occurs where the sample was drawn from."""
     net = fresh_network(seed)
     y = np.array(marks, float)
-    if not 0 < share < 1 or y.min(initial=1) == y.max(initial=0):
+    if not 0 < share < 1 or len(set(marks)) < 2:
         known = share if 0 < share < 1 else (1.0 if share >= 1 else 0.0)
         net.weights[:] = 0
         net.shift[:] = np.log(max(known, 1e-3) / max(1 - known, 1e-3))

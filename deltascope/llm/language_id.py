@@ -69,7 +69,7 @@ def grams(marks: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def _slots(code: np.ndarray, n: int) -> np.ndarray:
-    x = (code + np.uint64(n)) * _SPREAD
+    x = (code ^ np.uint64(n * 0xD6E8FEB86659FD93 % 2**64)) * _SPREAD  # n-grams of different length have equal codes
     return ((x ^ (x >> np.uint64(32))) * _SPREAD) >> np.uint64(64 - _TABLE_BITS)
 
 

@@ -349,7 +349,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: Weight
                 )
                 spans = np.searchsorted(unique // len(hashes), np.arange(count + 1)).astype(np.int32)
                 columns = [piece.column(name) for name in keep]
-                columns += [pa.array(number + np.arange(count)), pa.array(np.diff(bounds)), pa.array(np.bincount(text[head], minlength=count)), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(spans), tail)]
+                columns += [pa.array(number + np.arange(count)), pa.array(np.diff(bounds)), pa.array(np.bincount(text[head], minlength=count)), pa.array(base.astype(float)), pa.array(total.astype(float)), pa.ListArray.from_arrays(pa.array(spans), tail)]
                 number += count
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
