@@ -3,7 +3,7 @@
 All kinds of facts run through the same plan: one join on the package, one placement by pair, then
 grouping by item and by pair inside that placement. Which columns identify an item depends on its kind.
 """
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from deltascope import vocab
 from deltascope.functions.numbers import any_where, count_where, fixed_array, lookup, max_where, sum_where
@@ -141,8 +141,41 @@ def _flows_of(hits: Column) -> Column:
     return F.filter(files, lambda file: (F.size(file["sources"]) > 0) & (F.size(file["sinks"]) > 0))
 
 
-def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """One row per pair: state of both versions, drift counts, and the names that explain them."""
+def failed_pairs(pairs: DataFrame, packages: DataFrame) -> DataFrame:
+    """Pairs that can't be compared, one row for each package at fault: {pair_id, side, package_id, reason}.
+
+    `packages` {package_id, problem} lists the packages that exist; a problem is why one can't be used.
+    """
+    known = packages.select(F.col("package_id").cast("string").alias("package_id"), F.lit(True).alias("_there"), "problem")
+    judged = package_roles(pairs).join(known, "package_id", "left")
+    reason = F.when(F.col("_there").isNull(), "package is absent").otherwise(F.col("problem"))
+    return judged.select("pair_id", "side", "package_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def usable_pairs(pairs: DataFrame, packages: DataFrame) -> DataFrame:
+    """The pairs whose packages both exist and have no problem."""
+    return pairs.join(failed_pairs(pairs, packages).select("pair_id").distinct(), "pair_id", "left_anti").select(*pairs.columns)
+
+
+def _zeros(frame: DataFrame) -> DataFrame:
+    """Counts of nothing where a pair has no items; places and texts stay null."""
+    empty = {}
+    for field in frame.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, T.BooleanType):
+            empty[field.name] = F.lit(False)
+        elif isinstance(kind, T.NumericType):
+            empty[field.name] = F.lit(0).cast(kind)
+        elif isinstance(kind, T.ArrayType):
+            empty[field.name] = F.array().cast(kind)
+    return frame.withColumns({name: F.coalesce(name, value) for name, value in empty.items()})
+
+
+def summary(pairs: DataFrame, drift_items: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """One row per pair: state of both versions, drift counts, and the names that explain them.
+
+    A pair without items has drift of nothing.
+    """
     kind, status = F.col("kind"), F.col("status")
     is_ = lambda name, *states: (kind == name) & (status.isin(*states) if states else F.lit(True))
     name_list = lambda condition, column="key": F.array_sort(F.collect_set(F.when(condition, F.col(column))))
@@ -245,6 +278,7 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
         count_where(is_("listener", "added")).alias("added_listener_count"),
         F.collect_list(flow_hit).alias("_flow_hits"),
     )
+    aggregated = _zeros(pairs.select("pair_id").join(aggregated, "pair_id", "left"))
     severity = lambda rank, any_added: F.when(
         any_added, F.element_at(fixed_array(vocab.SEVERITIES), F.greatest(rank, F.lit(1)) + 1)
     ).otherwise("None")
@@ -260,6 +294,7 @@ def summary(drift_items: DataFrame, errors: DataFrame | None = None) -> DataFram
             "decoded_endpoint_count": F.size(decoded),
             "hardcoded_ip_addition_count": F.size(found(lambda item: item["type"] == "IPv4")),
             "external_sample": F.transform(F.slice(by_place(external), 1, 3), lambda item: item["item"]["value"]),
+            "first_external": F.get(by_place(external), F.lit(0))["item"],
             "first_decoded": F.get(by_place(decoded), F.lit(0))["item"],
             "flows": _flows_of(F.col("_flow_hits")),
         }

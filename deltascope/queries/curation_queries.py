@@ -351,7 +351,7 @@ def manifest_changes(spark, sf_dir):
     """Manifest changes of consecutive orders that both have lines."""
     projected = manifests.project_manifests(order_manifests(spark, sf_dir))
     items = drift.items(t.order_pairs(spark, sf_dir), facts.permission_facts(projected))
-    both = drift.summary(items).where(C("old_version").isNotNull() & C("new_version").isNotNull())
+    both = drift.summary(t.order_pairs(spark, sf_dir), items).where(C("old_version").isNotNull() & C("new_version").isNotNull())
     return both.select("pair_id", "background_added", "background_changed", "csp_changed", "content_scripts_changed")
 
 
@@ -616,7 +616,7 @@ def private_values(spark, sf_dir):
     return privacy.private_values(t.load(spark, sf_dir, "documents"), ["text"], key="doc_id")
 
 
-@query(f"WITH {d.LABELLED_SQL} SELECT pair_id AS record_id, added_permissions AS added, added_hosts AS hosts, true AS clean FROM labelled WHERE old_files > 0 OR new_files > 0")
+@query(f"WITH {d.LABELLED_SQL} SELECT pair_id AS record_id, added_permissions AS added, added_hosts AS hosts, true AS clean FROM labelled")
 def blind_packets(spark, sf_dir):
     """Blind packets of all pairs: no forbidden key survives the allow-list."""
     evidence = d.summaries(spark, sf_dir).withColumn("record_id", C("pair_id"))

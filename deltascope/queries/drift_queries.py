@@ -28,7 +28,7 @@ def items(spark, sf_dir):
 
 
 def summaries(spark, sf_dir):
-    return drift.summary(items(spark, sf_dir))
+    return drift.summary(t.order_pairs(spark, sf_dir), items(spark, sf_dir))
 
 
 def pair_features(spark, sf_dir):
@@ -45,20 +45,7 @@ def pair_features(spark, sf_dir):
     return features.feature_table(pairs, summaries(spark, sf_dir))
 
 
-# A pair without lines on both sides is a pair without drift, not a missing pair.
-_COUNTS = [
-    "added_permissions", "removed_permissions", "retained_permissions", "added_risk", "added_rank", "added_sensitive", "removed_sensitive",
-    "critical_added", "high_added", "new_sensitive", "old_permission_count", "new_permission_count", "added_hosts", "removed_hosts", "old_score",
-    "new_score", "new_wildcards", "old_host_count", "new_host_count", "old_files", "new_files", "old_bytes", "new_bytes", "added_files",
-    "removed_files", "modified_files",
-]
-_FLAGS = ["old_global", "new_global", "wildcard_added"]
-_ALL_PAIRS_SQL = (
-    "FROM (SELECT pair_id, " + ", ".join(f"coalesce({name}, 0) AS {name}" for name in _COUNTS) + ", "
-    + ", ".join(f"coalesce({name}, false) AS {name}" for name in _FLAGS)
-    + " FROM pairs LEFT JOIN psum USING (pair_id) LEFT JOIN hsum USING (pair_id) LEFT JOIN fsum USING (pair_id)))"
-)
-LABELLED_SQL = t.ORDER_LINES_SQL.replace("FROM psum JOIN hsum USING (pair_id) JOIN fsum USING (pair_id))", _ALL_PAIRS_SQL) + f""",
+LABELLED_SQL = t.ORDER_LINES_SQL + f""",
 labelled AS (
   SELECT final.*, p.extension_id, p.od, p.nd, {t.ORDER_LABEL_SQL} AS label, p.extension_id % 8 <> 0 AS eligible,
     CASE WHEN p.extension_id % 10 < 6 THEN 'train' WHEN p.extension_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split
@@ -120,13 +107,12 @@ def pair_state(spark, sf_dir):
     f"""WITH {t.ORDER_LINES_SQL} SELECT pair_id, extension_id, added_files AS added_file_count, modified_files AS modified_file_count,
     permission_contribution, host_contribution, raw_score, risk_score,
     CASE WHEN risk_score >= 65 THEN 'Critical' WHEN risk_score >= 40 THEN 'High' WHEN risk_score >= 15 THEN 'Moderate' ELSE 'Low' END AS risk_class,
-    CAST(1.0 AS DOUBLE) AS confidence FROM pairs JOIN final USING (pair_id)"""
+    CAST(1.0 AS DOUBLE) AS confidence FROM pairs JOIN final USING (pair_id) WHERE pair_id NOT IN (SELECT pair_id FROM failed)"""
 )
 def review_score(spark, sf_dir):
     """What changed between consecutive orders of a customer, and how urgently it should be reviewed."""
-    pairs = t.order_pairs(spark, sf_dir)
-    summary = drift.complete(pairs.select("pair_id", "extension_id"), drift.summary(drift.items(pairs, t.order_facts(spark, sf_dir))))
-    summary = summary.where(C("old_file_count").isNotNull())
+    pairs = drift.usable_pairs(t.order_pairs(spark, sf_dir), t.order_packages(spark, sf_dir))
+    summary = drift.complete(pairs.select("pair_id", "extension_id"), drift.summary(pairs, drift.items(pairs, t.order_facts(spark, sf_dir))))
     return scoring.score(summary).select(
         "pair_id", "extension_id", C("added_file_count").cast("long").alias("added_file_count"),
         C("modified_file_count").cast("long").alias("modified_file_count"), "permission_contribution", "host_contribution",
@@ -134,6 +120,12 @@ def review_score(spark, sf_dir):
     )
 
 
+@query(f"WITH {t.ORDER_LINES_SQL} SELECT pair_id, side, CAST(package_id AS VARCHAR) AS package_id, reason FROM failed")
+def failed_pairs(spark, sf_dir):
+    """Pairs that can't be compared: an order without lines is an absent package."""
+    return drift.failed_pairs(t.order_pairs(spark, sf_dir), t.order_packages(spark, sf_dir))
+
+
 @query(
     f"""WITH {t.ORDER_LINES_SQL} SELECT 'RULE_HIGH_GLOBAL_HOST_EXPANSION' AS rule_id, 'High' AS severity, count(*) AS pairs FROM drift WHERE global_expansion HAVING count(*) > 0"""
 )
@@ -163,7 +155,7 @@ def findings(spark, sf_dir):
     f"""WITH {t.ORDER_LINES_SQL}, s AS (SELECT pair_id, list_sort(list(brand) FILTER (WHERE in_old)) AS o, list_sort(list(brand) FILTER (WHERE in_new)) AS n FROM perms GROUP BY 1)
     SELECT pair_id, array_to_string(list_sort(list_filter(coalesce(n, []), lambda x: NOT list_contains(coalesce(o, []), x))), '|') AS added,
       array_to_string(list_sort(list_filter(coalesce(o, []), lambda x: NOT list_contains(coalesce(n, []), x))), '|') AS removed,
-      array_to_string(list_sort(list_filter(coalesce(o, []), lambda x: list_contains(coalesce(n, []), x))), '|') AS retained FROM s"""
+      array_to_string(list_sort(list_filter(coalesce(o, []), lambda x: list_contains(coalesce(n, []), x))), '|') AS retained FROM pairs LEFT JOIN s USING (pair_id)"""
 )
 def capability_sets(spark, sf_dir):
     """Difference and intersection of the capability sets as array functions on a pair row."""
@@ -467,7 +459,7 @@ def feature_merge(spark, sf_dir):
     stored = pair_features(spark, sf_dir).where(C("extension_id").cast("long") % 2 == 0)
     number = C("extension_id") % 10
     described = pairs.withColumn("split", F.lit("none"))
-    compute = lambda fresh: features.feature_table(fresh, drift.summary(drift.items(fresh, t.order_facts(spark, sf_dir))))
+    compute = lambda fresh: features.feature_table(fresh, drift.summary(fresh, drift.items(fresh, t.order_facts(spark, sf_dir))))
     assignments = pairs.select("extension_id").distinct().withColumn("split", F.when(number < 6, "train").when(number < 8, "validation").otherwise("test"))
     merged = feature_tables.extend_features(stored, described, compute, assignments)
     return merged.select("record_id", "split", "permission_risk_delta")

@@ -75,6 +75,12 @@ def order_facts(spark, sf_dir) -> DataFrame:
     )
 
 
+def order_packages(spark, sf_dir) -> DataFrame:
+    """Orders that have lines, as the packages that exist."""
+    lines = load(spark, sf_dir, "lineitem").select(C("l_orderkey").cast("string").alias("package_id")).distinct()
+    return lines.withColumn("problem", F.lit(None).cast("string"))
+
+
 ORDER_PAIRS_SQL = """
 ord AS (
   SELECT o_custkey, o_orderkey, o_orderdate, o_orderpriority,
@@ -84,6 +90,19 @@ pairs AS (
   SELECT o_orderkey || '->' || nk AS pair_id, o_custkey AS extension_id, o_orderkey AS ok, nk, o_orderdate AS od, nd,
          o_orderpriority AS op, np
   FROM ord WHERE nk IS NOT NULL)"""
+# A pair without lines is a pair without drift, not a missing pair.
+_COUNTS = [
+    "added_permissions", "removed_permissions", "retained_permissions", "added_risk", "added_rank", "added_sensitive", "removed_sensitive",
+    "critical_added", "high_added", "new_sensitive", "old_permission_count", "new_permission_count", "added_hosts", "removed_hosts", "old_score",
+    "new_score", "new_wildcards", "old_host_count", "new_host_count", "old_files", "new_files", "old_bytes", "new_bytes", "added_files",
+    "removed_files", "modified_files",
+]
+_FLAGS = ["old_global", "new_global", "wildcard_added"]
+_ALL_PAIRS_SQL = (
+    "FROM (SELECT pair_id, " + ", ".join(f"coalesce({name}, 0) AS {name}" for name in _COUNTS) + ", "
+    + ", ".join(f"coalesce({name}, false) AS {name}" for name in _FLAGS)
+    + " FROM pairs LEFT JOIN psum USING (pair_id) LEFT JOIN hsum USING (pair_id) LEFT JOIN fsum USING (pair_id))"
+)
 ORDER_LINES_SQL = ORDER_PAIRS_SQL + """,
 lines AS (
   SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS path, CAST(l_quantity AS BIGINT) AS size,
@@ -150,7 +169,7 @@ fsum AS (
 drift AS (
   SELECT * , (NOT old_global AND new_global) AS global_expansion, new_score - old_score AS scope_delta,
          ((new_score - old_score) > 0 OR (added_hosts > 0 AND NOT old_global)) AS host_expanded
-  FROM psum JOIN hsum USING (pair_id) JOIN fsum USING (pair_id)),
+  {all_pairs}),
 scored AS (
   SELECT *, CASE WHEN added_risk >= 56 THEN 25.0 ELSE round_half END AS permission_contribution,
          CASE WHEN global_expansion THEN 25.0
@@ -159,7 +178,11 @@ scored AS (
 final AS (
   SELECT *, round_even(permission_contribution + host_contribution, 1) AS raw_score,
          least(greatest(round_even(permission_contribution + host_contribution, 1), 0.0), 100.0) AS risk_score
-  FROM scored)""".replace("{table}", "[" + ", ".join(f"CAST({round(total * 0.45, 1)} AS DOUBLE)" for total in range(56)) + "]")
+  FROM scored),
+failed AS (
+  SELECT pair_id, CASE WHEN side = 'old' THEN ok ELSE nk END AS package_id, side, 'package is absent' AS reason
+  FROM pairs CROSS JOIN (VALUES ('old'), ('new')) s(side)
+  WHERE CASE WHEN side = 'old' THEN ok ELSE nk END NOT IN (SELECT l_orderkey FROM lines))""".replace("{all_pairs}", _ALL_PAIRS_SQL).replace("{table}", "[" + ", ".join(f"CAST({round(total * 0.45, 1)} AS DOUBLE)" for total in range(56)) + "]")
 
 
 def order_label() -> Column:

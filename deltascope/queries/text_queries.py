@@ -296,7 +296,7 @@ def obfuscation_drift(spark, sf_dir):
 def page_pair_summary(spark, sf_dir):
     """All kinds of drift of a pair of pages on one row."""
     items = page_items(spark, sf_dir).where((C("kind") != "obfuscation") | C("first.type").isin("entity", "comment"))
-    summary = drift.summary(items)
+    summary = drift.summary(t.page_pairs(spark, sf_dir), items)
     return summary.select(
         "pair_id", C("modified_file_count").cast("int").alias("modified_file_count"), C("new_network_count").cast("long").alias("new_network_count"),
         C("added_api_count").cast("long").alias("added_api_count"), C("added_obfuscation_score").cast("long").alias("sign_score"),
@@ -306,7 +306,7 @@ def page_pair_summary(spark, sf_dir):
 @query()
 def page_findings(spark, sf_dir):
     """Findings of all pairs of pages, counted by category and severity."""
-    found = scoring.findings(scoring.score(drift.summary(page_items(spark, sf_dir))))
+    found = scoring.findings(scoring.score(drift.summary(t.page_pairs(spark, sf_dir), page_items(spark, sf_dir))))
     return found.groupBy("category", "severity").agg(F.count("*").alias("findings"))
 
 

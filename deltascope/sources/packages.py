@@ -148,6 +148,22 @@ def ingest_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files, verdicts
 
 
+def package_states(files: DataFrame, manifests: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """{package_id, problem} of all packages that are known; no problem is null.
+
+    `manifests` has package_id and manifest_is_valid. The verdict of a rejected archive comes before what is
+    wrong with its manifest.
+    """
+    valid = manifests.groupBy("package_id").agg(F.bool_and("manifest_is_valid").alias("valid"))
+    states = files.select("package_id").distinct().join(valid, "package_id", "left").select(
+        "package_id", F.when(F.col("valid").isNull(), "manifest is missing").when(~F.col("valid"), "manifest is invalid").alias("problem")
+    )
+    if verdicts is None:
+        return states
+    rejected = verdicts.where("rejected is not null").groupBy("package_id").agg(F.min("rejected").alias("rejected"))
+    return states.join(rejected, "package_id", "full").select("package_id", F.coalesce("rejected", "problem").alias("problem"))
+
+
 def normalise_roots(files: DataFrame) -> DataFrame:
     """Move every package to its manifest: a root manifest.json wins, else the only nested one.
 

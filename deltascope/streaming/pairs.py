@@ -35,8 +35,10 @@ def score_arriving(
         if stored is not None:
             fresh = fresh.join(stored.select("pair_id"), "pair_id", "left_anti")
         packages = fresh.select(F.explode(F.array("old_package_id", "new_package_id")).alias("package_id")).distinct()
-        scored = PairAnalysis(fresh, load_files(packages)).scores
-        result = scored.select("pair_id", "risk_score", "raw_score", "risk_class", "confidence", "recommendation")
+        analysis = PairAnalysis(fresh, load_files(packages))
+        result = analysis.scores.select("pair_id", "risk_score", "raw_score", "risk_class", "confidence", "recommendation")
+        reasons = analysis.failed.groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "side", "reason"))), "; ").alias("failed"))
+        result = result.unionByName(reasons, allowMissingColumns=True)  # a pair that can't be compared has a reason and no score
         result.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     return (
