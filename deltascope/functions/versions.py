@@ -9,9 +9,9 @@ ISO_SHAPE = (
 
 
 def version_key(version: Column) -> Column:
-    """All digit runs as numbers; null when there is none. Arrays compare element by element."""
+    """All digit runs as numbers of any length; null when there is none. Arrays compare element by element."""
     runs = F.regexp_extract_all(F.coalesce(version, F.lit("")), F.lit(r"\d+"), F.lit(0))
-    return F.when(F.size(runs) > 0, F.transform(runs, lambda run: run.try_cast("decimal(38,0)")))
+    return F.when(F.size(runs) > 0, F.transform(F.transform(runs, lambda run: F.ltrim(run, F.lit("0"))), lambda run: F.struct(F.length(run).alias("digits"), run.alias("run"))))
 
 
 def iso_time(value: Column) -> Column:

@@ -17,7 +17,7 @@ from deltascope.operators import lexing
 _FIELDS = {
     "kind": "string", "path": "string", "name": "string", "line": "int", "type": "string", "weight": "int",
     "rank": "int", "local": "boolean", "plain_http": "boolean", "decoded": "boolean", "source": "string",
-    "at": "struct<path:string,stage:int,line:int,phase:int,position:int>", "detail": "string", "size": "bigint",
+    "at": "struct<path:string,stage:int,line:int,phase:int,position:int,found:int>", "detail": "string", "size": "bigint",
 }
 COLUMNS = ["package_id", *_FIELDS]
 SCHEMA = "package_id string, " + ", ".join(f"{name} {kind}" for name, kind in _FIELDS.items())
@@ -33,6 +33,7 @@ def fact(kind: str, *, path=None, stage=0, line=None, phase=0, position=0, **val
         line.cast("int").alias("line"),
         as_column(phase).cast("int").alias("phase"),
         as_column(position).cast("int").alias("position"),
+        F.lit(0).alias("found"),
     )
     given = {"kind": F.lit(kind), "path": path, "line": line, "at": order, **values}
     return F.struct(
@@ -325,7 +326,8 @@ def script_facts(files: DataFrame, **patterns) -> DataFrame:
         F.col("line").alias("line"),
         # Within a line: calls after plain finds; within literals: literal by literal, decoded text last.
         (F.when(in_literal, F.col("seq") * 4).otherwise(0) + F.coalesce("phase", F.lit(0))).cast("int").alias("phase"),
-        F.coalesce(by_hit("position", "int"), F.col("position") * 1000 + F.col("found_at")).cast("int").alias("position"),
+        F.coalesce(by_hit("position", "int"), F.col("position")).cast("int").alias("position"),
+        F.coalesce(F.col("found_at"), F.lit(0)).cast("int").alias("found"),
     )
     columns = {"kind": kind, "path": F.col("path"), "line": F.when(F.col("line") > 0, F.col("line")), "at": order, **values}
     return rows.select(

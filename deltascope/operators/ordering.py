@@ -1,79 +1,50 @@
 """Ordered computations over groups of any size.
 
-A window puts each group into one task. That is the right plan while groups are small, so the size of
-the largest group is looked up first; beyond the limit the same result comes from a range-sorted copy
-that is cut into slices, with the few rows at slice borders stitched together afterwards.
+The rows of a group are cut at bounds of the order, so that no task has to hold a whole group; what a row
+needs from other cuts is one row for each group and cut, and is joined back. The bounds come from a bounded
+random sample of all rows, read as a scalar within the same plan: the result does not depend on them, nothing
+runs before the result is asked for, and there is one plan for every size.
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from deltascope.session import ensure_checkpoint_dir
+#: Rows that the bounds are chosen from: one at random for each of so many buckets of a hash.
+SAMPLE = 4096
 
-GROUP_LIMIT_CONF = "deltascope.window.maxRows"
-GROUP_LIMIT = 2_000_000
 
-
-def _limit(frame: DataFrame) -> int:
-    return int(frame.sparkSession.conf.get(GROUP_LIMIT_CONF, str(GROUP_LIMIT)))
-
-
-def largest_group(frame: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group (all rows for no group). Runs a job over the group columns only."""
-    if not group:
-        return frame.count()
-    sizes = frame.groupBy(*group).count()
-    return sizes.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-
-
-def _sliced(frame: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Range-sorted copy with `_slice` and `_row`, kept in the checkpoint folder so that both stay fixed."""
-    ensure_checkpoint_dir(frame.sparkSession)
+def _cuts(frame: DataFrame, order: list[Column]) -> DataFrame:
+    """The frame with `_cut`, the number of bounds below the row."""
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(name) for name in group] + list(order)
-    marked = (
-        frame.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
-    )
-    return marked.select(
-        "*", F.shiftright("_at", 33).alias("_slice"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")
-    ).drop("_at")
-
-
-def _group_slices(sliced: DataFrame, group: list[str], *more: Column) -> DataFrame:
-    """One row per (group, slice): at most the number of groups plus the number of slices."""
-    return sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_size"), F.min("_row").alias("_start"), *more)
+    key = F.struct(*[column.alias(f"k{at}") for at, column in enumerate(order)])
+    hashed = frame.select(key.alias("_key")).withColumn("_hash", F.xxhash64("_key"))
+    sample = hashed.groupBy(F.pmod("_hash", F.lit(SAMPLE)).alias("_bucket")).agg(F.min_by("_key", "_hash").alias("_key"))
+    ordered = sample.agg(F.array_sort(F.collect_list("_key")).alias("keys"))
+    step = F.greatest(F.ceil(F.size("keys") / F.lit(parts)), F.lit(1))
+    bounds = ordered.select(F.filter("keys", lambda item, at: (at + 1) % step == 0).alias("bounds"))
+    return frame.withColumn("_bounds", bounds.scalar()).withColumn(
+        "_cut", F.size(F.filter("_bounds", lambda bound: bound < key))
+    ).drop("_bounds")
 
 
 def positioned(frame: DataFrame, order: list[Column], group: list[str] = (), name: str = "position") -> DataFrame:
-    """Add the 1-based place of each row in its group. `order` must not leave ties."""
+    """Add the 1-based place of each row in its group. `order` is ascending and must not leave ties."""
     group = list(group)
-    if largest_group(frame, group) <= _limit(frame):
-        return frame.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
-    sliced = _sliced(frame, group, order)
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _group_slices(sliced, group).withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    offsets = offsets.select(*group, "_slice", "_start", "_offset")
-    joined = sliced.join(offsets if group else F.broadcast(offsets), [*group, "_slice"])
-    return joined.withColumn(name, F.col("_row") - F.col("_start") + F.col("_offset") + 1).select(*frame.columns, name)
+    cut = _cuts(frame, order)
+    inside = F.row_number().over(Window.partitionBy(*group, "_cut").orderBy(*order))
+    before = Window.partitionBy(*group).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*group, "_cut").agg(F.count("*").alias("_size"))
+    offsets = sizes.select(*group, "_cut", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    joined = cut.withColumn("_inside", inside).join(offsets, [*group, "_cut"])
+    return joined.withColumn(name, (F.col("_inside") + F.col("_offset")).cast("long")).select(*frame.columns, name)
 
 
 def with_next(frame: DataFrame, group: list[str], order: list[Column], columns: list[str], prefix: str = "next_") -> DataFrame:
-    """Add the given columns of the following row of the group (null for the last). `order` must not leave ties."""
+    """Add the given columns of the following row of the group (null for the last). `order` is ascending and must not leave ties."""
     group = list(group)
-    row = F.struct(*columns)
-    if largest_group(frame, group) <= _limit(frame):
-        following = F.lead(row).over(Window.partitionBy(*group).orderBy(*order))
-        marked = frame.withColumn("_next", following)
-    else:
-        sliced = _sliced(frame, group, order)
-        inside = F.lead(row).over(Window.partitionBy(*group, "_slice").orderBy("_row"))
-        heads = _group_slices(sliced, group, F.min_by(row, "_row").alias("_head"))
-        over_slices = Window.partitionBy(*group).orderBy("_slice")
-        heads = heads.select(*group, "_slice", F.lead("_head").over(over_slices).alias("_head"))
-        marked = (
-            sliced.withColumn("_inside", inside)
-            .join(heads, [*group, "_slice"], "left")
-            .withColumn("_next", F.coalesce("_inside", "_head"))
-        )
+    row, key = F.struct(*columns), F.struct(*order)
+    cut = _cuts(frame, order)
+    heads = cut.groupBy(*group, "_cut").agg(F.min_by(row, key).alias("_head"))
+    heads = heads.select(*group, "_cut", F.lead("_head").over(Window.partitionBy(*group).orderBy("_cut")).alias("_head"))
+    inside = F.lead(row).over(Window.partitionBy(*group, "_cut").orderBy(*order))
+    marked = cut.withColumn("_inside", inside).join(heads.where("_head is not null"), [*group, "_cut"], "left")
+    marked = marked.withColumn("_next", F.coalesce("_inside", "_head"))
     return marked.select(*frame.columns, *[F.col(f"_next.{name}").alias(f"{prefix}{name}") for name in columns])

@@ -12,7 +12,6 @@ from deltascope.functions.versions import iso_time
 from deltascope.operators import metrics
 from deltascope.operators.curation import quality_tier
 from deltascope.operators.ordering import positioned
-from deltascope.session import stored
 
 C = F.col
 
@@ -420,8 +419,7 @@ def second_review_queue(records: DataFrame, weights: dict[str, int] | None = Non
         + F.when(C("label_quality_tier") == "SINGLE_REVIEWER_PROVISIONAL", 10).otherwise(0)
     )
     queued = records.select("record_id", "extension_id", "label", "label_quality_tier", score.alias("priority_score"))
-    # Ranking first asks how many rows there are; stored, that does not compute the scores twice.
-    return positioned(stored(queued), [F.desc("priority_score"), C("record_id")], name="rank")
+    return positioned(queued, [-C("priority_score"), C("record_id")], name="rank")
 
 
 def review_priority(features: DataFrame, holdout: Column) -> DataFrame:
@@ -449,7 +447,7 @@ def review_priority(features: DataFrame, holdout: Column) -> DataFrame:
 def priority_queue(prioritised: DataFrame) -> DataFrame:
     """Priority reviews in rank order columns: {rank, record_id, priority_score, priority_reasons}."""
     wanted = prioritised.where("is_priority").select("record_id", "extension_id", "priority_score", "priority_reasons")
-    return positioned(stored(wanted), [F.desc("priority_score"), C("record_id")], name="rank")
+    return positioned(wanted, [-C("priority_score"), C("record_id")], name="rank")
 
 
 def unresolved_packets(records: DataFrame, evidence: DataFrame) -> DataFrame:

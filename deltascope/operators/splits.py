@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from deltascope import vocab
 from deltascope.functions.versions import iso_time
 from deltascope.operators.ordering import positioned
-from deltascope.session import stored
 
 
 def check_ratios(train: float, validation: float, test: float) -> None:
@@ -15,13 +14,11 @@ def check_ratios(train: float, validation: float, test: float) -> None:
 
 
 def _cut(groups: DataFrame, order: list[Column], train: float, validation: float) -> DataFrame:
-    groups = stored(groups)
-    total = groups.count()
-    first = int(total * train)
-    second = first + int(total * validation)
-    place = F.col("position")
-    return positioned(groups, order).select(
-        "extension_id", F.when(place <= first, "train").when(place <= second, "validation").otherwise("test").alias("split")
+    total = groups.agg(F.count("*")).scalar()
+    share = lambda ratio: F.floor(F.col("_total") * F.lit(float(ratio)))
+    place, first = F.col("position"), share(train)
+    return positioned(groups, order).withColumn("_total", total).select(
+        "extension_id", F.when(place <= first, "train").when(place <= first + share(validation), "validation").otherwise("test").alias("split")
     )
 
 

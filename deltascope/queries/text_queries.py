@@ -65,10 +65,10 @@ def document_literals(spark, sf_dir):
     return found.select("package_id", C("line").cast("long").alias("line"), C("seq").cast("long").alias("seq"), F.sha2("value", 256).alias("value"))
 
 
-@query(f"WITH {PAGES} SELECT CAST(id AS VARCHAR) AS package_id, line, seq, value FROM lit WHERE length(value) < 200")
+@query(f"WITH {PAGES} SELECT CAST(id AS VARCHAR) AS package_id, line, seq, value FROM lit")
 def page_literals(spark, sf_dir):
-    """Short literals of every page, in full."""
-    found = lexing.literals(t.page_files(spark, sf_dir)).where(F.length("value") < 200)
+    """All literals of every page."""
+    found = lexing.literals(t.page_files(spark, sf_dir))
     return found.select("package_id", C("line").cast("long").alias("line"), C("seq").cast("long").alias("seq"), "value")
 
 
@@ -99,13 +99,21 @@ def api_hits(spark, sf_dir):
     )
 
 
-@query(
-    f"WITH {PAGES} SELECT CAST(id AS VARCHAR) AS package_id, CAST(line AS BIGINT) AS line, name, CAST(score AS BIGINT) AS score FROM codeline, "
-    r"(VALUES ('entity', '(?:&amp;){3,}', 15), ('comment', '<!--', 10)) p(name, pat, score) WHERE regexp_matches(clean, pat)"
+_SIGN_VALUES = r"(VALUES ('entity', '(?:&amp;){3,}', 15), ('comment', '<!--', 10)) p(name, pat, score)"
+#: Signs of lines, and of literals by entropy and alphabet.
+SIGNS = (
+    f"ch AS (SELECT id, line, seq, n, c, count(*) AS k FROM (SELECT id, line, seq, length(value) AS n, unnest(string_split(value, '')) AS c FROM lit WHERE length(value) >= 40) GROUP BY ALL), "
+    "ent AS (SELECT id, line, seq, round(-sum(k / n::DOUBLE * log2(k / n::DOUBLE)), 3) AS h FROM ch GROUP BY 1, 2, 3), "
+    f"sg AS (SELECT id, line, name, score FROM codeline, {_SIGN_VALUES} WHERE regexp_matches(clean, pat) UNION ALL "
+    "SELECT id, line, CASE WHEN h >= 5.0 THEN 'high_entropy_string' ELSE 'long_base64_string' END, CASE WHEN h >= 5.0 THEN 15 ELSE 10 END FROM lit JOIN ent USING (id, line, seq) "
+    "WHERE h >= 5.0 OR (length(value) >= 60 AND regexp_full_match(value, '[A-Za-z0-9+/=]+')))"
 )
+
+
+@query(f"WITH {PAGES}, {SIGNS} SELECT CAST(id AS VARCHAR) AS package_id, CAST(line AS BIGINT) AS line, name, CAST(score AS BIGINT) AS score FROM sg")
 def obfuscation_hits(spark, sf_dir):
-    """Scored signs on comment-free lines; literals are not masked here."""
-    found = page_facts(spark, sf_dir).where((C("kind") == "obfuscation") & C("weight").isNotNull() & C("name").isin("entity", "comment"))
+    """Scored signs on comment-free lines, where literals are not masked, and in literals."""
+    found = page_facts(spark, sf_dir).where((C("kind") == "obfuscation") & C("weight").isNotNull())
     return found.select("package_id", C("line").cast("long").alias("line"), "name", C("weight").cast("long").alias("score"))
 
 
@@ -271,23 +279,20 @@ def network_drift(spark, sf_dir):
     return added.groupBy("pair_id").agg(F.count("*").alias("added"))
 
 
-_SIGN_VALUES = r"(VALUES ('entity', '(?:&amp;){3,}', 15), ('comment', '<!--', 10)) p(name, pat, score)"
-
-
 @query(
-    f"WITH {PAGE_DRIFT}, h AS (SELECT id, line, name, score FROM codeline, {_SIGN_VALUES} WHERE regexp_matches(clean, pat)), "
-    "a AS (SELECT pair_id, line, name, score FROM pairs JOIN h ON nk = id), b AS (SELECT pair_id, line, name FROM pairs JOIN h ON ok = id) "
+    f"WITH {PAGE_DRIFT}, {SIGNS}, "
+    "a AS (SELECT pair_id, line, name, score FROM pairs JOIN sg ON nk = id), b AS (SELECT pair_id, line, name FROM pairs JOIN sg ON ok = id) "
     "SELECT pair_id, count(*) AS added, CAST(sum(score) AS BIGINT) AS score FROM a ANTI JOIN b USING (pair_id, line, name) GROUP BY 1"
 )
 def obfuscation_drift(spark, sf_dir):
     """New signs per pair of pages; the line is part of the key, so moved text counts."""
-    found = drift.obfuscation_drift(page_items(spark, sf_dir)).where((C("status") == "added") & C("type").isin("entity", "comment"))
+    found = drift.obfuscation_drift(page_items(spark, sf_dir)).where(C("status") == "added")
     return found.groupBy("pair_id").agg(F.sum("n_new").alias("added"), F.sum("score").alias("score"))
 
 
 @query(
     f"WITH {network_sql(PAGE_DRIFT)}, api AS (SELECT id, name FROM codeline, {_API_VALUES} WHERE regexp_matches(code_only, pat)), "
-    f"sg AS (SELECT id, line, name, score FROM codeline, {_SIGN_VALUES} WHERE regexp_matches(clean, pat)), "
+    f"{SIGNS}, "
     "n AS (SELECT pair_id, count(id) AS c FROM pairs LEFT JOIN net ON nk = id GROUP BY 1), ac AS (SELECT pair_id, count(DISTINCT name) AS c FROM pairs JOIN (SELECT id, name FROM api) x ON nk = id WHERE NOT EXISTS (SELECT 1 FROM api y WHERE y.id = ok AND y.name = x.name) GROUP BY 1), "
     "oc AS (SELECT pair_id, sum(score) AS s FROM pairs JOIN sg x ON nk = id WHERE NOT EXISTS (SELECT 1 FROM sg y WHERE y.id = ok AND y.name = x.name AND y.line = x.line) GROUP BY 1) "
     "SELECT pairs.pair_id, CASE WHEN sha256(a.html) <> sha256(b.html) THEN 1 ELSE 0 END AS modified_file_count, coalesce(n.c, 0) AS new_network_count, coalesce(ac.c, 0) AS added_api_count, CAST(coalesce(oc.s, 0) AS BIGINT) AS sign_score "
@@ -295,8 +300,7 @@ def obfuscation_drift(spark, sf_dir):
 )
 def page_pair_summary(spark, sf_dir):
     """All kinds of drift of a pair of pages on one row."""
-    items = page_items(spark, sf_dir).where((C("kind") != "obfuscation") | C("first.type").isin("entity", "comment"))
-    summary = drift.summary(t.page_pairs(spark, sf_dir), items)
+    summary = drift.summary(t.page_pairs(spark, sf_dir), page_items(spark, sf_dir))
     return summary.select(
         "pair_id", C("modified_file_count").cast("int").alias("modified_file_count"), C("new_network_count").cast("long").alias("new_network_count"),
         C("added_api_count").cast("long").alias("added_api_count"), C("added_obfuscation_score").cast("long").alias("sign_score"),

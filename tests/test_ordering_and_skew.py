@@ -13,27 +13,37 @@ def rows(spark):
     )
 
 
-def _with_limit(spark, limit, action):
-    spark.conf.set(ordering.GROUP_LIMIT_CONF, str(limit))
+@pytest.mark.parametrize("parts", ["1", "7", "64"])
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_positions(spark, rows, group, parts):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        return action()
+        found = {row.id: row.position for row in ordering.positioned(rows, [-F.col("v"), F.col("id")], group).collect()}
     finally:
-        spark.conf.unset(ordering.GROUP_LIMIT_CONF)
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    wanted = rows.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("v"), "id"))).collect()
+    assert found == {row.id: row.n for row in wanted}
 
 
-@pytest.mark.parametrize("group", [[], ["g"]])
-def test_positions_on_both_plans(spark, rows, group):
-    run = lambda: {row.id: row.position for row in ordering.positioned(rows, [F.desc("v"), F.col("id")], group).collect()}
-    assert _with_limit(spark, 0, run) == _with_limit(spark, 10**6, run)
-
-
-def test_next_row_on_both_plans(spark, rows):
-    run = lambda: {row.id: row.next_id for row in ordering.with_next(rows, ["g"], [F.col("v"), F.col("id")], ["id"]).collect()}
-    wanted = {
-        row.id: row.n
-        for row in rows.withColumn("n", F.lead("id").over(Window.partitionBy("g").orderBy("v", "id"))).collect()
-    }
-    assert _with_limit(spark, 0, run) == wanted and _with_limit(spark, 10**6, run) == wanted
+def test_next_row(spark, rows):
+    found = {row.id: row.next_id for row in ordering.with_next(rows, ["g"], [F.col("v"), F.col("id")], ["id"]).collect()}
+    wanted = rows.withColumn("n", F.lead("id").over(Window.partitionBy("g").orderBy("v", "id"))).collect()
+    assert found == {row.id: row.n for row in wanted}
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, rows):
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    ordering.positioned(rows, [F.col("v"), F.col("id")])
+    ordering.with_next(rows, ["g"], [F.col("v"), F.col("id")], ["id"])
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_versions_with_long_numbers(spark):
+    from deltascope.functions import versions as v
+
+    frame = spark.createDataFrame([("1." + "9" * 40, "1." + "1" + "0" * 40), ("1.010", "1.10"), ("2", "10")], "a string, b string")
+    assert [row.c for row in frame.select(v.compare_versions(F.col("a"), F.col("b")).alias("c")).collect()] == [1, 0, 1]
 
 
 def test_spread_join_keeps_every_row(spark, rows):
