@@ -6,13 +6,24 @@ so any number of models is measured in one job.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from deltascope import vocab
-from deltascope.functions.numbers import ratio
+from deltascope.functions.numbers import ratio, sum_where
 
 C = F.col
 
 
+def reduced(predictions: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Predictions with equal outcome and score as one row with their number `n`; every metric can be had from it."""
+    return predictions.groupBy(*keys, "truth", "predicted", C("score").cast("double").alias("score")).agg(F.count("*").alias("n"))
+
+
+def _number(predictions: DataFrame) -> Column:
+    """How many predictions a row stands for."""
+    return C("n") if "n" in predictions.columns else F.lit(1)
+
+
 def confusion(predictions: DataFrame, keys: list[str] = ()) -> DataFrame:
-    cell = lambda truth, predicted: F.count_if((C("truth") == truth) & (C("predicted") == predicted))
+    number = _number(predictions)
+    cell = lambda truth, predicted: sum_where((C("truth") == truth) & (C("predicted") == predicted), number).cast("long")
     return predictions.groupBy(*keys).agg(
         cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp")
     )
@@ -42,15 +53,17 @@ def binary_metrics(predictions: DataFrame, keys: list[str] = ()) -> DataFrame:
     return confusion(predictions, keys).withColumns(metric_columns())
 
 
-def cumulative_by_score(predictions: DataFrame, keys: list[str] = (), parts: int = 256) -> DataFrame:
+def cumulative_by_score(predictions: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Per distinct score: positives and negatives at it, and how many lie strictly below.
 
     Rows are first reduced to distinct scores. These are cut at approximate quantiles, so a running sum
-    covers one cut at a time and the totals of the cuts before it (at most `parts` per key) are added.
+    covers one cut at a time and the totals of the cuts before it (as many as shuffle partitions, for each
+    key) are added.
     """
-    keys = list(keys)
-    scores = predictions.select(*keys, "truth", C("score").cast("double").alias("score")).groupBy(*keys, "score").agg(
-        F.count_if(C("truth") == 1).alias("pos"), F.count_if(C("truth") == 0).alias("neg")
+    keys, number = list(keys), _number(predictions)
+    parts = max(2, int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scores = predictions.groupBy(*keys, C("score").cast("double").alias("score")).agg(
+        sum_where(C("truth") == 1, number).cast("long").alias("pos"), sum_where(C("truth") == 0, number).cast("long").alias("neg")
     )
     fractions = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     bounds = scores.agg(F.percentile_approx("score", fractions, 10000).alias("b"))
@@ -74,8 +87,9 @@ def cumulative_by_score(predictions: DataFrame, keys: list[str] = (), parts: int
 def ranking_metrics(predictions: DataFrame, keys: list[str] = ()) -> DataFrame:
     """ROC-AUC (ties count half) and average precision per key; null when only one class is there."""
     keys = list(keys)
+    number = _number(predictions)
     totals = predictions.groupBy(*keys).agg(
-        F.count_if(C("truth") == 1).alias("positive_count"), F.count_if(C("truth") == 0).alias("negative_count")
+        sum_where(C("truth") == 1, number).cast("long").alias("positive_count"), sum_where(C("truth") == 0, number).cast("long").alias("negative_count")
     )
     steps = cumulative_by_score(predictions, keys)
     joined = steps.join(totals, keys) if keys else steps.withColumns(
@@ -97,6 +111,7 @@ def ranking_metrics(predictions: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def extended_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
+    predictions = reduced(predictions, keys)
     return binary_metrics(predictions, keys).join(ranking_metrics(predictions, keys), keys)
 
 
@@ -112,6 +127,8 @@ def bootstrap_intervals(predictions: DataFrame, keys: list[str] = (), samples: i
     key_schema = "".join(f"{name} {kinds[name]}, " for name in keys)
 
     def draw(batches):
+        import zlib
+
         import numpy as np
         import pandas as pd
 
@@ -121,7 +138,8 @@ def bootstrap_intervals(predictions: DataFrame, keys: list[str] = (), samples: i
                 n = int(cells.sum())
                 if n == 0:
                     continue
-                rng = np.random.default_rng(seed)
+                # Each key draws from a stream of its own.
+                rng = np.random.default_rng([seed, zlib.crc32(repr([str(getattr(row, name)) for name in keys]).encode())])
                 drawn = rng.multinomial(n, cells / n, size=samples)
                 out = pd.DataFrame(drawn, columns=["tn", "fp", "fn", "tp"])
                 out.insert(0, "n", n)

@@ -272,9 +272,10 @@ rebuilt AS (
 predictions AS (
   SELECT pair_id, 'rule_engine' AS model, CASE label WHEN 'risky_transition' THEN 1 ELSE 0 END AS truth, split, label, extension_id,
     least(round_even(pc2 + hc2 + cc2, 1), 100.0) / 100.0 AS score, CAST(least(round_even(pc2 + hc2 + cc2, 1), 100.0) >= 40 AS INT) AS predicted, od
-  FROM rebuilt WHERE eligible)"""
+  FROM rebuilt WHERE eligible),
+tested AS (SELECT * FROM predictions WHERE split = 'test')"""
 RANK_SQL = """
-steps AS (SELECT score, count(CASE WHEN truth = 1 THEN 1 END) AS pos, count(CASE WHEN truth = 0 THEN 1 END) AS neg FROM predictions GROUP BY 1),
+steps AS (SELECT score, count(CASE WHEN truth = 1 THEN 1 END) AS pos, count(CASE WHEN truth = 0 THEN 1 END) AS neg FROM tested GROUP BY 1),
 below AS (SELECT *, coalesce(sum(pos) OVER b, 0) AS pos_below, coalesce(sum(neg) OVER b, 0) AS neg_below, sum(pos) OVER () AS p, sum(neg) OVER () AS n
   FROM steps WINDOW b AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 ranked AS (SELECT CAST(max(p) AS BIGINT) AS positive_count, CAST(max(n) AS BIGINT) AS negative_count,
@@ -291,8 +292,9 @@ def predictions_of(rows):
     return metrics.score_predictions(scoring.score(scoring.summary_from_features(features.supervised(rows))))
 
 
-def scorer_predictions(spark, sf_dir):
-    return predictions_of(stored_features(spark, sf_dir))
+def scorer_predictions(spark, sf_dir, split: str | None = None):
+    rows = pair_features(spark, sf_dir)
+    return predictions_of(rows if split is None else rows.where(C("split") == split))
 
 
 @query(f"WITH {SCORER_SQL} SELECT pair_id AS record_id, score, predicted, truth FROM predictions")
@@ -301,22 +303,33 @@ def stored_feature_score(spark, sf_dir):
     return scorer_predictions(spark, sf_dir).select("record_id", "score", "predicted", "truth")
 
 
-@query(f"WITH {SCORER_SQL}, {_metric_sql('predictions', 'model')}, {RANK_SQL} SELECT measured.*, positive_count, negative_count, roc_auc, pr_auc FROM measured, ranked")
+@query(f"WITH {SCORER_SQL}, {_metric_sql('tested', 'model')}, {RANK_SQL} SELECT measured.*, positive_count, negative_count, roc_auc, pr_auc FROM measured, ranked")
 def scorer_metrics(spark, sf_dir):
-    """The score as a classifier: confusion metrics, ROC-AUC and average precision."""
-    return metrics.extended_metrics(scorer_predictions(spark, sf_dir), ["model"])
+    """The score as a classifier on the test rows: confusion metrics, ROC-AUC and average precision."""
+    return metrics.extended_metrics(scorer_predictions(spark, sf_dir, "test"), ["model"])
 
 
 @query(f"WITH {SCORER_SQL}, {RANK_SQL} SELECT score, pos, neg, CAST(pos_below AS BIGINT) AS pos_below, CAST(neg_below AS BIGINT) AS neg_below FROM below")
 def score_ranking(spark, sf_dir):
-    """Cumulative class counts by distinct score."""
-    return metrics.cumulative_by_score(scorer_predictions(spark, sf_dir))
+    """Cumulative class counts of the test rows by distinct score."""
+    return metrics.cumulative_by_score(scorer_predictions(spark, sf_dir, "test"))
 
 
-@query()
+@query(
+    f"WITH {SCORER_SQL} SELECT 'rule_engine' AS model, metric, (SELECT count(*) FROM tested) AS records, "
+    "CASE WHEN (SELECT count(*) FROM tested) < 20 THEN 'computed_but_not_reliable_for_inference' ELSE 'computed' END AS status, true AS in_order, true AS around_estimate "
+    "FROM (VALUES ('precision'), ('recall'), ('f1'), ('balanced_accuracy')) v(metric)"
+)
 def bootstrap_intervals(spark, sf_dir):
-    """Percentile intervals over resamples of the test predictions."""
-    return metrics.bootstrap_intervals(scorer_predictions(spark, sf_dir), ["model"])
+    """Percentile intervals over resamples of the test predictions: bounds in order, and around the value measured."""
+    predictions = metrics.reduced(scorer_predictions(spark, sf_dir, "test"), ["model"])
+    found = metrics.bootstrap_intervals(predictions, ["model"])
+    names = ["precision", "recall", "f1", "balanced_accuracy"]
+    measured = metrics.binary_metrics(predictions, ["model"]).unpivot(["model"], names, "metric", "estimate")
+    near = (C("p05") <= C("estimate") + 1e-6) & (C("estimate") - 1e-6 <= C("p95")) & (F.abs(C("p50") - C("estimate")) <= 0.05)
+    return found.join(measured, ["model", "metric"]).select(
+        "model", "metric", "records", "status", ((C("p05") <= C("p50")) & (C("p50") <= C("p95"))).alias("in_order"), near.alias("around_estimate")
+    )
 
 
 _THRESHOLDS = [0.05, 0.1, 0.15, 0.2, 0.25, 0.4]
@@ -329,7 +342,7 @@ _THRESHOLDS = [0.05, 0.1, 0.15, 0.2, 0.25, 0.4]
 )
 def best_threshold(spark, sf_dir):
     """Best of several thresholds on the validation rows, by the candidate order."""
-    rows = scorer_predictions(spark, sf_dir).where("split = 'validation'")
+    rows = scorer_predictions(spark, sf_dir, "validation")
     tried = rows.select("truth", F.posexplode(F.array(*[(C("score") >= value).cast("int") for value in _THRESHOLDS])).alias("candidate", "predicted"))
     table = metrics.binary_metrics(tried, ["candidate"]).withColumns({"params": F.lit("same"), "model": F.lit("rule_engine")})
     return metrics.best_candidates(table, ["model"]).select(C("candidate").cast("long").alias("candidate"), "f1", "balanced_accuracy", "false_positive_rate")
@@ -338,18 +351,18 @@ def best_threshold(spark, sf_dir):
 _CATEGORY_SQL = """CASE WHEN label = 'benign_transition' THEN 'benign update flagged by broad static drift signal' ELSE 'insufficient behaviour signal' END"""
 
 
-@query(f"WITH {SCORER_SQL} SELECT model, {_CATEGORY_SQL} AS failure_category, count(CASE WHEN label = 'benign_transition' THEN 1 END) AS false_positives, count(CASE WHEN label = 'risky_transition' THEN 1 END) AS false_negatives FROM predictions WHERE truth <> predicted GROUP BY 1, 2")
+@query(f"WITH {SCORER_SQL} SELECT model, {_CATEGORY_SQL} AS failure_category, count(CASE WHEN label = 'benign_transition' THEN 1 END) AS false_positives, count(CASE WHEN label = 'risky_transition' THEN 1 END) AS false_negatives FROM tested WHERE truth <> predicted GROUP BY 1, 2")
 def error_breakdown(spark, sf_dir):
-    """False positives and negatives by category."""
-    rows = stored_features(spark, sf_dir)
+    """False positives and negatives on the test rows by category."""
+    rows = pair_features(spark, sf_dir).where("split = 'test'")
     errors = metrics.attributed_errors(predictions_of(rows), rows)
     return metrics.error_breakdown(errors)
 
 
-@query(f"WITH {SCORER_SQL} SELECT pair_id AS record_id, model, {_CATEGORY_SQL} AS failure_category, score FROM predictions WHERE truth <> predicted")
+@query(f"WITH {SCORER_SQL} SELECT pair_id AS record_id, model, {_CATEGORY_SQL} AS failure_category, score FROM tested WHERE truth <> predicted")
 def error_attribution(spark, sf_dir):
-    """Every wrong prediction with its category."""
-    rows = stored_features(spark, sf_dir)
+    """Every wrong prediction on the test rows with its category."""
+    rows = pair_features(spark, sf_dir).where("split = 'test'")
     errors = metrics.attributed_errors(predictions_of(rows), rows)
     return errors.select("record_id", "model", "failure_category", "score")
 
