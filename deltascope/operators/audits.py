@@ -3,7 +3,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from deltascope import vocab
 from deltascope.functions.numbers import fixed_array, present, ratio, reasons
-from deltascope.operators.skew import spread_join
 
 C = F.col
 _protected = lambda: C("split").isin(vocab.SPLITS)
@@ -44,7 +43,7 @@ def repeated_hashes(records: DataFrame) -> DataFrame:
 def repeated_hash_members(records: DataFrame) -> DataFrame:
     """Every use of every repeated hash, one row each, however many uses a hash has."""
     repeated = repeated_hashes(records)
-    members = spread_join(package_sides(records), repeated, ["sha256"], "uses", by=["pair_id", "side"], how="inner")
+    members = package_sides(records).join(repeated, "sha256")  # a frequent hash is one row on that side; adaptive execution splits the other
     return members.select("sha256", "pair_id", "side", "adjacent_reuse")
 
 

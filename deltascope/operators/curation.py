@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from deltascope import vocab
 from deltascope.functions.numbers import lookup, present, reasons
 from deltascope.functions.versions import compare_versions, iso_time
-from deltascope.operators.skew import spread_join
 
 C = F.col
 
@@ -195,13 +194,13 @@ def validate(records: DataFrame) -> DataFrame:
     known = have("label").isin(list(vocab.LABELS))
     old_time, new_time = iso_time(have("old_timestamp")), iso_time(have("new_timestamp"))
     bad = lambda name: ~blank(name) & iso_time(have(name)).isNull()
-    counts = records.groupBy("pair_id").agg(F.count("*").alias("_copies"))
+    # Only keys at fault are joined back; frequent ones are left to adaptive execution, which splits their rows.
+    counts = records.groupBy("pair_id").agg(F.count("*").alias("_copies")).where("_copies > 1")
     experiment = C("split").isNotNull() & (C("split") != vocab.HOLDOUT_SPLIT)
     groups = records.groupBy("extension_id").agg(
-        F.size(F.collect_set(F.when(experiment, C("split")))).alias("_splits"), F.count("*").alias("_members")
-    )
-    joined = spread_join(records, counts, ["pair_id"], "_copies", by=["extension_id", "split"])
-    joined = spread_join(joined, groups, ["extension_id"], "_members", by=["pair_id"])
+        (F.min(F.when(experiment, C("split"))) != F.max(F.when(experiment, C("split")))).alias("_leaks")
+    ).where("_leaks")
+    joined = records.join(counts, "pair_id", "left").join(groups, "extension_id", "left")
     confidence = F.coalesce(have("label_confidence"), F.lit("high"))
     missing_hash = lambda side: F.lower(have(f"{side}_actual_sha256")) != F.lower(have(f"{side}_sha256"))
     errors = reasons(
@@ -216,7 +215,7 @@ def validate(records: DataFrame) -> DataFrame:
         (C("_copies") > 1, "duplicate pair_id"),
         (missing_hash("old"), "old_archive_path SHA-256 mismatch"),
         (missing_hash("new"), "new_archive_path SHA-256 mismatch"),
-        (C("_splits") > 1, "extension_id appears in multiple experiment splits"),
+        (C("_leaks"), "extension_id appears in multiple experiment splits"),
     )
     warnings = reasons((known & ~allowed_for_training(have("label")), _quoted("label", have("label"), " must be excluded from supervised training")))
     return joined.select("pair_id", "extension_id", errors.alias("errors"), warnings.alias("warnings"))

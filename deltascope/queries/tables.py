@@ -215,12 +215,13 @@ def page_files(spark, sf_dir, path: str = "page.js") -> DataFrame:
     )
 
 
-def document_pairs(spark, sf_dir) -> DataFrame:
+def document_pairs(spark, sf_dir, **carried: Column) -> DataFrame:
+    """Neighbouring documents of a source; `carried` columns of both come along as old_* and new_*."""
     chain = load(spark, sf_dir, "documents").select(
         C("source").alias("extension_id"), F.lpad(C("doc_id").cast("string"), 15, "0").alias("version"),
-        F.lit(None).cast("string").alias("timestamp"), C("doc_id").alias("package_id"),
+        F.lit(None).cast("string").alias("timestamp"), C("doc_id").alias("package_id"), *[column.alias(name) for name, column in carried.items()],
     )
-    return versions.consecutive_pairs(chain)
+    return versions.consecutive_pairs(chain, list(carried))
 
 
 def page_pairs(spark, sf_dir) -> DataFrame:
@@ -294,16 +295,11 @@ lit AS (
 # -- records: document pairs as entries of a dataset --------------------------------------------------
 def records(spark, sf_dir) -> DataFrame:
     """A record per pair of neighbouring documents of a source, with labels, licenses, times and hashes."""
-    documents = load(spark, sf_dir, "documents")
     marks = load(spark, sf_dir, "labels")
-    text = documents.select(C("doc_id"), F.sha2("text", 256).alias("sha"))
-    pairs = document_pairs(spark, sf_dir).select("pair_id", "extension_id", "old_package_id", "new_package_id")
+    pairs = document_pairs(spark, sf_dir, sha256=F.sha2("text", 256), lang=C("lang"), n_chars=C("n_chars"))
     old, new = C("old_package_id"), C("new_package_id")
-    facts = documents.select(C("doc_id").alias("new_package_id"), "lang", "n_chars", F.sha2("text", 256).alias("new_sha256"))
-    joined = (
-        pairs.join(facts, "new_package_id")
-        .join(text.select(C("doc_id").alias("old_package_id"), C("sha").alias("old_sha256")), "old_package_id")
-        .join(marks.select(C("doc_id").alias("new_package_id"), "quality", "toxic"), "new_package_id", "left")
+    joined = pairs.withColumnsRenamed({"new_lang": "lang", "new_n_chars": "n_chars"}).join(
+        marks.select(C("doc_id").alias("new_package_id"), "quality", "toxic"), "new_package_id", "left"
     )
     pick = lambda key, values: F.element_at(F.array(*[F.lit(value) for value in values]), (key % len(values) + 1).cast("int"))
     day = lambda key: F.date_format(F.date_add(F.lit("2021-01-01").cast("date"), (key % 1400).cast("int")), "yyyy-MM-dd'T'00:00:00'Z'")
