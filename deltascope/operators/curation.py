@@ -1,5 +1,5 @@
 """Curation of the pair table: intake, tiers, eligibility, validation, provisional labels."""
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from deltascope import vocab
 from deltascope.functions.numbers import lookup, present, reasons
@@ -257,12 +257,17 @@ def merge_records(previous: DataFrame, new: DataFrame) -> DataFrame:
     return previous.unionByName(new, allowMissingColumns=True)
 
 
-def snapshot(records: DataFrame) -> DataFrame:
-    """One row per split with counts and an order-independent content hash, plus a row for all."""
-    fields = [name for name in sorted(records.columns)]
-    row_hash = F.xxhash64(F.to_json(F.struct(*fields)))
+def snapshot(records: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One row per split with counts and an order-independent content hash, plus a row for all.
+
+    The hash is the sum, over the rows, of the first 15 hexadecimal digits of the SHA-256 of the fields as
+    text, in order of their names unless `fields` names them.
+    """
+    kinds = {field.name: field.dataType for field in records.schema.fields}
+    as_text = lambda name: F.to_json(name) if isinstance(kinds[name], (T.StructType, T.ArrayType, T.MapType)) else C(name).cast("string")
+    text = F.concat_ws("\u001f", *[F.coalesce(as_text(name), F.lit("")) for name in fields or sorted(records.columns)])
     eligible = F.coalesce(C("eligible_for_supervised_training"), F.lit(False))
-    hashed = records.withColumn("_row", row_hash.cast("decimal(38,0)"))
+    hashed = records.withColumn("_row", F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)"))
     return (
         hashed.groupingSets([["split"], []], "split")
         .agg(

@@ -200,6 +200,11 @@ def concordance_summary(compared: DataFrame) -> DataFrame:
     ).withColumn("exact_match_proportion", F.try_divide(C("exact_match_count"), C("comparable_record_count")))
 
 
+def concordance_table(compared: DataFrame) -> DataFrame:
+    """Comparable records by project label and human label: {project_label, human_label, records}."""
+    return compared.where("comparable").groupBy("project_label", C("mapped_label").alias("human_label")).agg(F.count("*").alias("records"))
+
+
 # -- adjudication -----------------------------------------------------------
 def adjudication_status(reviews: DataFrame) -> DataFrame:
     """Per record: how many reviewers and labels, and what follows."""

@@ -98,10 +98,10 @@ def holdout_exclusion(spark, sf_dir):
     return curation.without_holdout(rows, curation.external_holdout(rows)).select("record_id", "split")
 
 
-@query(f"WITH {CUR} SELECT coalesce(split, 'all') AS split, count(*) AS records, count(*) FILTER (WHERE eligible) AS eligible, count(DISTINCT extension_id) AS extensions, count(*) FILTER (WHERE label = 'uncertain') AS uncertain FROM curated GROUP BY GROUPING SETS ((split), ())")
+@query(f"WITH {CUR} SELECT coalesce(split, 'all') AS split, count(*) AS records, count(*) FILTER (WHERE eligible) AS eligible, count(DISTINCT extension_id) AS extensions, count(*) FILTER (WHERE label = 'uncertain') AS uncertain, CAST(sum(CAST('0x' || substr(sha256(concat_ws(chr(31), record_id, extension_id, coalesce(label, ''), coalesce(split, ''))), 1, 15) AS BIGINT)) AS VARCHAR) AS content_sum FROM curated GROUP BY GROUPING SETS ((split), ())")
 def dataset_snapshot(spark, sf_dir):
-    """Counts per split and for all; the content hash is left out as it has no SQL counterpart."""
-    return curation.snapshot(curated_records(spark, sf_dir).drop("reasons", "warnings", "notes")).drop("content_sum")
+    """Counts and content hash per split and for all."""
+    return curation.snapshot(curated_records(spark, sf_dir), ["record_id", "extension_id", "label", "split"])
 
 
 @query(f"WITH {t.RECORDS_SQL} SELECT record_id, extension_id, label FROM records")
@@ -467,6 +467,12 @@ def label_concordance(spark, sf_dir):
     return reviews.concordance_summary(reviews.concordance(_side(spark, sf_dir, "user"), project_records(spark, sf_dir)))
 
 
+@query(f"WITH {PROJECT_SQL} SELECT label AS project_label, mapped AS human_label, count(*) AS records FROM mapped JOIN project USING (record_id) WHERE reviewer_id = 'user' AND mapped <> 'NOT_COMPARABLE' GROUP BY 1, 2")
+def concordance_table(spark, sf_dir):
+    """Project labels against human labels."""
+    return reviews.concordance_table(reviews.concordance(_side(spark, sf_dir, "user"), project_records(spark, sf_dir)))
+
+
 _STATUS_SQL = "st AS (SELECT record_id, count(*) AS reviews, count(DISTINCT reviewer_id) AS reviewers, count(DISTINCT independent_label) AS labels, CASE WHEN count(DISTINCT reviewer_id) < 2 THEN 'single_review_only' WHEN count(DISTINCT independent_label) = 1 THEN 'agreement' ELSE 'disagreement_pending_adjudication' END AS disagreement_status FROM reviews GROUP BY 1)"
 
 
