@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     short = common.whole_text(docs, id_col, text_col).where(F.octet_length("text") <= SAMPLE_BYTES)
     rows = short.select("doc_id").join(marks, "doc_id")
     counts = dict(rows.groupBy("mark").count().collect())
-    drawn = [r for m in (0, 1) for r in rows.where(F.col("mark") == m).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(SAMPLE_DOCS).collect()]
+    drawn = [r for m in (0, 1) for r in common.hash_sample(rows.where(F.col("mark") == m), F.xxhash64("doc_id"), SAMPLE_DOCS, counts.get(m, 0)).collect()]
     if not drawn:
         return train([], [], 0.5)
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in drawn], rows.schema).distinct()
@@ -178,7 +178,7 @@ def with_score(docs: DataFrame, net: Network, text_col: str = "text", name: str
                 found = score_texts(net, piece.column(text_col).cast(pa.string()).fill_null(""))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(found)], names=[*piece.schema.names, name])
 
-    kept = docs.drop(name)
+    kept = common.small_batches(docs).drop(name)
     return kept.mapInArrow(score, common.extended(kept, **{name: "double"}))
 
 

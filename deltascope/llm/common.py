@@ -16,6 +16,8 @@ from deltascope.session import ensure_checkpoint_dir
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a task holds as arrays at a time.
 PIECE_BYTES = 1 << 21
+#: Rows that Spark hands to a Python worker at a time.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +29,26 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The same frame; the session hands rows to Python workers in batches that stay small when texts are long."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return frame
+
+
 def whole_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names. A null text is empty."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def hash_sample(frame: DataFrame, order: Column, wanted: int, total: int) -> DataFrame:
+    """At most `wanted` of the frame's `total` rows, those with the smallest 64-bit hashes `order`.
+
+    Rows are first thinned out to somewhat more than are wanted, so that no task offers rows that can hardly
+    be among them and the driver gets as much from many tasks as from few.
+    """
+    share = min(1.0, (1.3 * wanted + 200) / max(total, 1))
+    near = frame.withColumn("_order", order).where(F.pmod("_order", F.lit(1 << 31)) < int(share * (1 << 31)))
+    return near.orderBy(F.pmod("_order", F.lit(1 << 31)), "_order").limit(wanted).drop("_order")
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

@@ -73,17 +73,17 @@ def share_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     width = 1 << PIECE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << SLOT_BITS, np.int64)
+        held = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
-            for piece in common.pieces(batch):
+            for piece in common.pieces(batch, most=common.PIECE_BYTES // 2):
                 key, _, bounds = shingles(piece.column("text"))
                 text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 found = np.unique((text << SLOT_BITS) | slot(key)) & ((1 << SLOT_BITS) - 1)
-                held += np.bincount(found, minlength=1 << SLOT_BITS)
+                np.add.at(held, found, 1)
         if not held.any():
             return
         for k in range(0, 1 << SLOT_BITS, width):
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([k // width], pa.int32()), "counts": pa.array([np.minimum(held[k : k + width], 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([k // width], pa.int32()), "counts": pa.array([held[k : k + width].astype("<u4").tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = np.zeros(width, np.int64), 0
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in common.pieces(batch):
+            for piece in common.pieces(batch, most=common.PIECE_BYTES // 2):
                 key, counts, bounds = shingles(piece.column("text"))
                 weight = weights(key, counts, levels.value)
                 bands = [band_hashes(key[a:b], weight[a:b]).view(np.int64) if b > a else None for a, b in zip(bounds, bounds[1:])]
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in common.pieces(batch):
+            for piece in common.pieces(batch, most=common.PIECE_BYTES // 2):
                 key, counts, bounds = shingles(piece.column("text"))
                 weight = weights(key, counts, levels.value).astype("<f8")
                 spans = list(zip(bounds, bounds[1:]))

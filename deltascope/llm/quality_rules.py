@@ -77,7 +77,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Dat
     A column with the name of a count is replaced.
     """
     names = [prefix + x for x in STAT_NAMES]
-    kept = docs.drop(*[c for c in docs.columns if c in names])
+    kept = common.small_batches(docs).drop(*[c for c in docs.columns if c in names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
