@@ -142,13 +142,14 @@ def train(texts: list[str], langs: list[str]) -> Classifier:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
     """A classifier from a bounded sample of the documents whose language is not null: up to TEXTS of each of
-    the LANGUAGES most frequent languages (ties by name), those with the smallest hashes of the id, of at most
-    TEXT_BYTES bytes.
+    the LANGUAGES most frequent languages (ties by name), chosen by hash of id and text among the texts of at
+    most TEXT_BYTES bytes.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    short = rows.where(F.octet_length("text") <= TEXT_BYTES).select(F.xxhash64("doc_id", "text").alias("order"), "lang", "text")
-    sample = [r for name in names for r in short.where(F.col("lang") == name).orderBy("order", "text").limit(TEXTS).collect()]
+    short = rows.where(F.octet_length("text") <= TEXT_BYTES)
+    names = short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    order = F.xxhash64("doc_id", "text")
+    sample = [r for name in names for r in common.hash_sample(short.where(F.col("lang") == name.lang), order, TEXTS, name["count"]).select("lang", "text").collect()]
     return train([r.text for r in sample], [r.lang for r in sample])
 
 
@@ -157,7 +158,7 @@ def with_language(docs: DataFrame, model: Classifier, text_col: str = "text", na
 
     `und` with score 0 where the text is null or has no letter, or no language was learned.
     """
-    kept = docs.drop(name, score_name)
+    kept = common.small_batches(docs).drop(name, score_name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
