@@ -36,6 +36,8 @@ ROUNDS, BATCH, RATE = 2, 8192, 0.15
 #: Of the types outside the head, one in so many stands for the unknown type in training.
 PRETEND = 4
 PIECES = 48
+#: Token types that a task holds while it counts.
+HELD_TYPES = 500_000
 _END = np.uint64(0x5E5E5E5E0E4D0001)
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,13 +80,13 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ending), pa.array(n)], names=["hash", "ending", "n"])
 
         for batch in batches:
-            for piece in common.pieces(batch):
+            for piece in common.pieces(batch, most=common.PIECE_BYTES // 2):
                 key, ending, at, _ = tokens(piece.column("text"))
                 n = np.bincount(at, minlength=len(key))
                 held.append((key[n > 0], ending[n > 0], n[n > 0]))
             if len(held) > 1:
                 held = [added()]
-            if held and len(held[0][0]) > 2_000_000:
+            if held and len(held[0][0]) > HELD_TYPES:
                 yield rows()
                 held = []
         if held:
@@ -115,11 +117,21 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """Head and cells from the table of counts. The driver gets the head, a bounded number of types, and a sum for each ending."""
+    """Head and cells from the table of counts. The driver gets the head, at most `head` types, and a sum for each ending."""
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "hash").limit(head).toArrow()
+    # How many types occur how often, in classes that are exact for small numbers: the head is cut between two.
+    often = F.when(F.col("c") <= 64, F.col("c")).otherwise(F.floor(F.lit(64) + 16 * F.log2(F.col("c") / 64)))
+    least, inside = 0, 0
+    for row in sorted(counts.groupBy(often.alias("often")).count().collect(), key=lambda r: -r.often):
+        inside += row["count"]
+        if inside > head:
+            least = row.often + 1
+            break
+    top = counts.where(often >= least).toArrow()
     key, ending, c = (top.column(n).to_numpy() for n in ("hash", "ending", "c"))
-    key = key.view(np.uint64)
+    key = np.ascontiguousarray(key).view(np.uint64)
+    order = np.lexsort((key, -c))
+    key, ending, c = key[order], ending[order], c[order]
     masses_of = np.zeros(SHARED)
     for row in counts.groupBy("ending").agg(F.sum(F.col("c") + 0.5).alias("mass")).collect():
         masses_of[row.ending] += row.mass
@@ -255,6 +267,17 @@ def training_cells(vocab: Vocabulary, hashes: np.ndarray, endings: np.ndarray) -
     return cells, np.where(pretend, vocab.unknown, cells)
 
 
+CHANGES = "part int, piece int, ways int, rows binary, changes binary, seen binary"
+CHANGES_NAMES = [x.split()[0] for x in CHANGES.split(", ")]
+
+
+def changes_row(part: int, piece: int, group: int, rows: np.ndarray, changes: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    """Changes of some weight rows, each times how often the row occurred, and how often that was."""
+    numbers = [pa.array([x], pa.int32()) for x in (part, piece, group)]
+    data = [pa.array([x.tobytes()], pa.binary()) for x in (rows.astype("<u4"), changes.astype("<f4"), seen.astype("<i8"))]
+    return pa.RecordBatch.from_arrays([*numbers, *data], names=CHANGES_NAMES)
+
+
 def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
     """Weights after some rounds, each over its own part of the documents, by hash of the text."""
     spark = texts.sparkSession
@@ -266,7 +289,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             learner, vocab = Learner(current.value), known.value
             for batch in batches:
-                for piece in common.pieces(batch):
+                for piece in common.pieces(batch, most=common.PIECE_BYTES // 2):
                     hashes, endings, at, bounds = tokens(piece.column("text"))
                     context, target = training_cells(vocab, hashes, endings)
                     learner.learn(features(context[at], bounds), target[at])
@@ -277,32 +300,33 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
                 for k, at in enumerate(np.array_split(np.arange(len(new)), min(PIECES, len(new)))):
                     if seen[at].any():
                         rows = np.flatnonzero(seen[at]).astype("<u4")
-                        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "piece": pa.array([k], pa.int32()), "rows": pa.array([rows.tobytes()], pa.binary()), "changes": pa.array([change[at][rows].tobytes()], pa.binary()), "seen": pa.array([seen[at][rows].tobytes()], pa.binary())})
+                        yield changes_row(part, k, TaskContext.get().partitionId() % ways, rows, change[at][rows], seen[at][rows])
 
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             change = count = None
-            part = k = 0
+            part = k = group = 0
             for batch in batches:
-                for part, k, rows, changes, seen in zip(*[batch.column(c).to_pylist() for c in ("part", "piece", "rows", "changes", "seen")]):
+                for part, k, group, rows, changes, seen in zip(*[batch.column(c).to_pylist() for c in CHANGES_NAMES]):
                     if change is None:
-                        shape = weights_shape[part]
-                        size = len(np.array_split(np.arange(shape[0]), min(PIECES, shape[0]))[k])
-                        change, count = np.zeros((size, shape[1])), np.zeros(size)
+                        size = len(np.array_split(np.arange(shapes[part][0]), min(PIECES, shapes[part][0]))[k])
+                        change, count = np.zeros((size, shapes[part][1])), np.zeros(size, np.int64)
                     at = np.frombuffer(rows, "<u4")
-                    change[at] += np.frombuffer(changes, np.float32).reshape(len(at), -1)
-                    count[at] += np.frombuffer(seen, np.int64)
-            change /= np.maximum(count, 1)[:, None]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "piece": pa.array([k], pa.int32()), "changes": pa.array([change.astype(np.float32).tobytes()], pa.binary())})
+                    change[at] += np.frombuffer(changes, "<f4").reshape(len(at), -1)
+                    count[at] += np.frombuffer(seen, "<i8")
+            kept = np.flatnonzero(count).astype("<u4")
+            yield changes_row(part, k, group, kept, change[kept], count[kept])
 
-        weights_shape = [p.shape for p in weights.parts()]
         own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == done).select("text")
-        shape = "part int, piece int, rows binary, changes binary, seen binary"
-        found = own.mapInArrow(learn, shape).groupBy("part", "piece").applyInArrow(mean, "part int, piece int, changes binary").collect()  # the weights, of fixed size
+        # Two steps of about the same width, so that what one task adds up grows with the root of the tasks.
+        ways = max(1, int(np.sqrt(own.rdd.getNumPartitions())))
+        shapes = [p.shape for p in weights.parts()]
+        partial = own.mapInArrow(learn, CHANGES).groupBy("part", "piece", "ways").applyInArrow(add, CHANGES)
+        found = partial.groupBy("part", "piece").applyInArrow(add, CHANGES).collect()  # of the size of the weights
         weights = weights.copy()
         for row in found:
             p = weights.parts()[row.part]
-            at = np.array_split(np.arange(len(p)), min(PIECES, len(p)))[row.piece]
-            p[at] += np.frombuffer(bytes(row.changes), np.float32).reshape(len(at), -1)
+            at = np.array_split(np.arange(len(p)), min(PIECES, len(p)))[row.piece][np.frombuffer(bytes(row.rows), "<u4")]
+            p[at] += np.frombuffer(bytes(row.changes), "<f4").reshape(len(at), -1) / np.frombuffer(bytes(row.seen), "<i8")[:, None]
     return weights
 
 
@@ -321,7 +345,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: Weight
         number = TaskContext.get().partitionId() << 33
         log_mass = np.log10(np.maximum(vocab.masses, 1e-9))
         for batch in batches:
-            for piece in common.pieces(batch):
+            for piece in common.pieces(batch, most=common.PIECE_BYTES // 2):
                 hashes, endings, at, bounds = tokens(piece.column("text"))
                 cells, inside, c = vocab.look_up(hashes, endings)
                 cell = cells[at]
@@ -380,7 +404,7 @@ def learn_and_score(docs: DataFrame, held_out: str = "held_out", keep: tuple[str
     A null text is empty and has the end token only. Without any training text every token is unknown and
     base_score is 0. Rows may repeat; each is scored.
     """
-    rows = docs.select(*keep, held_out, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = common.small_batches(docs).select(*keep, held_out, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     training = rows.where(~F.col(held_out)).select("text")
     counts = common.stored(count_tokens(training), "counts")
     vocab = vocabulary(counts, head)

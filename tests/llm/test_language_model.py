@@ -37,7 +37,7 @@ def test_scores(spark, head):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found) == want
     assert all(r.score < 0 for r in found)
     held = [r for r in found if r.held_out and r.doc_id is not None and r.doc_id < 900]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held) * (0.8 if head > 6 else 0.95)
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) * (0.8 if head > 6 else 0.97)
 
 
 def test_without_training_texts(spark):
