@@ -139,8 +139,8 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     keys = ["label", "width", "digest"]
     distinct = common.stored(prepared.where("raw is not null").groupBy(*keys).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "distinct")
     axes = {}
-    for (width,) in distinct.select("width").distinct().orderBy("width").limit(16).collect():  # further lengths are one grid cell, and still joined
-        sample = distinct.where(F.col("width") == width).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("raw").collect()
+    for width, count in distinct.groupBy("width").count().orderBy("width").limit(16).collect():  # further lengths are one grid cell, and still joined
+        sample = common.hash_sample(distinct.where(F.col("width") == width), F.xxhash64("node"), SAMPLE, count).select("raw").collect()
         axes[width] = directions([bytes(r.raw) for r in sample], kind)
     names = [f"p{k}" for k in range(DIRECTIONS)]
 
