@@ -17,7 +17,7 @@ WORD_BREAKS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a task holds as arrays at a time.
 PIECE_BYTES = 1 << 21
 #: Rows that Spark hands to a Python worker at a time.
-BATCH_ROWS = 2000
+BATCH_ROWS = 4000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from deltascope.llm import pretokens
 
 #: A task forgets its pre-tokens when it knows this many. Ids do not depend on it.
-KNOWN_PRETOKENS = 400_000
+KNOWN_PRETOKENS = 600_000
 
 
 class PretokenIds:
