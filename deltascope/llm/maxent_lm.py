@@ -33,8 +33,10 @@ HEAD = 1 << 19
 #: Weight rows of the classes and of the slots. Features: the last token, the one before, the last two, the third last.
 CLASS_ROWS, SLOT_ROWS, FEATURES = 1 << 14, 1 << 15, 4
 ROUNDS, BATCH, RATE = 2, 8192, 0.15
-#: Of the types outside the head, one in so many stands for the unknown type in training.
+#: Of the types that occur once in training, one in so many stands for the unknown type there, in the head or not.
 PRETEND = 4
+#: Types that stand for the unknown one, at most; when there would be more, fewer stand for it and each counts for several.
+STAND_INS = 1 << 20
 PIECES = 48
 #: Token types that a task holds while it counts.
 HELD_TYPES = 500_000
@@ -103,6 +105,8 @@ class Vocabulary:
     cells: np.ndarray
     shared: np.ndarray  # cell of each ending
     unknown: int  # cell of the unknown type
+    stand_ins: np.ndarray  # hashes of the types that stand for the unknown one in training, ascending
+    stands_for: int  # how many such types each of them counts for
     masses: np.ndarray  # of each cell: sum of c + 0.5 over its types
     total: int
     types: int
@@ -116,9 +120,15 @@ class Vocabulary:
         return np.where(inside, self.cells[at], self.shared[endings]), inside, np.where(inside, self.counts[at], 0)
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """Head and cells from the table of counts. The driver gets the head, at most `head` types, and a sum for each ending."""
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+def vocabulary(counts: DataFrame, head: int = HEAD, most: int = STAND_INS) -> Vocabulary:
+    """Head and cells from the table of counts. The driver gets the head, at most `head` types, a sum for each ending, and about `most` stand-ins."""
+    total, types, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
+    stands_for = 1
+    while once > PRETEND * stands_for * most:
+        stands_for *= 2
+    # The end of a text is no word and never stands for one.
+    chosen = (F.col("c") == 1) & (F.pmod("hash", F.lit(PRETEND * stands_for)) == 0) & (F.col("hash") != int(_END))
+    stand_ins = np.sort(np.ascontiguousarray(counts.where(chosen).select("hash").toArrow().column(0).to_numpy()).view(np.uint64))
     # How many types occur how often, in classes that are exact for small numbers: the head is cut between two.
     often = F.when(F.col("c") <= 64, F.col("c")).otherwise(F.floor(F.lit(64) + 16 * F.log2(F.col("c") / 64)))
     least, inside = 0, 0
@@ -138,16 +148,15 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     own = min(len(key), CELLS - SHARED - 1)
     masses_of -= np.bincount(ending[:own], c[:own] + 0.5, minlength=SHARED) if own else 0
     masses_of[masses_of < 0.25] = 0  # no types are left with this ending
-    rest = masses_of.sum()
     # Cells by mass: a class holds cells of similar frequency.
-    mass = np.concatenate([c[:own] + 0.5, masses_of, [max(rest / PRETEND, 0.5)], np.zeros(CELLS - own - SHARED - 1)])
+    mass = np.concatenate([c[:own] + 0.5, masses_of, [max(len(stand_ins) * stands_for, 0.5)], np.zeros(CELLS - own - SHARED - 1)])
     place = np.empty(CELLS, np.int64)
     place[np.argsort(-mass, kind="stable")] = np.arange(CELLS)
     cells = np.concatenate([place[:own], place[own : own + SHARED][ending[own:]]])
     order = np.argsort(key)
     masses = np.zeros(CELLS)
     masses[place] = mass
-    return Vocabulary(key[order], c[order].astype(np.int64), cells[order], place[own : own + SHARED], int(place[own + SHARED]), masses, int(total), int(types))
+    return Vocabulary(key[order], c[order].astype(np.int64), cells[order], place[own : own + SHARED], int(place[own + SHARED]), stand_ins, stands_for, masses, int(total), int(types))
 
 
 @dataclass
@@ -244,7 +253,8 @@ class Learner:
         self.seen[part][rows] += times
         self.weights.parts()[part][rows] -= total * (self.rate / np.sqrt(sums[rows]))[:, None]
 
-    def learn(self, hashed: np.ndarray, cells: np.ndarray) -> None:
+    def learn(self, hashed: np.ndarray, cells: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Follows the gradients of all places, each counted once or as often as `times` says."""
         for i in range(0, len(cells), BATCH):
             classes, slots = np.divmod(cells[i : i + BATCH], SLOTS)
             first, second = _rows(hashed[:, i : i + BATCH], classes)
@@ -252,6 +262,9 @@ class Learner:
             at = np.arange(len(classes))
             p[at, classes] -= 1
             q[at, slots] -= 1
+            if times is not None:
+                p *= times[i : i + BATCH, None]
+                q *= times[i : i + BATCH, None]
             self._move(0, np.zeros(1, np.intp), p.sum(axis=0, keepdims=True), np.array([len(classes)]))
             member = (np.arange(CLASSES)[:, None] == classes).astype(np.float32)
             self._move(1, np.arange(CLASSES), member @ q, member.sum(axis=1).astype(np.int64))
@@ -260,11 +273,14 @@ class Learner:
                 self._step(3, second[k], q)
 
 
-def training_cells(vocab: Vocabulary, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of each type as context and as target; some types outside the head are the unknown one as targets."""
-    cells, inside, _ = vocab.look_up(hashes, endings)
-    pretend = ~inside & (words.mix(hashes ^ _M1) % np.uint64(PRETEND) == 0)
-    return cells, np.where(pretend, vocab.unknown, cells)
+def training_cells(vocab: Vocabulary, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell of each type as context and as target, and how often it counts; stand-ins are the unknown type as targets."""
+    cells, _, _ = vocab.look_up(hashes, endings)
+    if not len(vocab.stand_ins):
+        return cells, cells, np.ones(len(cells), np.float32)
+    at = np.minimum(np.searchsorted(vocab.stand_ins, hashes), len(vocab.stand_ins) - 1)
+    pretend = vocab.stand_ins[at] == hashes
+    return cells, np.where(pretend, vocab.unknown, cells), np.where(pretend, vocab.stands_for, 1).astype(np.float32)
 
 
 CHANGES = "part int, piece int, ways int, rows binary, changes binary, seen binary"
@@ -282,7 +298,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
     """Weights after some rounds, each over its own part of the documents, by hash of the text."""
     spark = texts.sparkSession
     weights = fresh_weights(vocab)
-    known = spark.sparkContext.broadcast(vocab)  # bounded by HEAD
+    known = spark.sparkContext.broadcast(vocab)  # bounded by HEAD and STAND_INS
     for done in range(rounds):
         current = spark.sparkContext.broadcast(weights)  # of fixed size
 
@@ -291,8 +307,8 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
             for batch in batches:
                 for piece in common.pieces(batch, most=common.PIECE_BYTES // 2):
                     hashes, endings, at, bounds = tokens(piece.column("text"))
-                    context, target = training_cells(vocab, hashes, endings)
-                    learner.learn(features(context[at], bounds), target[at])
+                    context, target, times = training_cells(vocab, hashes, endings)
+                    learner.learn(features(context[at], bounds), target[at], times[at] if vocab.stands_for > 1 else None)
             if not learner.seen[0].any():
                 return
             for part, (new, old, seen) in enumerate(zip(learner.weights.parts(), current.value.parts(), learner.seen)):

@@ -94,3 +94,33 @@ def test_tokens_are_words_and_an_end():
     names = [t for text in texts for t in token_list(text)]
     assert len(set(hashes[at].tolist())) == len(set(names))
     assert {(n, h) for n, h in zip(names, hashes[at].tolist())}.__len__() == len(set(names))
+
+
+def test_unseen_words_keep_their_share_at_every_head(spark):
+    """Words that occur once stand for the unknown one inside the head and outside, few for many if need be."""
+    rng = random.Random(5)
+    line = lambda k: " ".join(f"w{rng.randint(0, 40)}" if rng.random() < 0.8 else f"once{k}x{i}" for i in range(30))
+    rows = [(k, line(k), k % 5 == 1) for k in range(400)]
+    frame = spark.createDataFrame([(t,) for _, t, h in rows if not h], "text string")
+    counts = maxent_lm.count_tokens(frame).cache()
+    once = sum(n == 1 for n in Counter(t for _, text, h in rows if not h for t in token_list(text)).values())
+    unseen = {}
+    for head, most in ((maxent_lm.HEAD, maxent_lm.STAND_INS), (6, maxent_lm.STAND_INS), (maxent_lm.HEAD, 100)):
+        vocab = maxent_lm.vocabulary(counts, head, most)
+        assert abs(len(vocab.stand_ins) * vocab.stands_for - once / maxent_lm.PRETEND) < 0.35 * once / maxent_lm.PRETEND
+        assert vocab.masses[vocab.unknown] == len(vocab.stand_ins) * vocab.stands_for
+        weights = maxent_lm.train(frame, vocab)
+        total = 0.0
+        for _, text, held in rows:
+            if held:
+                hashes, endings, at, bounds = maxent_lm.tokens(pa.array([text]))
+                hashed = maxent_lm.features(vocab.look_up(hashes, endings)[0][at], bounds)
+                new = np.array([t is not None and t.startswith(b"once") for t in token_list(text)])
+                total += maxent_lm.log_probabilities(weights, hashed[:, new], np.full(new.sum(), vocab.unknown)).sum() / 80
+        unseen[head, most] = total
+    # A fifth of the tokens are unseen and a quarter of those seen once stand for them: 6 a text at about a twentieth
+    # each, and less because few texts teach each context little. The head must not matter.
+    fair = 6 * math.log10(1 / 20)
+    assert all(1.6 * fair < x < 0.7 * fair for x in unseen.values()), unseen
+    inside, outside, _ = unseen.values()
+    assert abs(inside - outside) < 0.05 * abs(fair)
