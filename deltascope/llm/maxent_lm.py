@@ -1,11 +1,12 @@
 """Language model: maximum entropy with hashed n-gram and skip features and a class-factored softmax.
 
-Every token type is in one of CLASSES * SLOTS cells: the most frequent ones have a cell of their own, all
-others share one with those of the same hashed ending, and types never seen in training are one type with a
-cell of its own. The probability of a token is that of its cell's class, times that of its slot in the class,
-times its part of the cell's smoothed count; the first two are softmaxes over sums of weight rows, one row
-for each feature of what went before, found by hash. All known types and the unknown one add up
-to 1, less the next to nothing that cells without types get.
+Every token type is in one of CLASSES * SLOTS cells, or more when there are many types: the most frequent ones
+have a cell of their own, all others share one with those of the same hashed ending, and types never seen in
+training are one type with a cell of its own. The probability of a token is that of its cell's class, times that
+of its slot in the class, times its part of the cell's smoothed count; the first two are softmaxes over sums of
+weight rows, one row for each feature of the words that went before. Features are found by the words' own hashes,
+however rare the words are, and there are more rows for more training tokens. All known types and the unknown one
+add up to 1, less the next to nothing that cells without types get.
 
 The weights start at the cells' frequencies and are trained in rounds. In a round every task starts from the
 same weights, walks its part of the round's documents in batches, and hands back, for each row, the weights
@@ -24,14 +25,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from deltascope.llm import common, words
 
+#: Classes and slots of each at least, and at most; in between about the cube root of the number of types.
 CLASSES, SLOTS = 32, 32
-CELLS = CLASSES * SLOTS
+MOST_CLASSES = 64
 #: Cells shared by word endings; the rest, but for the unknown type's, belong to frequent types.
 SHARED = 256
 #: Most frequent types that every task knows; the others are looked up in a join.
 HEAD = 1 << 19
 #: Weight rows of the classes and of the slots. Features: the last token, the one before, the last two, the third last.
+#: There are as many rows at least; one class row for each ROW_TOKENS training tokens up to MOST_CLASS_ROWS, and twice as many slot rows.
 CLASS_ROWS, SLOT_ROWS, FEATURES = 1 << 14, 1 << 15, 4
+ROW_TOKENS, MOST_CLASS_ROWS = 1024, 1 << 16
 ROUNDS, BATCH, RATE = 2, 8192, 0.15
 #: Of the types that occur once in training, one in so many stands for the unknown type there, in the head or not.
 PRETEND = 4
@@ -40,7 +44,7 @@ STAND_INS = 1 << 20
 PIECES = 48
 #: Token types that a task holds while it counts.
 HELD_TYPES = 500_000
-_END = np.uint64(0x5E5E5E5E0E4D0001)
+_END, _START = np.uint64(0x5E5E5E5E0E4D0001), np.uint64(0x5E5E5E5E0E4D0002)
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,6 +124,14 @@ class Vocabulary:
         return np.where(inside, self.cells[at], self.shared[endings]), inside, np.where(inside, self.counts[at], 0)
 
 
+def side_for(types: int) -> int:
+    """Number of classes, and of slots in each."""
+    side = CLASSES
+    while side < MOST_CLASSES and (2 * side) ** 3 <= types:
+        side *= 2
+    return side
+
+
 def vocabulary(counts: DataFrame, head: int = HEAD, most: int = STAND_INS) -> Vocabulary:
     """Head and cells from the table of counts. The driver gets the head, at most `head` types, a sum for each ending, and about `most` stand-ins."""
     total, types, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
@@ -145,16 +157,17 @@ def vocabulary(counts: DataFrame, head: int = HEAD, most: int = STAND_INS) -> Vo
     masses_of = np.zeros(SHARED)
     for row in counts.groupBy("ending").agg(F.sum(F.col("c") + 0.5).alias("mass")).collect():
         masses_of[row.ending] += row.mass
-    own = min(len(key), CELLS - SHARED - 1)
+    size = side_for(types) ** 2
+    own = min(len(key), size - SHARED - 1)
     masses_of -= np.bincount(ending[:own], c[:own] + 0.5, minlength=SHARED) if own else 0
     masses_of[masses_of < 0.25] = 0  # no types are left with this ending
     # Cells by mass: a class holds cells of similar frequency.
-    mass = np.concatenate([c[:own] + 0.5, masses_of, [max(len(stand_ins) * stands_for, 0.5)], np.zeros(CELLS - own - SHARED - 1)])
-    place = np.empty(CELLS, np.int64)
-    place[np.argsort(-mass, kind="stable")] = np.arange(CELLS)
+    mass = np.concatenate([c[:own] + 0.5, masses_of, [max(len(stand_ins) * stands_for, 0.5)], np.zeros(size - own - SHARED - 1)])
+    place = np.empty(size, np.int64)
+    place[np.argsort(-mass, kind="stable")] = np.arange(size)
     cells = np.concatenate([place[:own], place[own : own + SHARED][ending[own:]]])
     order = np.argsort(key)
-    masses = np.zeros(CELLS)
+    masses = np.zeros(size)
     masses[place] = mass
     return Vocabulary(key[order], c[order].astype(np.int64), cells[order], place[own : own + SHARED], int(place[own + SHARED]), stand_ins, stands_for, masses, int(total), int(types))
 
@@ -174,24 +187,28 @@ class Weights:
 
 
 def fresh_weights(vocab: Vocabulary) -> Weights:
-    mass = np.maximum(vocab.masses, 1e-9).reshape(CLASSES, SLOTS)
+    side = int(np.sqrt(len(vocab.masses)))
+    rows = CLASS_ROWS
+    while rows < MOST_CLASS_ROWS and 2 * rows * ROW_TOKENS <= vocab.total:
+        rows *= 2
+    mass = np.maximum(vocab.masses, 1e-9).reshape(side, side)
     slots = np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32)
     classes = np.log(mass.sum(axis=1) / mass.sum()).astype(np.float32)
-    return Weights(classes[None], slots, np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((SLOT_ROWS, SLOTS), np.float32))
+    return Weights(classes[None], slots, np.zeros((rows, side), np.float32), np.zeros((rows * (SLOT_ROWS // CLASS_ROWS), side), np.float32))
 
 
-def features(cells: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Hash of each feature of what precedes each token. Before a text's start stands a mark of its own."""
+def features(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hash of each feature of what precedes each token, from the tokens' own hashes. Before a text's start stands a mark of its own."""
     start = np.repeat(bounds[:-1], np.diff(bounds))
-    at = np.arange(len(cells))
+    at = np.arange(len(hashes))
     before = []
     for back in (1, 2, 3):
-        previous = np.full(len(cells), CELLS, np.uint64)
-        previous[back:] = cells[:-back]
-        previous[at - start < back] = CELLS
+        previous = np.full(len(hashes), _START, np.uint64)
+        previous[back:] = hashes[:-back]
+        previous[at - start < back] = _START
         before.append(previous)
     one, two, three = before
-    raw = [one, two + np.uint64(1 << 12), (one << np.uint64(12)) + two + np.uint64(1 << 28), three + np.uint64(1 << 13)]
+    raw = [one, two + np.uint64(1 << 12), words.mix(one + _M1) + two, three + np.uint64(1 << 13)]
     return words.mix(np.stack(raw) * _M2 + np.uint64(1))
 
 
@@ -202,10 +219,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _rows(hashed: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rows(w: Weights, hashed: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class rows and slot rows of each feature."""
-    first = (hashed % np.uint64(CLASS_ROWS)).astype(np.intp)
-    second = (words.mix(hashed + classes.astype(np.uint64) * _M1) % np.uint64(SLOT_ROWS)).astype(np.intp)
+    first = (hashed % np.uint64(len(w.class_rows))).astype(np.intp)
+    second = (words.mix(hashed + classes.astype(np.uint64) * _M1) % np.uint64(len(w.slot_rows))).astype(np.intp)
     return first, second
 
 
@@ -225,8 +242,8 @@ def log_probabilities(w: Weights, hashed: np.ndarray, cells: np.ndarray, step: i
     """log10 of the probability of each cell, given the features at its place."""
     out = np.empty(len(cells))
     for i in range(0, len(cells), step):
-        classes, slots = np.divmod(cells[i : i + step], SLOTS)
-        p, q = _forward(w, *_rows(hashed[:, i : i + step], classes), classes)
+        classes, slots = np.divmod(cells[i : i + step], w.slot_bias.shape[1])
+        p, q = _forward(w, *_rows(w, hashed[:, i : i + step], classes), classes)
         at = np.arange(len(classes))
         out[i : i + step] = np.log10(np.maximum(p[at, classes].astype(np.float64) * q[at, slots], 1e-300))
     return out
@@ -241,7 +258,8 @@ class Learner:
         self.seen = [np.zeros(len(p), np.int64) for p in weights.parts()]
 
     def _step(self, part: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        rows = rows.astype(np.uint16)  # tables have 2^16 rows at most, and numbers of 16 bits sort fastest
+        if len(self.sums[part]) <= 1 << 16:
+            rows = rows.astype(np.uint16)  # numbers of 16 bits sort fastest
         order = np.argsort(rows, kind="stable")
         ordered = rows[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -256,8 +274,8 @@ class Learner:
     def learn(self, hashed: np.ndarray, cells: np.ndarray, times: np.ndarray | None = None) -> None:
         """Follows the gradients of all places, each counted once or as often as `times` says."""
         for i in range(0, len(cells), BATCH):
-            classes, slots = np.divmod(cells[i : i + BATCH], SLOTS)
-            first, second = _rows(hashed[:, i : i + BATCH], classes)
+            classes, slots = np.divmod(cells[i : i + BATCH], self.weights.slot_bias.shape[1])
+            first, second = _rows(self.weights, hashed[:, i : i + BATCH], classes)
             p, q = _forward(self.weights, first, second, classes)
             at = np.arange(len(classes))
             p[at, classes] -= 1
@@ -266,21 +284,22 @@ class Learner:
                 p *= times[i : i + BATCH, None]
                 q *= times[i : i + BATCH, None]
             self._move(0, np.zeros(1, np.intp), p.sum(axis=0, keepdims=True), np.array([len(classes)]))
-            member = (np.arange(CLASSES)[:, None] == classes).astype(np.float32)
-            self._move(1, np.arange(CLASSES), member @ q, member.sum(axis=1).astype(np.int64))
+            every = np.arange(len(self.weights.slot_bias))
+            member = (every[:, None] == classes).astype(np.float32)
+            self._move(1, every, member @ q, member.sum(axis=1).astype(np.int64))
             for k in range(FEATURES):
                 self._step(2, first[k], p)
                 self._step(3, second[k], q)
 
 
-def training_cells(vocab: Vocabulary, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell of each type as context and as target, and how often it counts; stand-ins are the unknown type as targets."""
+def training_targets(vocab: Vocabulary, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of each type as a target, and how often it counts; stand-ins are the unknown type."""
     cells, _, _ = vocab.look_up(hashes, endings)
     if not len(vocab.stand_ins):
-        return cells, cells, np.ones(len(cells), np.float32)
+        return cells, np.ones(len(cells), np.float32)
     at = np.minimum(np.searchsorted(vocab.stand_ins, hashes), len(vocab.stand_ins) - 1)
     pretend = vocab.stand_ins[at] == hashes
-    return cells, np.where(pretend, vocab.unknown, cells), np.where(pretend, vocab.stands_for, 1).astype(np.float32)
+    return np.where(pretend, vocab.unknown, cells), np.where(pretend, vocab.stands_for, 1).astype(np.float32)
 
 
 CHANGES = "part int, piece int, ways int, rows binary, changes binary, seen binary"
@@ -300,23 +319,23 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
     weights = fresh_weights(vocab)
     known = spark.sparkContext.broadcast(vocab)  # bounded by HEAD and STAND_INS
     for done in range(rounds):
-        current = spark.sparkContext.broadcast(weights)  # of fixed size
+        current = spark.sparkContext.broadcast(weights)  # bounded by MOST_CLASS_ROWS and MOST_CLASSES
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             learner, vocab = Learner(current.value), known.value
             for batch in batches:
                 for piece in common.pieces(batch, most=common.PIECE_BYTES // 2):
                     hashes, endings, at, bounds = tokens(piece.column("text"))
-                    context, target, times = training_cells(vocab, hashes, endings)
-                    learner.learn(features(context[at], bounds), target[at], times[at] if vocab.stands_for > 1 else None)
+                    target, times = training_targets(vocab, hashes, endings)
+                    learner.learn(features(hashes[at], bounds), target[at], times[at] if vocab.stands_for > 1 else None)
             if not learner.seen[0].any():
                 return
             for part, (new, old, seen) in enumerate(zip(learner.weights.parts(), current.value.parts(), learner.seen)):
-                change = ((new - old) * seen[:, None]).astype(np.float32)
                 for k, at in enumerate(np.array_split(np.arange(len(new)), min(PIECES, len(new)))):
                     if seen[at].any():
                         rows = np.flatnonzero(seen[at]).astype("<u4")
-                        yield changes_row(part, k, TaskContext.get().partitionId() % ways, rows, change[at][rows], seen[at][rows])
+                        own = at[rows]
+                        yield changes_row(part, k, TaskContext.get().partitionId() % ways, rows, (new[own] - old[own]) * seen[own, None], seen[own])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             change = count = None
@@ -332,17 +351,18 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
             kept = np.flatnonzero(count).astype("<u4")
             yield changes_row(part, k, group, kept, change[kept], count[kept])
 
-        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == done).select("text")
+        # As many learners as cores: what they hand back grows with the rows and the cores, not with both and the input.
+        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == done).select("text").coalesce(spark.sparkContext.defaultParallelism)
         # Two steps of about the same width, so that what one task adds up grows with the root of the tasks.
         ways = max(1, int(np.sqrt(own.rdd.getNumPartitions())))
         shapes = [p.shape for p in weights.parts()]
         partial = own.mapInArrow(learn, CHANGES).groupBy("part", "piece", "ways").applyInArrow(add, CHANGES)
-        found = partial.groupBy("part", "piece").applyInArrow(add, CHANGES).collect()  # of the size of the weights
-        weights = weights.copy()
-        for row in found:
+        found = partial.groupBy("part", "piece").applyInArrow(add, CHANGES)  # of the size of the weights
+        for row in found.toLocalIterator():
             p = weights.parts()[row.part]
             at = np.array_split(np.arange(len(p)), min(PIECES, len(p)))[row.piece][np.frombuffer(bytes(row.rows), "<u4")]
             p[at] += np.frombuffer(bytes(row.changes), "<f4").reshape(len(at), -1) / np.frombuffer(bytes(row.seen), "<i8")[:, None]
+        current.unpersist()
     return weights
 
 
@@ -365,7 +385,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: Weight
                 hashes, endings, at, bounds = tokens(piece.column("text"))
                 cells, inside, c = vocab.look_up(hashes, endings)
                 cell = cells[at]
-                hashed = features(cell, bounds)
+                hashed = features(hashes[at], bounds)
                 found = log_probabilities(w, hashed, cell) - log_mass[cell]
                 text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 head = inside[at]
