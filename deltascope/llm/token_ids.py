@@ -3,10 +3,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from deltascope.llm import pretokens
 
@@ -61,23 +63,78 @@ class PretokenIds:
         return ids, np.concatenate([[0], ends])[places]
 
 
-def library_encoder(path: str) -> PretokenIds:
-    """Ids by the tokenizers library, without special tokens.
+class AddedTokenIds:
+    """Ids of texts in which added tokens stand: those found first get their ids, `between` codes what lies between.
 
-    The file's pre-tokenizer must be the byte-level one with its pattern, which `pretokens` has applied by
+    `find` gives the characters of a text that an added token takes, with its id: (id, start, stop), ascending.
+    `marks` are contents without which a text has none.
+    """
+
+    def __init__(self, between: PretokenIds, marks: list[str], find: Callable[[str], list[tuple[int, int, int]]]):
+        self.between, self.find = between, find
+        self.pattern = "|".join(re.escape(x) for x in marks)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As PretokenIds.encode."""
+        marked = np.flatnonzero(pc.match_substring_regex(texts, self.pattern).to_numpy(zero_copy_only=False))
+        if not len(marked):
+            return self.between.encode(texts)
+        parts, owners, added = [], [], []  # after each part comes its added token, or none (-1)
+        last = 0
+        for k in marked.tolist():
+            parts.append(texts.slice(last, k - last))
+            owners.append(np.arange(last, k))
+            added.append(np.full(k - last, -1, np.int64))
+            text, at, pieces, ids = texts[k].as_py(), 0, [], []
+            for number, start, stop in self.find(text):
+                pieces.append(text[at:start])
+                ids.append(number)
+                at = stop
+            parts.append(pa.array([*pieces, text[at:]], texts.type))
+            owners.append(np.full(len(pieces) + 1, k))
+            added.append(np.array([*ids, -1], np.int64))
+            last = k + 1
+        parts.append(texts.slice(last))
+        owners.append(np.arange(last, len(texts)))
+        added.append(np.full(len(texts) - last, -1, np.int64))
+        owner, after = np.concatenate(owners), np.concatenate(added)
+        coded, bounds = self.between.encode(pa.concat_arrays(parts))
+        out = np.insert(coded, bounds[1:][after >= 0], after[after >= 0].astype(np.uint32))
+        ends = bounds[1:] + np.cumsum(after >= 0)
+        lengths = np.diff(np.concatenate([[0], ends]))
+        return out, np.concatenate([[0], np.cumsum(np.bincount(owner, lengths, minlength=len(texts)).astype(np.int64))])
+
+
+def library_encoder(path: str) -> PretokenIds | AddedTokenIds:
+    """Ids by the tokenizers library, as encode(text, add_special_tokens=False) of the file gives them.
+
+    The file's added tokens are matched in whole texts, by the library; the texts between them are coded by
+    pre-tokens. The file's pre-tokenizer must be the byte-level one with its pattern, which `pretokens` has applied by
     then; the library is only spared the search for matches within a pre-token.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    form = json.loads(tokenizer.to_str())["pre_tokenizer"]
+    file = json.loads(tokenizer.to_str())
+    form = file["pre_tokenizer"]
     if not (form and form["type"] == "ByteLevel" and form["use_regex"] and not form["add_prefix_space"]):
         raise ValueError(f"{path}: not a byte-level pre-tokenizer without a prefix space")
     tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return PretokenIds(lambda words: [x.ids for x in encode(words, add_special_tokens=False)])
+    between = PretokenIds(lambda words: [x.ids for x in encode(words, add_special_tokens=False)])
+    if not file["added_tokens"]:
+        return between
+    if file["normalizer"] is not None:
+        raise ValueError(f"{path}: added tokens and a normalizer")
+    numbers = {x["id"] for x in file["added_tokens"]}
+    finder = Tokenizer.from_file(path)
+
+    def find(text: str) -> list[tuple[int, int, int]]:
+        coded = finder.encode(text, add_special_tokens=False)
+        return [(i, *span) for i, span in zip(coded.ids, coded.offsets) if i in numbers]
+
+    return AddedTokenIds(between, [x["content"] for x in file["added_tokens"]], find)
 
 
 def with_end_ids(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
