@@ -400,13 +400,20 @@ def review_validation(spark, sf_dir):
     return reviews.basic_errors(t.reviews(spark, sf_dir)).select("record_id", "reviewer_id", F.array_join("errors", "; ").alias("errors"))
 
 
+def conversation_packets(conversations):
+    """{record_id, packet} of each conversation: the first turn there is as the difference, and all turns by their place."""
+    turn = F.struct(C("turn").isNull().alias("last"), "turn", C("text").alias("body"), "role")
+    rows = conversations.groupBy(C("conv_id").alias("record_id")).agg(F.sort_array(F.collect_list(turn)).alias("all"))
+    turns = F.map_from_entries(F.transform("all", lambda x, at: F.struct(at.cast("string"), x.dropFields("last"))))
+    first = C("all")[0]
+    return rows.select("record_id", F.to_json(F.struct(first.dropFields("last", "turn").alias("diff"), first["turn"].alias("turn"), turns.alias("turns"))).alias("packet"))
+
+
 @query(f"""WITH {REV} SELECT record_id, array_to_string(list_filter([CASE WHEN independent_label = 'NO_OPINION' THEN 'independent_label is invalid' END, CASE WHEN rationale IS NULL THEN 'rationale is required' END,
     CASE WHEN record_id % 2 = 0 THEN 'every evidence reference must resolve to a packet field' END], lambda x: x IS NOT NULL), '; ') AS errors FROM reviews WHERE reviewer_id = 'user'""")
 def strict_review_validation(spark, sf_dir):
-    """Full form check; references must name a field of the packet built from the conversation."""
-    packets = t.load(spark, sf_dir, "conversations").where("turn = 0").select(
-        C("conv_id").alias("record_id"), F.to_json(F.struct(F.struct(C("text").alias("body"), "role").alias("diff"), "turn")).alias("packet")
-    )
+    """Full form check; references must name a field of the packet built from all turns of the conversation."""
+    packets = conversation_packets(t.load(spark, sf_dir, "conversations"))
     rows = _side(spark, sf_dir, "user").withColumns(
         {
             "evidence_references": F.when(C("record_id") % 2 == 0, F.array(F.lit("diff.gone"))).otherwise(F.array(F.lit("diff.body"), F.lit("turn"))),
