@@ -668,32 +668,29 @@ def logistic_selection(spark, sf_dir):
 def logistic_weights(spark, sf_dir):
     """Largest coefficients of the chosen logistic regression."""
     names = vocab.feature_names(vocab.MANIFEST_PERMISSION)
-    _, _, _, fitted = models.train_and_select(_training_rows(spark, sf_dir), names, "logistic_regression", grid=[{"C": 1.0, "class_weight": "balanced"}])
+    _, _, _, fitted = models.train_and_select(_training_rows(spark, sf_dir), names, "logistic_regression")
     return models.top_weights(fitted, names, "logistic_regression", spark)
 
 
 @query()
 def forest_predictions(spark, sf_dir):
-    """Test metrics of a random forest chosen from two candidates."""
-    grid = [{"n_estimators": 50, "max_depth": depth, "min_samples_leaf": 2, "class_weight": "balanced"} for depth in (2, 4)]
-    test, _, _, _ = models.train_and_select(_training_rows(spark, sf_dir), vocab.feature_names(vocab.PERMISSION_ONLY), "random_forest", grid=grid)
+    """Test metrics of the random forest chosen from its grid."""
+    test, _, _, _ = models.train_and_select(_training_rows(spark, sf_dir), vocab.feature_names(vocab.PERMISSION_ONLY), "random_forest")
     return metrics.extended_metrics(test, ["model"])
 
 
 @query()
 def family_importance(spark, sf_dir):
     """Metric change of the logistic regression without each feature family."""
-    return models.ablation_study(_training_rows(spark, sf_dir), vocab.feature_names(vocab.MANIFEST_PERMISSION), {"C": 1.0, "class_weight": "balanced"})
+    rows, names = _training_rows(spark, sf_dir), vocab.feature_names(vocab.MANIFEST_PERMISSION)
+    _, _, chosen, _ = models.train_and_select(rows, names, "logistic_regression")
+    return models.ablation_study(rows, names, chosen)
 
 
 @query()
 def model_experiment(spark, sf_dir):
-    """Models and the score on two projections, side by side."""
+    """Models, each chosen from its grid, on all projections and the score, side by side."""
     from deltascope.plans import experiment
 
-    grids = {
-        "logistic_regression": [{"C": 1.0, "class_weight": "balanced"}],
-        "random_forest": [{"n_estimators": 50, "max_depth": 4, "min_samples_leaf": 2, "class_weight": "balanced"}],
-    }
-    table, _ = experiment.run(_training_rows(spark, sf_dir), [vocab.PERMISSION_ONLY, vocab.MANIFEST_PERMISSION], grids=grids)
+    table, _ = experiment.run(_training_rows(spark, sf_dir))
     return table

@@ -1,5 +1,7 @@
 """Queries that once did a smaller job than their operators."""
-from deltascope.operators import reviews
+from deltascope import vocab
+from deltascope.operators import models, reviews
+from deltascope.plans import experiment
 from deltascope.queries import curation_queries
 from tests.check_queries import connect, differences
 
@@ -12,3 +14,26 @@ def test_packets_hold_all_turns(spark):
     assert {(1, "turns.0.body"), (1, "turns.1.body"), (2, "turns.1.body"), (3, "turns.0.body")} <= fields
     assert all(text in p for p, text in zip([r.packet for r in packets.orderBy("record_id").collect()], ("b {", "same turn", '"c"')))
     assert differences(spark, connect("/root/testdata/sf0.001"), "strict_review_validation", "/root/testdata/sf0.001") is None
+
+
+def test_model_queries_use_whole_grids_and_all_projections(monkeypatch):
+    asked, parameters = [], []
+
+    def select(rows, names, model, seed=1337, grid=None):
+        asked.append((model, grid))
+        return None, None, {"C": 10.0, "class_weight": None}, "fitted"
+
+    monkeypatch.setattr(curation_queries, "_training_rows", lambda spark, sf_dir: None)
+    monkeypatch.setattr(curation_queries.metrics, "extended_metrics", lambda *a: None)
+    monkeypatch.setattr(models, "train_and_select", select)
+    monkeypatch.setattr(models, "top_weights", lambda fitted, *a: parameters.append(fitted))
+    monkeypatch.setattr(models, "ablation_study", lambda rows, names, chosen: parameters.append(chosen))
+    ran = []
+    monkeypatch.setattr(experiment, "run", lambda rows, projections=vocab.PROJECTIONS, grids=None: (ran.append((projections, grids)), None))
+    curation_queries.forest_predictions(None, "")
+    curation_queries.logistic_weights(None, "")
+    curation_queries.family_importance(None, "")
+    assert asked == [("random_forest", None), ("logistic_regression", None), ("logistic_regression", None)]
+    assert parameters == ["fitted", {"C": 10.0, "class_weight": None}]
+    curation_queries.model_experiment(None, "")
+    assert ran == [(vocab.PROJECTIONS, None)]
