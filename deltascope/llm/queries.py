@@ -4,7 +4,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import bitpack, bpe, byte_cnn, common, grid_join, language_id, licence_scan, maxent_lm, minhash, packing, quality_rules
+from deltascope.llm import bitpack, bpe, byte_cnn, common, grid_join, language_id, licence_scan, maxent_lm, minhash, oracles, packing, quality_rules, recompression
 from deltascope.llm.paths import RANKS, TOKENIZER, TOKENIZER_SIZE
 
 
@@ -57,6 +57,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), RANKS)
 
 
+def op13_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.without_repeats(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_maxent_lm": op1_maxent_lm,
     "op2_language_id": op2_language_id,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_recompression": op13_recompression,
     "pipeline": corpus_pipeline.run,
 }
 #: Cosines of all pairs of one label, and the smallest id that each vector reaches.
@@ -89,4 +94,4 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_i
 FROM embeddings e LEFT JOIN lowest ON node = e.vec_id LEFT JOIN counted ON a = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op4_grid_join": OP4_SQL, "op6_licence_scan": licence_scan.scan_sql()}
+ORACLES: dict[str, str] = {"op4_grid_join": OP4_SQL, "op6_licence_scan": licence_scan.scan_sql(), "op13_recompression": oracles.OP13_SQL}
