@@ -18,3 +18,29 @@ kept AS (
 SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
+
+#: Phrases of two to five words with their counts, cuts and ranks, from all stretches of words in all pieces.
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece
+  FROM documents
+), spoken AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS words FROM pieces),
+sizes AS (SELECT unnest(range(1, 6)) AS size),
+grams AS (SELECT lang, size, words, unnest(range(1, len(words) - size + 2)) AS i FROM spoken, sizes WHERE len(words) >= size),
+counted AS (SELECT lang, array_to_string(words[i : i + size - 1], ' ') AS phrase, size, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(words)) AS n FROM spoken GROUP BY lang),
+split AS (SELECT *, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM counted WHERE size > 1),
+cuts AS (
+  SELECT s.lang, s.phrase, s.f AS a, k, h.f AS l, t.f AS r, n,
+    (1000::HUGEINT * s.f::HUGEINT * n::HUGEINT) // (h.f::HUGEINT * t.f::HUGEINT) AS score
+  FROM split s JOIN totals USING (lang)
+  JOIN counted h ON h.lang = s.lang AND h.phrase = array_to_string(words[:k], ' ')
+  JOIN counted t ON t.lang = s.lang AND t.phrase = array_to_string(words[k + 1:], ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM counted c WHERE c.lang = b.lang AND c.size > len(string_split(b.phrase, ' ')) AND c.f >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
