@@ -4,7 +4,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltascope.llm import bitpack, bpe, byte_cnn, collocations, common, grid_join, language_id, licence_scan, maxent_lm, minhash, oracles, packing, quality_rules, recompression
+from deltascope.llm import bitpack, bpe, byte_cnn, collocations, common, conversations, grid_join, language_id, licence_scan, maxent_lm, minhash, oracles, packing, quality_rules, recompression
 from deltascope.llm.paths import RANKS, TOKENIZER, TOKENIZER_SIZE
 
 
@@ -57,6 +57,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), RANKS)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(common.table(spark, sf_dir, "conversations")))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(common.table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
     "op13_recompression": op13_recompression,
     "pipeline": corpus_pipeline.run,
@@ -99,4 +104,10 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_i
 FROM embeddings e LEFT JOIN lowest ON node = e.vec_id LEFT JOIN counted ON a = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op4_grid_join": OP4_SQL, "op6_licence_scan": licence_scan.scan_sql(), "op12_collocations": oracles.OP12_SQL, "op13_recompression": oracles.OP13_SQL}
+ORACLES: dict[str, str] = {
+    "op4_grid_join": OP4_SQL,
+    "op6_licence_scan": licence_scan.scan_sql(),
+    "op11_conversation_repair": oracles.OP11_SQL,
+    "op12_collocations": oracles.OP12_SQL,
+    "op13_recompression": oracles.OP13_SQL,
+}
