@@ -13,7 +13,7 @@ Spark adds up over all documents, for each name, the smallest and the largest do
 
 Both answers are kept as bitmaps of a fixed size. A bit that other names share costs work and never a result: it
 keeps a window that could have been passed over. What is left, windows across the edges of repeats for the most part,
-is grouped by 128-bit hashes of the windows, which decides each of them exactly.
+is sorted by 128-bit hashes of the windows, which decides each of them exactly.
 """
 from __future__ import annotations
 
@@ -37,7 +37,7 @@ BITMAP_BITS = 26
 #: Bits of one row of a bitmap, fixed by Spark's bitmap functions.
 ROW_BITS = 32768
 NAMES = "key long, more long, low long, high long"
-LEFT = "first long, second long, doc_id long, place long"
+LEFT = "first long, second long, doc_id long, place long, length long"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -231,10 +231,10 @@ def _stretches(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _left_over(shared_bits, window: int):
-    """Rows of LEFT: windows that are to be decided, and stretches of words already known as repeats.
+    """Rows of LEFT: windows that are to be decided (length 0), and stretches of words already known as repeats.
 
-    place holds 32 bits of the text's hash and the window's first word. A stretch has no hash: `first` is null and
-    `second` its length.
+    place holds 31 bits of the text's hash and the first word. Of a window that several documents of a batch have, only
+    the smallest document's goes on; the others are repeats. So a passage that many documents share is no burden later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,53 +242,97 @@ def _left_over(shared_bits, window: int):
         for batch in batches:
             for piece in common.pieces(batch):
                 parse, docs = _parsed(piece, window)
-                places, total, ids = parse.places, parse.total, docs.astype(np.int64).view(np.uint64)
-                open_ = np.zeros(total + 1, bool)  # windows by first word
+                places, total = parse.places, parse.total
+                docs = docs.astype(np.int64)
+                open_ = np.zeros(total, bool)  # windows by first word
                 sizes = np.maximum(np.diff(places) - window + 1, 0)
-                heads = np.repeat(places[:-1] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                open_[heads] = True
-                closed = np.zeros(total + 2, np.int64)
+                open_[np.repeat(places[:-1] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = True
+                closed, covered = np.zeros(total + 2, np.int64), np.zeros(total + 1, np.int64)
                 for low, high in parse.small:
                     alone = ~_has(shared, parse.spans.name(low, high))
                     low, high = low[alone], high[alone]
                     np.add.at(closed, np.maximum(high - window, places[parse.owner[low]]), 1)
                     np.add.at(closed, low + 1, -1)
-                covered = np.zeros(total + 1, np.int64)
                 for start, stop in parse.large:
-                    again = ~_has(firsts, parse.spans.name(start, stop) ^ ids[parse.owner[start]])
+                    again = ~_has(firsts, parse.spans.name(start, stop) ^ docs[parse.owner[start]].view(np.uint64))
                     start, stop = start[again], stop[again]
                     np.add.at(closed, start, 1)
                     np.add.at(closed, stop - window + 1, -1)
                     np.add.at(covered, start, 1)
                     np.add.at(covered, stop, -1)
-                at = np.flatnonzero(open_[:total] & (np.cumsum(closed)[:total] == 0))
+                at = np.flatnonzero(open_ & (np.cumsum(closed)[:total] == 0))
+                first, second, doc = parse.spans.name(at, at + window), parse.spans.name(at, at + window, 1), docs[parse.owner[at]]
+                order = np.lexsort((doc, second, first))
+                at, first, second, doc = at[order], first[order], second[order], doc[order]
+                again = doc > _lowest(first, second, doc)[0]
+                np.add.at(covered, at[again], 1)
+                np.add.at(covered, at[again] + window, -1)
+                at, first, second, doc = at[~again], first[~again], second[~again], doc[~again]
                 text = piece.column("text_key").to_numpy(zero_copy_only=False).astype(np.int64) << 32
                 owner = parse.owner[at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _column(parse.spans.name(at, at + window)),
-                        _column(parse.spans.name(at, at + window, 1)),
-                        pa.array(docs[owner]),
-                        pa.array(text[owner] | (at - places[owner])),
-                    ],
-                    names=["first", "second", "doc_id", "place"],
-                )
+                yield _left(first, second, doc, text[owner] | (at - places[owner]), np.zeros(len(at), np.int64))
                 known = np.cumsum(covered)[:total] > 0
-                if not known.any():
-                    continue
                 begin, end = _stretches(known)
-                cut = parse.places[(parse.places > 0) & (parse.places < total)]  # stretches end with their documents
-                begin = np.union1d(begin, cut[known[cut]])
-                end = np.union1d(end, cut[known[cut - 1]])
+                cut = places[(places > 0) & (places < total)]  # stretches end with their documents
+                begin, end = np.union1d(begin, cut[known[cut]]), np.union1d(end, cut[known[cut - 1]])
                 owner = parse.owner[begin]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(begin), pa.int64()), pa.array(end - begin), pa.array(docs[owner]), pa.array(text[owner] | (begin - places[owner]))],
-                    names=["first", "second", "doc_id", "place"],
-                )
+                place = text[owner] | (begin - places[owner])
+                yield _left(words.mix(place.view(np.uint64)), np.zeros(len(begin), np.uint64), docs[owner], place, end - begin)
 
     return run
 
 
+def _left(first, second, doc, place, length) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_column(x) for x in (first, second, doc, place, length)], names=["first", "second", "doc_id", "place", "length"])
+
+
+def _lowest(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest document of each row's window, and the rows at which another window begins; rows are in that order."""
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    heads = np.flatnonzero(new)
+    return np.repeat(doc[heads], np.diff(np.append(heads, len(first)))), heads
+
+
+def _decided(window: int):
+    """Stretches of repeats from rows in order of window and document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_window, low = None, 0
+        for batch in batches:
+            first, second, doc, place, length = (column.to_numpy() for column in batch.columns)
+            known = length > 0
+            first, second, mine = first[~known], second[~known], doc[~known]
+            lowest, heads = _lowest(first, second, mine)
+            if len(first):
+                if open_window == (first[0], second[0]):
+                    lowest[: heads[1] if len(heads) > 1 else None] = low
+                open_window, low = (first[-1], second[-1]), lowest[-1]
+            repeat = known.copy()
+            repeat[~known] = mine > lowest
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[repeat]), pa.array(place[repeat]), pa.array(np.where(length == 0, window, length)[repeat])], names=["doc_id", "place", "length"]
+            )
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping stretches of each document put together."""
+    for batch in batches:
+        begins, ends = [], []
+        for begin, length in zip(batch.column("begins"), batch.column("lengths")):
+            begin, length = begin.values.to_numpy(), length.values.to_numpy()
+            order = np.argsort(begin)
+            begin, end = begin[order], np.maximum.accumulate((begin + length)[order])
+            new = np.append(True, begin[1:] > end[:-1])
+            begins.append(begin[new])
+            ends.append(end[np.append(new[1:], True)])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=["doc_id", "text_key", "begins", "ends"]
+        )
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in common.pieces(batch):
@@ -319,13 +363,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, bits: int = BITMAP_BI
     keyed = texts.withColumn("text_key", F.xxhash64("text").bitwiseAND((1 << 31) - 1))
     named = keyed.where("doc_id IS NOT NULL AND text != ''")
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps(named, window, bits))
-    left = common.stored(named.mapInArrow(_left_over(shared, window), LEFT), "windows")
-    undecided = left.where("first IS NOT NULL")
-    lowest = undecided.groupBy("first", "second").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").drop("top")
-    again = undecided.join(lowest, ["first", "second"]).where("doc_id > low").select("doc_id", "place", F.lit(window).cast("long").alias("length"))
-    again = again.unionByName(left.where("first IS NULL").select("doc_id", "place", F.col("second").alias("length")))
+    left = named.mapInArrow(_left_over(shared, window), LEFT).repartition("first", "second").sortWithinPartitions("first", "second", "doc_id")
+    again = left.mapInArrow(_decided(window), "doc_id long, place long, length long")
     key, start = F.shiftright("place", 32), F.col("place").bitwiseAND((1 << 32) - 1)
     # A document has at most as many of these as words.
-    found = again.distinct().groupBy("doc_id", key.alias("text_key")).agg(F.collect_list(start).alias("begins"), F.collect_list(start + F.col("length")).alias("ends"))
+    found = again.groupBy("doc_id", key.alias("text_key")).agg(F.collect_list(start).alias("begins"), F.collect_list("length").alias("lengths"))
+    found = found.mapInArrow(_merged, "doc_id long, text_key long, begins array<long>, ends array<long>")
     joined = keyed.join(common.stored(found, "repeats"), ["doc_id", "text_key"], "left").select("doc_id", "text", "begins", "ends")
     return common.small_batches(joined).mapInArrow(_kept, RESULT)
