@@ -6,9 +6,11 @@ nodes have no other edge leave the task as one row. Spark adds up the edges of a
 from the flow of its nodes: a phrase occurs as often as the phrases one word longer that begin with it, and once more
 for each piece that ends with it.
 
-A phrase counts only if it is frequent, and so is then each pair of words in it. Pieces are therefore cut first
-between words whose pair can't be frequent. This is read off a table of fixed size, in which a slot holds the sum over
-all pairs with its hash, at least the count of each of them; the cut never changes the count of a frequent phrase.
+A phrase counts only if it is frequent, and so is then all that lies in it. Pieces are therefore cut between words
+whose pair can't be frequent, and at each place the graph is followed only as far as the phrase from there can be
+frequent; what stops before five words is a correction for that length, as at a piece's end. Both is read off tables
+of fixed size, in which a slot holds the sum over all phrases with its hash, at least the count of each of them. So no
+count of a frequent phrase changes, whatever the size of the tables; smaller ones only mean more rows.
 """
 from __future__ import annotations
 
@@ -23,19 +25,19 @@ from deltascope.llm import common, words
 
 LONGEST = 5
 MOST_FREQUENT, AT_LEAST = 2000, 100
-#: Slots of the table of pairs, and those in one row while it is summed. A slot counts up to 255.
+#: Slots of a table, and those in one row while it is summed. A slot counts up to 255.
 SLOT_BITS, ROW_BITS = 24, 16
 #: A longer path leaves the task in several rows.
 PATH_WORDS = 256
 NO_LANGUAGE = "und"
-PATH, END, WORD, TOTAL = range(4)
+PATH, STOP, WORD, TOTAL = range(4)
 PARTS = "lang string, kind int, phrase string, times long"
 
 # Classes of bytes.
-_INK, _GAP, _STOP = range(3)
+_INK, _GAP, _BREAK = range(3)
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = _GAP
-_CLASS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = _STOP
+_CLASS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -58,17 +60,78 @@ class Pieces:
         coded = self.words.dictionary_encode()
         self.codes, self.distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         self.owner = np.searchsorted(offsets, starts, side="right") - 1
-        stops = np.cumsum(kind == _STOP)[starts] if len(starts) else starts
+        stops = np.cumsum(kind == _BREAK)[starts] if len(starts) else starts
         self.opens = np.ones(len(starts), bool)
         self.opens[1:] = (stops[1:] != stops[:-1]) | (self.owner[1:] != self.owner[:-1])
 
 
-def _pair_slots(pieces: Pieces, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words that follow one in their piece, and the slot of each such pair."""
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _word_keys(pieces: Pieces, seeds: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word in its language."""
+    return words.mix(words.hashes(pieces.distinct)[pieces.codes] * _ODD + seeds[pieces.owner])
+
+
+def _longer(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return words.mix(keys * _ODD + word)
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = _slot(keys)
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _linked(pieces: Pieces, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each word goes on with the one before as a pair that may be frequent."""
+    linked = ~pieces.opens
+    at = np.flatnonzero(linked)
+    linked[at] = _set(bits, _longer(keys[at - 1], keys[at]))
+    return linked
+
+
+def _short_phrases(pieces: Pieces, keys: np.ndarray) -> np.ndarray:
+    """Keys of all words and of all pairs within pieces."""
     at = np.flatnonzero(~pieces.opens)
-    own = words.hashes(pieces.distinct)
-    key = own[pieces.codes[at - 1]] * np.uint64(0xD6E8FEB86659FD93) + own[pieces.codes[at]] + lang[pieces.owner[at]]
-    return at, (words.mix(key) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return np.concatenate([keys, _longer(keys[at - 1], keys[at])])
+
+
+def _long_phrases(pieces: Pieces, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Keys of the phrases of three words to LONGEST in runs of pairs that may be frequent."""
+    left, longer, out = _left_in_run(_linked(pieces, keys, bits)), keys, []
+    for size in range(2, LONGEST + 1):
+        at = np.flatnonzero(left >= size)
+        grown = np.zeros(len(keys), np.uint64)
+        grown[at] = _longer(longer[at], keys[at + size - 1])
+        longer = grown
+        if size > 2:
+            out.append(longer[at])
+    return np.concatenate(out)
+
+
+def _left_in_run(linked: np.ndarray) -> np.ndarray:
+    """Words of the run from each word on."""
+    begins = np.flatnonzero(~linked)
+    ends = np.append(begins[1:], len(linked))
+    return np.repeat(ends, ends - begins) - np.arange(len(linked))
+
+
+def _reach(keys: np.ndarray, linked: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Words of the longest phrase from each word on that may be frequent with all its beginnings; 1 if not even its pair is."""
+    left = _left_in_run(linked)
+    reach, longer = np.minimum(left, 2), keys.copy()
+    at = np.flatnonzero(left >= 2)
+    longer[at] = _longer(keys[at], keys[at + 1])
+    for size in range(3, LONGEST + 1):
+        at = at[left[at] >= size]
+        longer[at] = _longer(longer[at], keys[at + size - 1])
+        at = at[_set(bits, longer[at])]
+        reach[at] = size
+    return reach
 
 
 def _languages(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -78,17 +141,21 @@ def _languages(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, numbers, words.hashes(coded.dictionary)[numbers]
 
 
-def frequent_slots(texts: DataFrame, at_least: int = AT_LEAST) -> np.ndarray:
-    """A bit for each slot, set if its pairs occur `at_least` times together (255 at most is looked at)."""
+def frequent_slots(texts: DataFrame, keys_of, at_least: int = AT_LEAST) -> np.ndarray:
+    """A bit for each slot, set if its phrases occur `at_least` times together (255 at most is looked at).
+
+    keys_of gives the keys to count of some pieces and their words' keys.
+    """
     level, width = min(at_least, 255), 1 << ROW_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << SLOT_BITS, np.uint8)
         for batch in batches:
             for piece in common.pieces(batch):
-                _, slots = _pair_slots(Pieces(piece.column("text")), _languages(piece.column("lang"))[2])
-                found, times = np.unique(slots, return_counts=True)
-                held[found] = np.minimum(held[found] + times, 255)
+                pieces = Pieces(piece.column("text"))
+                if len(pieces.codes):
+                    found, times = np.unique(_slot(keys_of(pieces, _word_keys(pieces, _languages(piece.column("lang"))[2]))), return_counts=True)
+                    held[found] = np.minimum(held[found] + times, 255)
         for k in range(0, 1 << SLOT_BITS, width):
             part = held[k : k + width]
             if part.any():
@@ -109,27 +176,26 @@ def frequent_slots(texts: DataFrame, at_least: int = AT_LEAST) -> np.ndarray:
 
 
 class Graph:
-    """The de Bruijn graph of the runs of a batch: words that are linked one to the next.
+    """The de Bruijn graph of a batch.
 
-    codes: word numbers; linked[k]: word k goes on with the run of word k - 1; lang: a number for each word.
+    codes: word numbers; linked[k]: word k goes on with the run of word k - 1; lang: a number for each word; reach:
+    words of the phrase that is looked at from each word on, at most LONGEST and what is left of the run.
     """
 
-    def __init__(self, codes: np.ndarray, linked: np.ndarray, lang: np.ndarray):
-        self.codes, self.total = codes, len(codes)
-        self.begins = np.flatnonzero(~linked)
-        self.ends = np.append(self.begins[1:], self.total)
-        sizes = self.ends - self.begins
-        self.left = np.repeat(self.ends, sizes) - np.arange(self.total)  # words of the run from here on
-        pair = self._renamed(codes * (lang.max(initial=0) + 1) + lang, codes, 1, 2)
-        self.node = self._renamed(pair, pair, 2, 4)
-        self.edge = self._renamed(self.node, codes, 4, 5)
+    def __init__(self, codes: np.ndarray, linked: np.ndarray, lang: np.ndarray, reach: np.ndarray | None = None):
+        self.codes, self.total, self.left = codes, len(codes), _left_in_run(linked)
+        self.reach = np.minimum(self.left, LONGEST) if reach is None else reach
+        pair = self._renamed(codes * (lang.max(initial=0) + 1) + lang, codes, 1, self.left >= 2)
+        self.node = self._renamed(pair, pair, 2, self.left >= 4)
+        self.edge = self._renamed(self.node, codes, 4, self.reach >= 5)
+        self.shorter = {2: pair, 3: self._renamed(pair, codes, 2, self.reach == 3), 4: self.node}
         self.node_times = np.bincount(self.node[self.node >= 0])
         self.edge_times = np.bincount(self.edge[self.edge >= 0])
 
-    def _renamed(self, first: np.ndarray, second: np.ndarray, step: int, length: int) -> np.ndarray:
-        """Numbers of the phrases of `length` words, put together from those at a place and `step` words on; -1 where a run is too short."""
+    def _renamed(self, first: np.ndarray, second: np.ndarray, step: int, where: np.ndarray) -> np.ndarray:
+        """Numbers of longer phrases, put together from those at a place and `step` words on; -1 elsewhere."""
         out = np.full(self.total, -1, np.int64)
-        at = np.flatnonzero(self.left >= length)
+        at = np.flatnonzero(where)
         if len(at):
             out[at] = np.unique(first[at] * (second.max(initial=0) + 1) + second[at + step], return_inverse=True)[1]
         return out
@@ -154,10 +220,16 @@ class Graph:
         start = np.repeat(start, cuts) + inside * step
         return start, np.minimum(start + PATH_WORDS, np.repeat(stop, cuts)), np.repeat(weight, cuts)
 
-    def run_ends(self) -> tuple[np.ndarray, np.ndarray]:
-        """First word and end of what runs of two words and more end with: their last four words, or all of a shorter run."""
-        sizes = np.minimum(self.ends - self.begins, LONGEST - 1)
-        return (self.ends - sizes)[sizes > 1], self.ends[sizes > 1]
+    def stops(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, end and weight of each different phrase of two words or more that is not followed up to an edge."""
+        start, stop, weight = [], [], []
+        for size, numbers in self.shorter.items():
+            at = np.flatnonzero(self.reach == size)
+            _, once, times = np.unique(numbers[at], return_index=True, return_counts=True)
+            start.append(at[once])
+            stop.append(at[once] + size)
+            weight.append(times)
+        return np.concatenate(start), np.concatenate(stop), np.concatenate(weight)
 
 
 def _phrases(pieces: Pieces, start: np.ndarray, stop: np.ndarray) -> pa.Array:
@@ -169,28 +241,26 @@ def _phrases(pieces: Pieces, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     return pc.binary_join(lists, " ")
 
 
-def _parts(slots):
+def _parts(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = slots.value
+        short, long = tables.value
         for batch in batches:
             for piece in common.pieces(batch):
                 pieces = Pieces(piece.column("text"))
                 names, lang, seeds = _languages(piece.column("lang"))
                 if not len(pieces.codes):
                     continue
-                at, slot = _pair_slots(pieces, seeds)
-                linked = np.zeros(len(pieces.codes), bool)
-                linked[at] = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+                keys = _word_keys(pieces, seeds)
+                linked = _linked(pieces, keys, short)
                 owner = lang[pieces.owner].astype(np.int64)
-                graph = Graph(pieces.codes, linked, owner)
-                start, stop, weight = graph.paths()
-                yield _rows(names, owner[start], PATH, _phrases(pieces, start, stop), weight)
-                start, stop = graph.run_ends()
-                yield _rows(names, owner[start], END, _phrases(pieces, start, stop), np.ones(len(start), np.int64))
-                found, times = np.unique(pieces.codes * len(names) + owner, return_counts=True)
-                yield _rows(names, found % len(names), WORD, pieces.distinct.take(pa.array(found // len(names))), times)
+                graph = Graph(pieces.codes, linked, owner, _reach(keys, linked, long))
+                for kind, (start, stop, weight) in ((PATH, graph.paths()), (STOP, graph.stops())):
+                    yield _rows(names, owner[start], kind, _phrases(pieces, start, stop), weight)
                 times = np.bincount(owner, minlength=len(names))
                 yield _rows(names, np.arange(len(names)), TOTAL, pa.array([""] * len(names)), times)
+                counted = _set(short, keys)
+                found, times = np.unique((pieces.codes * len(names) + owner)[counted], return_counts=True)
+                yield _rows(names, found % len(names), WORD, pieces.distinct.take(pa.array(found // len(names))), times)
 
     return run
 
@@ -214,12 +284,11 @@ def counts(parts: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
     places = F.sequence(F.lit(1), F.size("path") - (LONGEST - 1))
     grams = F.transform(places, lambda k: F.array_join(F.slice("path", k, LONGEST), " "))
     level = _added(edges.select("lang", F.explode(grams).alias("phrase"), "times"))
-    ends = parts.where(F.col("kind") == END).withColumn("size", F.size(F.split("phrase", " ")))
-    ends = ends.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("times"))
+    stops = parts.where(F.col("kind") == STOP).withColumn("size", F.size(F.split("phrase", " ")))
     found = level.where(F.col("times") >= at_least).withColumn("size", F.lit(LONGEST))
     for size in range(LONGEST - 1, 1, -1):
         flow = level.select("lang", _cut("phrase", size).alias("phrase"), "times")
-        level = _added(flow.unionByName(ends.where(F.col("size") >= size).select("lang", _cut("phrase", -size).alias("phrase"), "times")))
+        level = _added(flow.unionByName(stops.where(F.col("size") == size).select("lang", "phrase", "times")))
         found = found.unionByName(level.where(F.col("times") >= at_least).withColumn("size", F.lit(size)))
     single = _added(parts.where(F.col("kind") == WORD)).where(F.col("times") >= at_least)
     return found.unionByName(single.withColumn("size", F.lit(1)))
@@ -261,8 +330,10 @@ def collocations(docs: DataFrame, at_least: int = AT_LEAST, most: int = MOST_FRE
     more pairs than needed, which costs work only.
     """
     texts = common.small_batches(docs).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANGUAGE)).alias("lang"))
-    slots = docs.sparkSession.sparkContext.broadcast(frequent_slots(texts, at_least))
-    parts = common.stored(texts.mapInArrow(_parts(slots), PARTS), "paths")
+    short = frequent_slots(texts, _short_phrases, at_least)
+    long = frequent_slots(texts, lambda pieces, keys: _long_phrases(pieces, keys, short), at_least)
+    tables = docs.sparkSession.sparkContext.broadcast((short, long))
+    parts = common.stored(texts.mapInArrow(_parts(tables), PARTS), "paths")
     found = common.stored(counts(parts, at_least), "phrases")
     totals = common.stored(parts.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("times").alias("n")).where("n > 0"), "totals")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
