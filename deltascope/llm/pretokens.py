@@ -31,13 +31,10 @@ STRETCH = 128
 @functools.cache
 def class_table() -> np.ndarray:
     """Class of each code point."""
+    general = np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), np.uint8)[::2]
     kinds = np.full(0x110000, OTHER, dtype=np.uint8)
-    for code in range(0x110000):
-        kind = unicodedata.category(chr(code))[0]
-        if kind == "L":
-            kinds[code] = LETTER
-        elif kind == "N":
-            kinds[code] = NUMBER
+    kinds[general == ord("L")] = LETTER
+    kinds[general == ord("N")] = NUMBER
     kinds[WHITE_SPACE] = BLANK
     kinds[0x20], kinds[0x27] = SPACE, APOSTROPHE
     return kinds

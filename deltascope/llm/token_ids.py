@@ -1,6 +1,8 @@
-"""Token ids of whole texts: each distinct pre-token is encoded once per task and kept."""
+"""Token ids of whole texts: each distinct pre-token is encoded once in a worker process and kept for its later tasks."""
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import os
 import re
@@ -12,7 +14,7 @@ import pyarrow.compute as pc
 
 from deltascope.llm import pretokens
 
-#: A task forgets its pre-tokens when it knows this many. Ids do not depend on it.
+#: A worker forgets its pre-tokens when it knows this many. Ids do not depend on it.
 KNOWN_PRETOKENS = 600_000
 
 
@@ -35,7 +37,7 @@ class PretokenIds:
         lists = self.encode_new(words)
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         have, used = len(self.known), int(self.ends[len(self.known)])
-        ids = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(lengths.sum()))
         if used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[:used], np.zeros(2 * used + len(ids), np.uint32)])
         if have + len(words) + 1 > len(self.ends):
@@ -105,12 +107,13 @@ class AddedTokenIds:
         return out, np.concatenate([[0], np.cumsum(np.bincount(owner, lengths, minlength=len(texts)).astype(np.int64))])
 
 
+@functools.lru_cache(maxsize=1)
 def library_encoder(path: str) -> PretokenIds | AddedTokenIds:
     """Ids by the tokenizers library, as encode(text, add_special_tokens=False) of the file gives them.
 
     The file's added tokens are matched in whole texts, by the library; the texts between them are coded by
     pre-tokens. The file's pre-tokenizer must be the byte-level one with its pattern, which `pretokens` has applied by
-    then; the library is only spared the search for matches within a pre-token.
+    then; the library is only spared the search for matches within a pre-token. A worker process keeps the encoder.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
     from tokenizers import Tokenizer, pre_tokenizers

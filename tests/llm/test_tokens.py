@@ -36,7 +36,6 @@ def library():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return tokenizer
 
 
