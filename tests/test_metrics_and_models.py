@@ -94,7 +94,7 @@ def test_training_and_experiment(spark):
     names = vocab.feature_names(vocab.PERMISSION_ONLY)
     test, table, params, fitted = models.train_and_select(rows, names, "logistic_regression")
     assert table.count() == 6 and metrics.binary_metrics(test).first().f1 > 0.9
-    assert models.top_weights(fitted, names, "logistic_regression", spark).first().feature == "added_permission_count"
+    assert models.top_weights(fitted, spark).first().feature == "added_permission_count"
     assert len(models.candidates("random_forest")) == 24
     grids = {"logistic_regression": [params], "random_forest": [{"n_estimators": 5, "max_depth": 2, "min_samples_leaf": 1, "class_weight": None}]}
     result, predictions = experiment.run(rows, [vocab.PERMISSION_ONLY], grids=grids)
