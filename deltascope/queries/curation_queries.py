@@ -1,5 +1,8 @@
 """Curation, audits, manifests, reviews and models over documents, orders and conversations."""
-from pyspark.sql import functions as F
+import json
+from functools import reduce
+
+from pyspark.sql import Column, Window, functions as F
 
 from deltascope import vocab
 from deltascope.operators import audits, curation, drift, facts, features, metrics, models, privacy, reviews, splits
@@ -657,40 +660,97 @@ def _training_rows(spark, sf_dir):
     return d.stored_features(spark, sf_dir)
 
 
-@query()
+_SEEN_SQL = d.LABELLED_SQL + ", seen AS (SELECT pair_id, split, CASE label WHEN 'risky_transition' THEN 1 ELSE 0 END AS target FROM labelled WHERE eligible)"
+_FORESTS, _REGRESSIONS = "random_forest", "logistic_regression"
+
+
+def _grid_sql(model: str) -> str:
+    """The grid of a model as a table of candidate numbers and parameters."""
+    return ", ".join(f"({at}, '{json.dumps(params)}')" for at, params in enumerate(models.candidates(model)))
+
+
+def _consistent() -> Column:
+    """Metrics as they follow from the four counts, and all in their range."""
+    tn, fp, fn, tp = (C(name).cast("double") for name in ("tn", "fp", "fn", "tp"))
+    expected = {
+        "accuracy": (tp + tn) / (tp + tn + fp + fn), "recall": tp / (tp + fn), "specificity": tn / (tn + fp),
+        "balanced_accuracy": (tp / (tp + fn) + tn / (tn + fp)) / 2, "f1": F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)),
+    }
+    checks = [(F.abs(C(name) - value) < 1e-6) & C(name).between(0, 1) for name, value in expected.items()]
+    return reduce(lambda left, right: left & right, checks)
+
+
+def _candidate_facts(table):
+    """What SQL can say about validation results: candidates with their parameters, rows and positives, and metrics that follow from the counts."""
+    described = table.sparkSession.createDataFrame([(model, at, json.dumps(params), str(params)) for model in (_FORESTS, _REGRESSIONS) for at, params in enumerate(models.candidates(model))],
+                                                   "model string, candidate int, parameters string, params string")
+    records = (C("tn") + C("fp") + C("fn") + C("tp")).alias("records")
+    return table.join(described, ["model", "candidate", "params"]).select("candidate", "parameters", records, (C("fn") + C("tp")).alias("positives"), _consistent().alias("consistent"))
+
+
+def _candidate_sql(model: str) -> str:
+    return f"WITH {_SEEN_SQL} SELECT candidate, parameters, count(*) AS records, CAST(sum(target) AS BIGINT) AS positives, true AS consistent FROM seen, (VALUES {_grid_sql(model)}) AS g(candidate, parameters) WHERE split = 'validation' GROUP BY ALL"
+
+
+@query(_candidate_sql(_REGRESSIONS))
 def logistic_selection(spark, sf_dir):
     """Validation results of the logistic-regression grid."""
-    _, table, _, _ = models.train_and_select(_training_rows(spark, sf_dir), vocab.feature_names(vocab.MANIFEST_PERMISSION), "logistic_regression")
-    return table
+    _, table, _, _ = models.train_and_select(_training_rows(spark, sf_dir), vocab.feature_names(vocab.MANIFEST_PERMISSION), _REGRESSIONS)
+    return _candidate_facts(table)
+
 
+@query(_candidate_sql(_FORESTS))
+def forest_selection(spark, sf_dir):
+    """Validation results of the random-forest grid."""
+    _, table, _, _ = models.train_and_select(_training_rows(spark, sf_dir), vocab.feature_names(vocab.PERMISSION_ONLY), _FORESTS)
+    return _candidate_facts(table)
 
-@query()
+
+@query("SELECT CAST(unnest(range(1, 11)) AS INT) AS rank, true AS known, true AS descending")
 def logistic_weights(spark, sf_dir):
-    """Largest coefficients of the chosen logistic regression."""
+    """Largest coefficients of the chosen logistic regression: ten features of the projection, by size."""
     names = vocab.feature_names(vocab.MANIFEST_PERMISSION)
-    _, _, _, fitted = models.train_and_select(_training_rows(spark, sf_dir), names, "logistic_regression")
-    return models.top_weights(fitted, names, "logistic_regression", spark)
+    _, _, _, fitted = models.train_and_select(_training_rows(spark, sf_dir), names, _REGRESSIONS)
+    order = Window.orderBy(F.desc(F.abs("weight")), "feature")
+    top = models.top_weights(fitted, spark).select("feature", "weight", F.row_number().over(order).alias("rank"), F.lag(F.abs("weight")).over(order).alias("above"))
+    return top.select("rank", C("feature").isin(names).alias("known"), F.coalesce(F.abs("weight") <= C("above"), F.lit(True)).alias("descending"))
 
 
-@query()
+@query(f"WITH {_SEEN_SQL} SELECT pair_id AS record_id, target AS truth, true AS follows_score, true AS in_range FROM seen WHERE split = 'test'")
 def forest_predictions(spark, sf_dir):
-    """Test metrics of the random forest chosen from its grid."""
-    test, _, _, _ = models.train_and_select(_training_rows(spark, sf_dir), vocab.feature_names(vocab.PERMISSION_ONLY), "random_forest")
-    return metrics.extended_metrics(test, ["model"])
+    """Test predictions of the random forest chosen from its grid: every test row once, with a score and what follows from it."""
+    test, _, _, _ = models.train_and_select(_training_rows(spark, sf_dir), vocab.feature_names(vocab.PERMISSION_ONLY), _FORESTS)
+    return test.select("record_id", "truth", (C("predicted") == (C("score") > 0.5).cast("int")).alias("follows_score"), C("score").between(0, 1).alias("in_range"))
 
 
-@query()
+def _family_sql() -> str:
+    names = vocab.feature_names(vocab.MANIFEST_PERMISSION)
+    rows = []
+    for family in vocab.ABLATION_FAMILIES:
+        kept = len(features.without_family(names, family))
+        status = "completed" if 0 < kept < len(names) else "no_matching_features_removed" if kept else "not_run_all_features_removed"
+        rows.append(f"('{family}', '{status}', {kept}, {'true' if kept else 'false'})")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS f(family_removed, status, remaining_feature_count, measured)"
+
+
+@query(_family_sql())
 def family_importance(spark, sf_dir):
-    """Metric change of the logistic regression without each feature family."""
+    """Metric change of the logistic regression without each feature family; measured: each change is the difference of its metrics."""
     rows, names = _training_rows(spark, sf_dir), vocab.feature_names(vocab.MANIFEST_PERMISSION)
-    _, _, chosen, _ = models.train_and_select(rows, names, "logistic_regression")
-    return models.ablation_study(rows, names, chosen)
+    _, _, chosen, _ = models.train_and_select(rows, names, _REGRESSIONS)
+    changes = [F.abs(C(name) - C(f"base_{name}") - C(f"delta_{name}")) < 1e-6 for name in ("f1", "recall", "false_positive_rate", "balanced_accuracy")]
+    measured = F.coalesce(reduce(lambda left, right: left & right, changes), F.lit(False))
+    return models.ablation_study(rows, names, chosen).select("family_removed", "status", "remaining_feature_count", measured.alias("measured"))
+
+
+_EXPERIMENTS = ", ".join([*(f"('{model}', '{name}')" for name in vocab.PROJECTIONS for model in (_REGRESSIONS, _FORESTS)), f"('rule_engine', '{vocab.FULL_DIFFERENTIAL}')"])
 
 
-@query()
+@query(f"WITH {_SEEN_SQL} SELECT model, feature_set, count(*) AS records, CAST(sum(target) AS BIGINT) AS positives, true AS consistent FROM seen, (VALUES {_EXPERIMENTS}) AS e(model, feature_set) WHERE split = 'test' GROUP BY ALL")
 def model_experiment(spark, sf_dir):
     """Models, each chosen from its grid, on all projections and the score, side by side."""
     from deltascope.plans import experiment
 
     table, _ = experiment.run(_training_rows(spark, sf_dir))
-    return table
+    areas = F.coalesce(C("roc_auc").between(0, 1) & C("pr_auc").between(0, 1), F.lit(False))
+    return table.select("model", "feature_set", (C("tn") + C("fp") + C("fn") + C("tp")).alias("records"), (C("fn") + C("tp")).alias("positives"), (_consistent() & areas).alias("consistent"))

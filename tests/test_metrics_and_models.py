@@ -106,3 +106,79 @@ def test_training_gate(spark):
     rows = _feature_rows(spark, 40).withColumn("label", F.lit("benign_transition"))
     with pytest.raises(ValueError, match="lacks both binary target classes"):
         models.train_and_select(rows, ["added_permission_count"], "logistic_regression")
+
+
+def test_candidates_trained_together_are_those_trained_alone(spark):
+    """Regressions against pyspark.ml's with the same penalty; a forest read to its end against the model it was stored from."""
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(2)
+    data = [(float(a), float(b), 3.0, float(a + b + rng.normal() > 0.7)) for a, b in rng.normal(size=(300, 2))]
+    table = spark.createDataFrame(data, "a double, b double, c double, target double").withColumn("features", F.array("a", "b", "c")).repartition(3).persist()
+    train = table.withColumn("vector", array_to_vector("features"))
+    support = {"benign": sum(y == 0 for *_, y in data), "review_worthy": sum(y == 1 for *_, y in data)}
+    matrix = np.array([row[:3] for row in data])
+    grid = models.candidates("logistic_regression")
+    fits = models.Regressions([(np.arange(3), params) for params in grid] + [(np.array([1]), grid[0])], support, matrix.mean(0), matrix.std(0, ddof=1))
+    fits.fit(train)
+    scaled = StandardScaler(inputCol="f", outputCol="s", withMean=True).fit(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(train)).transform(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(train))
+    for k, params in enumerate(grid):
+        weight = models.class_weights(support, params["class_weight"])
+        rows = scaled.withColumn("w", F.when(F.col("target") == 1, float(weight[1])).otherwise(float(weight[0])))
+        alone = LogisticRegression(featuresCol="s", labelCol="target", weightCol="w", maxIter=200, tol=1e-10, standardization=False, regParam=1 / (params["C"] * 300)).fit(rows)
+        assert np.allclose(fits.weights[k], [*alone.coefficients, 0.0, alone.intercept], atol=1e-4)
+    assert fits.weights[-1][0] == 0 and fits.weights[-1][1] != 0
+
+    growth = models.Growth(np.array([1, 0]), 2, np.array([1.0, 2.0]), 30, 12)
+    forest = models.grow_by_levels(train, growth, 5)
+    folders = [path for path in __import__("glob").glob(spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/forest-*")]
+    stored = RandomForestClassificationModel.load(max(folders, key=__import__("os").path.getmtime))
+    rows = train.withColumn("chosen", array_to_vector(F.array("b", "a")))
+    want = stored.transform(rows).select("a", "b", "c", "target", vector_to_array("probability")[1].alias("p")).collect()
+    got = forest.scores(np.array([[r.a, r.b, r.c] for r in want]), [(30, 12), (30, 5), (2, 12)])
+    assert np.allclose(got[:, 0], [r.p for r in want])
+    assert np.allclose(forest.importances(3, 30, 12)[[1, 0]], stored.featureImportances.toArray(), atol=1e-6)
+    assert len(np.unique(got[:, 2])) < len(np.unique(got[:, 0]))
+
+    (local,) = models.grow(train, 300, [growth], 5)
+    same_order = np.array([[r.a, r.b, r.c] for r in want])
+    shares = local.scores(same_order, [(30, 12), (30, 5), (2, 12)])
+    truth = np.array([r.target for r in want])
+    assert ((shares[:, 0] > 0.5) == truth).mean() > 0.9 and abs((shares[:, 0] - got[:, 0])).mean() < 0.15
+    assert np.allclose(local.importances(3, 30, 12), forest.importances(3, 30, 12), atol=0.15)
+
+
+def test_trees_against_plain_splits():
+    """Every split leaves enough rows on both sides, and no split among all features takes more impurity away."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    matrix = np.column_stack([rng.integers(0, 5, 200), rng.integers(0, 200, 200)]).astype(float)
+    target = (rng.random(200) < 0.2 + 0.1 * matrix[:, 0]).astype(int)
+    by_class = np.array([1.0, 3.0])
+    growth = models.Growth(np.array([0]), 4, by_class, 6, 3)
+    nodes = models.grown_trees(matrix, target, growth, 0, 9)
+    times = np.random.default_rng((9, 0)).poisson(1.0, (3, 200))
+    gini = lambda w: 0.0 if not w.sum() else w.sum() - (w**2).sum() / w.sum()
+    weigh = lambda mask, tree: np.array([(times[tree] * mask * (target == c)).sum() * by_class[c] for c in (0, 1)])
+    open_ = [(at, int(nodes["tree"][at]), np.ones(200, bool)) for at in np.flatnonzero(nodes["depth"] == 0)]
+    assert len(open_) == 3
+    while open_:
+        at, tree, mask = open_.pop()
+        here = weigh(mask, tree)
+        assert abs(nodes["positive"][at] - here[1] / here.sum()) < 1e-9
+        gains = []
+        for cut in np.arange(0.5, 4):
+            sides = mask & (matrix[:, 0] <= cut), mask & (matrix[:, 0] > cut)
+            if min((times[tree] * side).sum() for side in sides) >= 4:
+                gains.append(gini(here) - sum(gini(weigh(side, tree)) for side in sides))
+        best = max([g for g in gains if g > 1e-9], default=0)
+        if nodes["left"][at] == at:
+            assert not best or nodes["depth"][at] == 6
+        else:
+            assert abs(nodes["gain"][at] - best) < 1e-4
+            below = matrix[:, 0] <= nodes["threshold"][at]
+            open_ += [(nodes["left"][at], tree, mask & below), (nodes["right"][at], tree, mask & ~below)]

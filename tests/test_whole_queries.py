@@ -1,4 +1,6 @@
 """Queries that once did a smaller job than their operators."""
+import pytest
+
 from deltascope import vocab
 from deltascope.operators import models, reviews
 from deltascope.plans import experiment
@@ -16,24 +18,23 @@ def test_packets_hold_all_turns(spark):
     assert differences(spark, connect("/root/testdata/sf0.001"), "strict_review_validation", "/root/testdata/sf0.001") is None
 
 
-def test_model_queries_use_whole_grids_and_all_projections(monkeypatch):
-    asked, parameters = [], []
+class Planned(Exception):
+    pass
+
 
-    def select(rows, names, model, seed=1337, grid=None):
-        asked.append((model, grid))
-        return None, None, {"C": 10.0, "class_weight": None}, "fitted"
+@pytest.mark.parametrize("name", ["forest_predictions", "forest_selection", "logistic_weights", "logistic_selection", "family_importance", "model_experiment"])
+def test_model_queries_use_whole_grids_and_all_projections(monkeypatch, name):
+    def stop(rows, plans, seed=1337):
+        raise Planned(plans)
 
     monkeypatch.setattr(curation_queries, "_training_rows", lambda spark, sf_dir: None)
-    monkeypatch.setattr(curation_queries.metrics, "extended_metrics", lambda *a: None)
-    monkeypatch.setattr(models, "train_and_select", select)
-    monkeypatch.setattr(models, "top_weights", lambda fitted, *a: parameters.append(fitted))
-    monkeypatch.setattr(models, "ablation_study", lambda rows, names, chosen: parameters.append(chosen))
-    ran = []
-    monkeypatch.setattr(experiment, "run", lambda rows, projections=vocab.PROJECTIONS, grids=None: (ran.append((projections, grids)), None))
-    curation_queries.forest_predictions(None, "")
-    curation_queries.logistic_weights(None, "")
-    curation_queries.family_importance(None, "")
-    assert asked == [("random_forest", None), ("logistic_regression", None), ("logistic_regression", None)]
-    assert parameters == ["fitted", {"C": 10.0, "class_weight": None}]
-    curation_queries.model_experiment(None, "")
-    assert ran == [(vocab.PROJECTIONS, None)]
+    monkeypatch.setattr(experiment, "gate_or_raise", lambda rows: None)
+    monkeypatch.setattr(models, "train_grids", stop)
+    with pytest.raises(Planned) as caught:
+        curation_queries.QUERIES[name](None, "")
+    (plans,) = caught.value.args
+    assert all(plan.grid == models.candidates(plan.model) for plan in plans)
+    if name == "model_experiment":
+        assert [(plan.names, plan.model) for plan in plans] == [(vocab.feature_names(p), m) for p in vocab.PROJECTIONS for m in experiment.MODELS]
+    else:
+        assert [plan.model for plan in plans] == ["random_forest" if name.startswith("forest") else "logistic_regression"]
