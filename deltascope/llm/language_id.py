@@ -9,18 +9,21 @@ batch of texts is scored as presence matrix times landmark matrix times coeffici
 from __future__ import annotations
 
 import functools
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from deltascope.llm import common
 
 GRAMS = 3
-#: Bounds of what is fitted: languages, landmarks and training texts of each, bytes of one of them.
-LANGUAGES, LANDMARKS, TEXTS, TEXT_BYTES = 64, 48, 400, 1 << 13
+#: Bounds of what is fitted: landmarks and training texts of a language, characters of a training text.
+LANDMARKS, TEXTS, TEXT_CHARS = 48, 400, 1 << 13
+#: Landmarks and training texts of all languages together; with more languages each has fewer, at least one.
+MOST_LANDMARKS, MOST_TEXTS = 3072, 25_600
 RIDGE = 0.1
 UNKNOWN = "und"
 _TABLE_BITS = 20
@@ -78,6 +81,7 @@ class Classifier:
     languages: list[str]
     codes: list[np.ndarray]  # for each n, the n-gram codes, by number
     slots: np.ndarray  # number of the n-gram in each slot, or the count of n-grams
+    crowded: list[int]  # for each n, how many of the n-grams, the last ones and sorted, found their slot taken
     landmarks: np.ndarray  # (n-grams, landmarks): presence over the root of what the landmark holds
     coefficients: np.ndarray  # (landmarks, languages)
 
@@ -92,9 +96,14 @@ class Classifier:
             code, text = grams(marks, text_of, n)
             number = self.slots[_slots(code, n)]
             hit = (number >= low) & (number < low + len(own))
-            number, code, text = number[hit], code[hit], text[hit]
-            hit = known[number] == code
+            hit[hit] = known[number[hit]] == code[hit]
             flat[text[hit] * (size + 1) + number[hit]] = 1
+            rest = own[len(own) - self.crowded[n - 1] :]
+            if len(rest):
+                code, text = code[~hit], text[~hit]
+                place = np.minimum(np.searchsorted(rest, code), len(rest) - 1)
+                hit = rest[place] == code
+                flat[text[hit] * (size + 1) + low + len(own) - len(rest) + place[hit]] = 1
             low += len(own)
         return out[:, :size], counts
 
@@ -109,21 +118,23 @@ def train(texts: list[str], langs: list[str]) -> Classifier:
     """A classifier from texts in the order in which landmarks are taken: the first LANDMARKS of each language."""
     languages = sorted(set(langs))
     if not languages:
-        return Classifier([], [], np.zeros(1 << _TABLE_BITS, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    chosen = [k for lang in languages for k in [i for i, x in enumerate(langs) if x == lang][:LANDMARKS]]
+        return Classifier([], [], np.zeros(1 << _TABLE_BITS, np.int32), [], np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
+    most = max(1, min(LANDMARKS, MOST_LANDMARKS // len(languages)))
+    chosen = [k for lang in languages for k in [i for i, x in enumerate(langs) if x == lang][:most]]
     marks, text_of, _ = letters(pa.array([texts[k] for k in chosen]))
-    slots, codes, low, size = np.full(1 << _TABLE_BITS, -1, np.int64), [], 0, 0
+    slots, codes, crowded, low = np.full(1 << _TABLE_BITS, -1, np.int64), [], [], 0
     for n in range(1, GRAMS + 1):
         own = np.unique(grams(marks, text_of, n)[0])
         place = _slots(own, n)
         _, first = np.unique(place, return_index=True)
-        first = np.sort(first)
-        own = own[first[slots[place[first]] < 0]]  # a slot belongs to one n-gram
-        slots[_slots(own, n)] = low + np.arange(len(own))
-        codes.append(own)
+        alone = np.zeros(len(own), bool)  # a slot belongs to one n-gram; the others are looked up by their order
+        alone[first[slots[place[first]] < 0]] = True
+        slots[place[alone]] = low + np.arange(alone.sum())
+        codes.append(np.concatenate([own[alone], own[~alone]]))
+        crowded.append(int((~alone).sum()))
         low += len(own)
     size = low
-    model = Classifier(languages, codes, np.where(slots < 0, size, slots).astype(np.int32), np.zeros((size, 0), np.float32), np.zeros((0, 0)))
+    model = Classifier(languages, codes, np.where(slots < 0, size, slots).astype(np.int32), crowded, np.zeros((size, 0), np.float32), np.zeros((0, 0)))
     held = np.concatenate([model.presence(pa.array(texts[i : i + 256]))[0] for i in range(0, len(texts), 256)])
     unit = held / np.sqrt(np.maximum(held.sum(axis=1, keepdims=True), 1))
     model.landmarks = np.ascontiguousarray(unit[chosen].T)
@@ -141,15 +152,24 @@ def train(texts: list[str], langs: list[str]) -> Classifier:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
-    """A classifier from a bounded sample of the documents whose language is not null: up to TEXTS of each of
-    the LANGUAGES most frequent languages (ties by name), chosen by hash of id and text among the texts of at
-    most TEXT_BYTES bytes.
+    """A classifier from a bounded sample of the documents whose language is not null.
+
+    Each language gives up to TEXTS texts, by hash of id and text, of which the first TEXT_CHARS characters are read.
+    With more than MOST_TEXTS / TEXTS languages each gives fewer. All are learned; only beyond MOST_LANDMARKS of them
+    the rarest (ties by name) are not, and the warning names their number.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    short = rows.where(F.octet_length("text") <= TEXT_BYTES)
-    names = short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    order = F.xxhash64("doc_id", "text")
-    sample = [r for name in names for r in common.hash_sample(short.where(F.col("lang") == name.lang), order, TEXTS, name["count"]).select("lang", "text").collect()]
+    counts = rows.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
+        return train([], [])
+    if languages > MOST_LANDMARKS:
+        warnings.warn(f"{languages - MOST_LANDMARKS} of {languages} languages are not learned")
+        rows = rows.join(counts.orderBy(F.desc("count"), "lang").limit(MOST_LANDMARKS).select("lang"), "lang", "left_semi")
+    each = max(1, min(TEXTS, MOST_TEXTS // languages))
+    cut = rows.select("lang", F.substring("text", 1, TEXT_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("order"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
+    sample = cut.withColumn("place", place).where(F.col("place") <= each).orderBy("lang", "place").select("lang", "text").collect()
     return train([r.text for r in sample], [r.lang for r in sample])
 
 

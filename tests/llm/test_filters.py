@@ -203,3 +203,30 @@ def test_licence_scan(spark):
     assert licence_scan.scan(frame.limit(0)).count() == 0
     own = spark.createDataFrame([("B", "My licence"), ("A", "my LICENSE!"), ("C", None), ("D", " ")], "license_id string, text string")
     assert {r.license_id for r in licence_scan.scan(spark.createDataFrame([(1, "My license."), (2, "")], "doc_id long, text string"), own).collect()} == {"A", None}
+
+
+def test_languages_with_long_texts_only_and_many_languages(spark):
+    rng = random.Random(3)
+    syllables = [a + b for a in "bcdfghjklm" for b in "aeiou"]
+    words = {f"l{k:02}": ["".join(rng.choice(syllables) for _ in range(3)) for _ in range(12)] for k in range(70)}
+    rows = [(f"{lang}-{n}", " ".join(rng.choice(own) for _ in range(20)), lang) for lang, own in words.items() for n in range(8)]
+    rows += [(f"long-{n}", " ".join(rng.choice(["zxq", "qzx", "xxz"]) for _ in range(4000)), "long") for n in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = language_id.fit(frame)
+    assert len(model.languages) == 71
+    probes = spark.createDataFrame([(lang, " ".join(rng.choice(own) for _ in range(30))) for lang, own in [*words.items(), ("long", ["zxq", "qzx", "xxz"])]], "want string, text string")
+    found = language_id.with_language(probes, model).collect()
+    assert np.mean([r.lang_pred == r.want for r in found]) > 0.95
+    assert {r.lang_pred for r in found if r.want == "long"} == {"long"}
+
+
+def test_crowded_slots_are_looked_up(monkeypatch):
+    """With a table far too small every n-gram of the landmarks still counts."""
+    texts, langs = ["the cat and the dog", "le chat et le chien", "the bird", "l'oiseau"], ["en", "fr", "en", "fr"]
+    probes = pa.array([*texts, "the chat", "", "zzz 123", "ÉTÉ the"])
+    wide, _ = language_id.train(texts, langs).presence(probes)
+    monkeypatch.setattr(language_id, "_TABLE_BITS", 4)
+    model = language_id.train(texts, langs)
+    assert sum(model.crowded) > 40
+    small, _ = model.presence(probes)
+    assert (small.sum(axis=1) == wide.sum(axis=1)).all() and (small @ small.T == wide @ wide.T).all()
