@@ -34,3 +34,9 @@ def components(links: DataFrame, left: str = "a", right: str = "b", most_rounds:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
     raise RuntimeError(f"no stable components after {most_rounds} rounds")
+
+
+def same_id_links(members: DataFrame, id_col: str, node_col: str = "node") -> DataFrame:
+    """a, b: links that join all nodes of one id. members: a row for each id and node, in any number."""
+    lowest = members.groupBy(id_col).agg(F.min(node_col).alias("b"), F.max(node_col).alias("top")).where("b < top").drop("top")
+    return members.join(lowest, id_col).where(F.col(node_col) != F.col("b")).select(F.col(node_col).alias("a"), "b").distinct()

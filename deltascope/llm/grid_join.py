@@ -139,7 +139,7 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     keys = ["label", "width", "digest"]
     distinct = common.stored(prepared.where("raw is not null").groupBy(*keys).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "distinct")
     axes = {}
-    for width, count in distinct.groupBy("width").count().orderBy("width").limit(16).collect():  # further lengths are one grid cell, and still joined
+    for width, count in distinct.groupBy("width").count().orderBy("width").collect():
         sample = common.hash_sample(distinct.where(F.col("width") == width), F.xxhash64("node"), SAMPLE, count).select("raw").collect()
         axes[width] = directions([bytes(r.raw) for r in sample], kind)
     names = [f"p{k}" for k in range(DIRECTIONS)]
@@ -216,9 +216,15 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
 
     compared = common.stored(meeting.mapInArrow(compare, "node long, links long, low long"), "compared")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components.components(compared.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    valid = prepared.where("raw is not null and vec_id is not null").select("vec_id", *keys).join(distinct.select(*keys, "node"), keys)
+    joined = compared.select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(components.same_id_links(valid, "vec_id"))
+    classes = components.components(joined)
     named = distinct.select(*keys, "node", "copies").join(links, "node", "left").join(classes, "node", "left")
     named = named.select(*keys, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     members = prepared.select("vec_id", *keys).join(named, keys, "left")
-    out = members.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # A row without a usable vector is in the component of the other rows with its id.
+    again = prepared.where("vec_id is not null").groupBy("vec_id").agg(F.count("*").alias("rows")).where("rows > 1").select("vec_id")
+    by_id = members.join(again, "vec_id").groupBy("vec_id").agg(F.min("component_id").alias("of_id")).where("of_id is not null")
+    members = members.join(by_id, "vec_id", "left")
+    out = members.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("of_id", "component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from deltascope.llm import common, components, words
 
@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """doc_id, class_id, kept for each row: the smallest id of the texts that links join to it, and whether that is its own.
 
     Equal texts are always linked, also empty ones (a null text is empty); other texts without words have no
-    links. Rows with a null id are in no class and kept. Rows with one id share a class. Ids are integers.
+    links. Rows with a null id are in no class and kept. Rows with one id share a class, and so do all their copies.
+    Ids are integers.
     """
     spark = docs.sparkSession
     rows = common.whole_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -244,6 +245,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         yield pa.RecordBatch.from_pydict({"a": pa.array([node[i] for i, _ in links], pa.int64()), "b": pa.array([node[j] for _, j in links], pa.int64())})
 
     links = meeting.select("node", "own", "x", "y", "component", "bands", "keys", "weights").groupBy("component", "x", "y").applyInArrow(verify, "a long, b long")
+    members = sketches.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest")
+    links = links.unionByName(components.same_id_links(members, "doc_id"))
     classes = components.components(links).select("node", F.col("component").alias("found"))
     named = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("found", "node").alias("class_id"))
     placed = sketches.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
@@ -251,7 +254,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
 
 def keep(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest id, with the columns the documents came with."""
+    """One document of each class, that with the smallest id, with the columns the documents came with.
+
+    Of rows with that id the one with the smallest text stays (a null text first).
+    """
     kept = near_duplicates(docs, similarity, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.asc_nulls_first(text_col)))
+    known = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").withColumn("_place", place).where("_place = 1")
     return known.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -163,3 +163,22 @@ def test_shingles_of_short_texts():
     assert np.diff(bounds).tolist() == [0, 1, 1, 6, 1, 1]
     assert counts[bounds[3] : bounds[4]].tolist().count(2) == 1
     assert keys[bounds[4]] == keys[bounds[5]] and keys[bounds[2]] in keys[bounds[3] : bounds[4]]
+
+
+def test_rows_with_one_id_share_a_class(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    frame = spark.createDataFrame([(1, a, 0), (5, a, 1), (5, b, 2), (7, b, 3), (8, c, 4), (9, None, 5), (8, None, 6)], "doc_id long, text string, n int")
+    found = minhash.near_duplicates(frame).collect()
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in found) == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (8, 8, True), (8, 8, True), (9, 8, False)]
+    assert sorted(r.n for r in minhash.keep(frame).collect()) == [0, 6]
+
+    up, right, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    vectors = spark.createDataFrame([(1, up, "x"), (5, up, "x"), (5, right, "x"), (7, right, "x"), (8, far, "y"), (5, None, "x"), (9, None, "x")], "vec_id long, embedding array<double>, label string")
+    found = grid_join.similar_vectors(vectors).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (5, 0, 1), (5, 1, 1), (5, 1, 1), (7, 1, 1), (8, 0, 8), (9, 0, 9)]
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(n * 10 + k, [1.0 + k * 1e-3] * (n - 1) + [1.0], "x") for n in range(2, 24) for k in range(2)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in grid_join.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert found == {i: (1, i // 10 * 10) for i, *_ in rows}
