@@ -29,6 +29,8 @@ MOST_FREQUENT, AT_LEAST = 2000, 100
 SLOT_BITS, ROW_BITS = 24, 16
 #: A longer path leaves the task in several rows.
 PATH_WORDS = 256
+#: Rows that a task adds up before it hands them on.
+HELD_ROWS = 1_000_000
 NO_LANGUAGE = "und"
 PATH, STOP, WORD, TOTAL = range(4)
 PARTS = "lang string, kind int, phrase string, times long"
@@ -265,6 +267,28 @@ def _parts(tables):
     return run
 
 
+def _combined(run):
+    """The same rows with those of equal phrases added up, HELD_ROWS at a time, before they leave the task."""
+
+    def combine(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        added = pa.Table.from_batches(held).group_by(["lang", "kind", "phrase"], use_threads=False).aggregate([("times", "sum")])
+        columns = [added.column(name) for name in ("lang", "kind", "phrase", "times_sum")]
+        return pa.table(columns, names=["lang", "kind", "phrase", "times"]).to_batches(max_chunksize=100_000)
+
+    def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for rows in run(batches):
+            held.append(rows)
+            count += rows.num_rows
+            if count >= HELD_ROWS:
+                yield from combine(held)
+                held, count = [], 0
+        if held:
+            yield from combine(held)
+
+    return all_rows
+
+
 def _rows(names: pa.Array, lang: np.ndarray, kind: int, phrases: pa.Array, times: np.ndarray) -> pa.RecordBatch:
     columns = [names.take(pa.array(lang)), pa.array(np.full(len(lang), kind, np.int32)), phrases.cast(pa.string()), pa.array(times.astype(np.int64))]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "kind", "phrase", "times"])
@@ -333,7 +357,7 @@ def collocations(docs: DataFrame, at_least: int = AT_LEAST, most: int = MOST_FRE
     short = frequent_slots(texts, _short_phrases, at_least)
     long = frequent_slots(texts, lambda pieces, keys: _long_phrases(pieces, keys, short), at_least)
     tables = docs.sparkSession.sparkContext.broadcast((short, long))
-    parts = common.stored(texts.mapInArrow(_parts(tables), PARTS), "paths")
+    parts = common.stored(texts.mapInArrow(_combined(_parts(tables)), PARTS), "paths")
     found = common.stored(counts(parts, at_least), "phrases")
     totals = common.stored(parts.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("times").alias("n")).where("n > 0"), "totals")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
