@@ -37,6 +37,8 @@ HEAD = 1 << 19
 CLASS_ROWS, SLOT_ROWS, FEATURES = 1 << 14, 1 << 15, 4
 ROW_TOKENS, MOST_CLASS_ROWS = 1024, 1 << 16
 ROUNDS, BATCH, RATE = 2, 8192, 0.15
+#: Gradients of one row that are added together with those of other rows; what is beyond is added row by row.
+FEW = 16
 #: Of the types that occur once in training, one in so many stands for the unknown type there, in the head or not.
 PRETEND = 4
 #: Types that stand for the unknown one, at most; when there would be more, fewer stand for it and each counts for several.
@@ -226,27 +228,68 @@ def _rows(w: Weights, hashed: np.ndarray, classes: np.ndarray) -> tuple[np.ndarr
     return first, second
 
 
-def _forward(w: Weights, first: np.ndarray, second: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = w.class_rows[first[0]]
-    for k in range(1, FEATURES):
-        x += w.class_rows[first[k]]
-    y = w.slot_rows[second[0]]
+def _added(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sum over all features of the weight rows at their places."""
+    total = rows.take(places[0], axis=0)
+    buffer = np.empty_like(total)
     for k in range(1, FEATURES):
-        y += w.slot_rows[second[k]]
+        total += rows.take(places[k], axis=0, out=buffer, mode="clip")
+    return total
+
+
+def _slot_softmax(w: Weights, second: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    y = _added(w.slot_rows, second)
+    y += w.slot_bias.take(classes, axis=0)
+    return _softmax(y)
+
+
+def _forward(w: Weights, first: np.ndarray, second: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = _added(w.class_rows, first)
     x += w.class_bias[0]
-    y += w.slot_bias[classes]
-    return _softmax(x), _softmax(y)
+    return _softmax(x), _slot_softmax(w, second, classes)
 
 
-def log_probabilities(w: Weights, hashed: np.ndarray, cells: np.ndarray, step: int = BATCH) -> np.ndarray:
+def log_probabilities(w: Weights, hashed: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """log10 of the probability of each cell, given the features at its place."""
-    out = np.empty(len(cells))
+    return log_probabilities_of_two(w, hashed, cells, np.zeros(0, np.intp), 0)[0]
+
+
+def log_probabilities_of_two(w: Weights, hashed: np.ndarray, cells: np.ndarray, places: np.ndarray, cell: int, step: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the probability of each cell, given the features at its place; and that of `cell` at each of `places`, which ascend."""
+    out, others = np.empty(len(cells)), np.empty(len(places))
+    side = w.slot_bias.shape[1]
     for i in range(0, len(cells), step):
-        classes, slots = np.divmod(cells[i : i + step], w.slot_bias.shape[1])
-        p, q = _forward(w, *_rows(w, hashed[:, i : i + step], classes), classes)
+        batch = hashed[:, i : i + step]
+        classes, slots = np.divmod(cells[i : i + step], side)
+        p, q = _forward(w, *_rows(w, batch, classes), classes)
         at = np.arange(len(classes))
-        out[i : i + step] = np.log10(np.maximum(p[at, classes].astype(np.float64) * q[at, slots], 1e-300))
-    return out
+        out[i : i + step] = p[at, classes].astype(np.float64) * q[at, slots]
+        # The class softmax is the same for another cell; only the slots are those of its class.
+        since, until = np.searchsorted(places, [i, i + step])
+        here = places[since:until] - i
+        other = np.full(len(here), cell // side)
+        r = _slot_softmax(w, _rows(w, batch[:, here], other)[1], other)
+        others[since:until] = p[here, cell // side].astype(np.float64) * r[:, cell % side]
+    return np.log10(np.maximum(out, 1e-300)), np.log10(np.maximum(others, 1e-300))
+
+
+def sums_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum of the gradients of each distinct row, the rows, and how often each occurs; `rows` holds the gradients' rows once or several times over."""
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")  # numbers of 16 bits sort fastest
+    ordered = rows[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    times = np.diff(np.append(first, len(rows)))
+    # The rows by how often they occur: the first, second, ... gradients of all that have one are added at once.
+    by_times = np.argsort(-times, kind="stable")
+    first, times = first[by_times], times[by_times]
+    place = order % len(gradient)
+    total = gradient.take(place[first], axis=0)
+    for k in range(1, min(FEW, times[0])):
+        more = np.searchsorted(-times, -k)  # so many occur more than k times
+        total[:more] += gradient.take(place[first[:more] + k], axis=0)
+    for at in range(np.searchsorted(-times, -FEW)):
+        total[at] += gradient.take(place[first[at] + FEW : first[at] + times[at]], axis=0).sum(axis=0)
+    return total, ordered[first], times
 
 
 class Learner:
@@ -258,18 +301,17 @@ class Learner:
         self.seen = [np.zeros(len(p), np.int64) for p in weights.parts()]
 
     def _step(self, part: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        if len(self.sums[part]) <= 1 << 16:
-            rows = rows.astype(np.uint16)  # numbers of 16 bits sort fastest
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        self._move(part, ordered[first], np.add.reduceat(gradient[order], first, axis=0), np.diff(np.append(first, len(rows))))
+        """Moves the rows of all features, given as one array for each, by their sums of the gradients."""
+        sums, rows, times = sums_by_row(rows.ravel(), gradient)
+        self._move(part, rows, sums, times)
 
     def _move(self, part: int, rows: np.ndarray, total: np.ndarray, times: np.ndarray) -> None:
-        sums = self.sums[part]
+        """Moves the rows against their gradients, which are used up."""
+        sums, weights = self.sums[part], self.weights.parts()[part]
         sums[rows] += np.einsum("ij,ij->i", total, total) / total.shape[1]
         self.seen[part][rows] += times
-        self.weights.parts()[part][rows] -= total * (self.rate / np.sqrt(sums[rows]))[:, None]
+        total *= (self.rate / np.sqrt(sums[rows]))[:, None]
+        weights[rows] = np.subtract(weights.take(rows, axis=0), total, out=total)
 
     def learn(self, hashed: np.ndarray, cells: np.ndarray, times: np.ndarray | None = None) -> None:
         """Follows the gradients of all places, each counted once or as often as `times` says."""
@@ -287,9 +329,8 @@ class Learner:
             every = np.arange(len(self.weights.slot_bias))
             member = (every[:, None] == classes).astype(np.float32)
             self._move(1, every, member @ q, member.sum(axis=1).astype(np.int64))
-            for k in range(FEATURES):
-                self._step(2, first[k], p)
-                self._step(3, second[k], q)
+            self._step(2, first, p)
+            self._step(3, second, q)
 
 
 def training_targets(vocab: Vocabulary, hashes: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -386,15 +427,15 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: Weight
                 cells, inside, c = vocab.look_up(hashes, endings)
                 cell = cells[at]
                 hashed = features(hashes[at], bounds)
-                found = log_probabilities(w, hashed, cell) - log_mass[cell]
-                text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 head = inside[at]
+                out = np.flatnonzero(~head)
+                found, unknown = log_probabilities_of_two(w, hashed, cell, out, vocab.unknown)
+                found -= log_mass[cell]
+                text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 smoothed = np.log10(c + 0.5)[at]
                 count = len(bounds) - 1
                 base = np.bincount(text[head], smoothed[head], minlength=count)
                 total = np.bincount(text[head], (found + smoothed)[head], minlength=count)
-                out = np.flatnonzero(~head)
-                unknown = log_probabilities(w, hashed[:, out], np.full(len(out), vocab.unknown))
                 key = text[out] * len(hashes) + at[out]
                 unique, group = np.unique(key, return_inverse=True)
                 n = np.bincount(group, minlength=len(unique))

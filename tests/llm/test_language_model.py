@@ -158,3 +158,27 @@ def test_rows_and_classes_follow_the_training_data():
     assert shapes(1000, 50) == [(1, 32), (32, 32), (1 << 14, 32), (1 << 15, 32)]
     assert shapes(1 << 25, 300_000) == [(1, 64), (64, 64), (1 << 15, 64), (1 << 16, 64)]
     assert shapes(1 << 40, 1 << 30) == [(1, 64), (64, 64), (1 << 16, 64), (1 << 17, 64)]
+
+
+@pytest.mark.parametrize("places, rows", [(1, 5), (3000, 70_000), (500, 30), (200, 1)])
+def test_sums_by_row(places, rows):
+    """Rows that occur once, a few times, and more often than FEW."""
+    some = np.random.default_rng(places)
+    gradient, at = some.normal(size=(places, 32)).astype(np.float32), some.integers(0, rows, (4, places))
+    total, row, times = maxent_lm.sums_by_row(at.ravel(), gradient)
+    want = np.zeros((rows, 32))
+    np.add.at(want, at.ravel(), np.tile(gradient, (4, 1)))
+    assert len(set(row)) == len(row) and (np.bincount(at.ravel(), minlength=rows)[row] == times).all() and times.sum() == at.size
+    assert np.allclose(total, want[row], atol=1e-3)
+
+
+def test_second_cell_of_a_place():
+    """The probability of another cell at some places is what it would be if it were looked up there alone."""
+    some = np.random.default_rng(7)
+    shapes = [(1, 32), (32, 32), (64, 32), (128, 32)]
+    weights = maxent_lm.Weights(*[some.normal(size=shape).astype(np.float32) for shape in shapes])
+    hashed, cells = some.integers(0, 1 << 62, (4, 500)).astype(np.uint64), some.integers(0, 1024, 500)
+    places = np.flatnonzero(some.random(500) < 0.3)
+    own, other = maxent_lm.log_probabilities_of_two(weights, hashed, cells, places, 77, step=64)
+    assert np.allclose(own, maxent_lm.log_probabilities(weights, hashed, cells))
+    assert np.allclose(other, maxent_lm.log_probabilities(weights, hashed[:, places], np.full(len(places), 77)))
