@@ -36,7 +36,9 @@ HEAD = 1 << 19
 #: There are as many rows at least; one class row for each ROW_TOKENS training tokens up to MOST_CLASS_ROWS, and twice as many slot rows.
 CLASS_ROWS, SLOT_ROWS, FEATURES = 1 << 14, 1 << 15, 4
 ROW_TOKENS, MOST_CLASS_ROWS = 1024, 1 << 16
-ROUNDS, BATCH, RATE = 2, 8192, 0.15
+ROUNDS, RATE = 2, 0.15
+#: Tokens that the learner takes at a time: more of them share rows in larger batches. Tokens scored at a time.
+BATCH, SCORED = 32768, 8192
 #: Gradients of one row that are added together with those of other rows; what is beyond is added row by row.
 FEW = 16
 #: Of the types that occur once in training, one in so many stands for the unknown type there, in the head or not.
@@ -237,16 +239,29 @@ def _added(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
     return total
 
 
-def _slot_softmax(w: Weights, second: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def _class_sums(w: Weights, first: np.ndarray) -> np.ndarray:
+    x = _added(w.class_rows, first)
+    x += w.class_bias[0]
+    return x
+
+
+def _slot_sums(w: Weights, second: np.ndarray, classes: np.ndarray) -> np.ndarray:
     y = _added(w.slot_rows, second)
     y += w.slot_bias.take(classes, axis=0)
-    return _softmax(y)
+    return y
 
 
 def _forward(w: Weights, first: np.ndarray, second: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = _added(w.class_rows, first)
-    x += w.class_bias[0]
-    return _softmax(x), _slot_softmax(w, second, classes)
+    return _softmax(_class_sums(w, first)), _softmax(_slot_sums(w, second, classes))
+
+
+def _log_softmax_at(x: np.ndarray, *chosen: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Natural logarithm of the softmax at the rows and columns of each of `chosen`; `x` is used up."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = [x[rows, columns].astype(np.float64) for rows, columns in chosen]
+    np.exp(x, out=x)
+    logs = np.log(x.sum(axis=1, dtype=np.float32).astype(np.float64))
+    return [value - logs[rows] for value, (rows, _) in zip(picked, chosen)]
 
 
 def log_probabilities(w: Weights, hashed: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -254,29 +269,33 @@ def log_probabilities(w: Weights, hashed: np.ndarray, cells: np.ndarray) -> np.n
     return log_probabilities_of_two(w, hashed, cells, np.zeros(0, np.intp), 0)[0]
 
 
-def log_probabilities_of_two(w: Weights, hashed: np.ndarray, cells: np.ndarray, places: np.ndarray, cell: int, step: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+def log_probabilities_of_two(w: Weights, hashed: np.ndarray, cells: np.ndarray, places: np.ndarray, cell: int, step: int = SCORED) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the probability of each cell, given the features at its place; and that of `cell` at each of `places`, which ascend."""
     out, others = np.empty(len(cells)), np.empty(len(places))
     side = w.slot_bias.shape[1]
     for i in range(0, len(cells), step):
         batch = hashed[:, i : i + step]
         classes, slots = np.divmod(cells[i : i + step], side)
-        p, q = _forward(w, *_rows(w, batch, classes), classes)
+        first, second = _rows(w, batch, classes)
         at = np.arange(len(classes))
-        out[i : i + step] = p[at, classes].astype(np.float64) * q[at, slots]
         # The class softmax is the same for another cell; only the slots are those of its class.
         since, until = np.searchsorted(places, [i, i + step])
         here = places[since:until] - i
         other = np.full(len(here), cell // side)
-        r = _slot_softmax(w, _rows(w, batch[:, here], other)[1], other)
-        others[since:until] = p[here, cell // side].astype(np.float64) * r[:, cell % side]
-    return np.log10(np.maximum(out, 1e-300)), np.log10(np.maximum(others, 1e-300))
+        p, r = _log_softmax_at(_class_sums(w, first), (at, classes), (here, other))
+        out[i : i + step] = p + _log_softmax_at(_slot_sums(w, second, classes), (at, slots))[0]
+        slot_sums = _slot_sums(w, _rows(w, batch[:, here], other)[1], other)
+        others[since:until] = r + _log_softmax_at(slot_sums, (np.arange(len(here)), np.full(len(here), cell % side)))[0]
+    return out / np.log(10), others / np.log(10)
 
 
 def sums_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum of the gradients of each distinct row, the rows, and how often each occurs; `rows` holds the gradients' rows once or several times over."""
-    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")  # numbers of 16 bits sort fastest
-    ordered = rows[order]
+    # Rows and their places as one number: plain numbers sort much faster than an order of numbers is found.
+    bits = len(rows).bit_length()
+    keys = (rows.astype(np.int64) << bits) | np.arange(len(rows))
+    keys.sort()
+    order, ordered = keys & ((1 << bits) - 1), keys >> bits
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     times = np.diff(np.append(first, len(rows)))
     # The rows by how often they occur: the first, second, ... gradients of all that have one are added at once.
