@@ -263,6 +263,18 @@ GATES = {
         ("validation_classes < 2", "validation split lacks both binary target classes", "block"),
         ("test_classes < 2", "test split lacks both binary target classes", "block"),
     ],
+    "groups": [
+        ("extension_overlap > 0", "an extension is in more than one split", "block"),
+        ("package_hash_overlap > 0", "a package hash is in more than one split", "block"),
+        ("duplicate_transition_pairs > 0", "a transition occurs more than once", "block"),
+    ],
+    "last_stage": [
+        ("real_gold_count = 0", "no defensible real Gold Set exists", "block"),
+        ("later_reviews = 0", "no genuine second-review/adjudication records exist", "block"),
+        ("holdout_count = 0 or holdout_provisional_count > 0", "external holdout labels remain provisional", "block"),
+        ("provisional_count > 0", "single-reviewer provisional labels still dominate", "block"),
+        ("confirmed_malicious_count = 0", "confirmed malicious-transition ground truth count is 0", "block"),
+    ],
     "replication": [
         ("not validation_passed", "dataset validation failed", "block"),
         ("not duplicates_passed", "duplicate audit failed", "block"),
@@ -330,6 +342,86 @@ def corpus_facts(records: DataFrame) -> DataFrame:
     )
 
 
+# -- before training, and after the last review stage ------------------------
+def supervised_gate(eligible: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
+    """One row: whether eligible rows {record_id, extension_id, label, split} may be trained on, and why not.
+
+    Too few records or extensions, a split without both classes, an extension in several splits and, with
+    `provenance` {record_id, old_sha256, new_sha256}, package hashes in several splits and transitions that
+    occur twice. Rows without a split count as records only.
+    """
+    positive = C("label").isin([name for name, value in vocab.BINARY_LABELS.items() if value])
+    classes = lambda name: F.size(F.collect_set(F.when(C("split") == name, positive)))
+    counted = eligible.agg(
+        F.count("*").alias("eligible_count"), F.count_distinct("extension_id").alias("eligible_extensions"),
+        *[classes(name).alias(f"{name}_classes") for name in vocab.SPLITS],
+    )
+    if provenance is None:
+        found = _in_several_splits(eligible, ["extension_id"], "extension_overlap", C("extension_id"))
+    else:
+        found = group_split_audit(eligible, provenance)
+    kinds = ("extension_overlap", "package_hash_overlap", "duplicate_transition_pairs")
+    violations = found.agg(F.struct(*[F.count_if(C("type") == kind).alias(kind) for kind in kinds]).alias("violations"))
+    facts = counted.withColumn("violations", violations.scalar()).select("*", "violations.*").drop("violations")
+    return gate(facts, GATES["supervised"] + GATES["groups"]).drop("warnings")
+
+
+# Checks of the last review stage over its facts. Four are positions, not measurements: labels stay
+# provisional whatever their number, and neither scores nor tuning ever touch labels or holdout.
+LAST_STAGE_CHECKS = [
+    ("defensible_real_gold_set_exists", "real_gold_count > 0"),
+    ("external_holdout_ground_truth_sufficient", "false"),
+    ("enough_held_out_extension_identities", "holdout_extensions >= 3"),
+    ("labels_independent_of_scores", "true"),
+    ("provisional_label_dependence_acceptable", "false"),
+    ("label_diversity_sufficient", "risky_candidates + malicious_candidates >= 10"),
+    ("holdout_untouched_by_tuning", "true"),
+    ("leakage_audit_clean", "names_passed and duplicates_passed and leakage_passed"),
+]
+
+
+def last_stage_facts(records: DataFrame, gold: DataFrame, holdout: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The one-row facts of the last-stage gate.
+
+    `records` {record_id, extension_id, label, label_quality_tier}, `gold` {real_or_controlled}, `holdout`
+    {record_id}, `reviews` {reviewer_id, review_round}. Empty tables give zeros.
+    """
+    tier, label = C("label_quality_tier"), C("label")
+    held = records.join(holdout.select("record_id").distinct(), "record_id", "left_semi")
+    side = lambda frame, **values: frame.agg(F.struct(*[value.alias(name) for name, value in values.items()]).alias("side")).scalar()
+    kind = C("real_or_controlled")
+    genuine = F.coalesce(present(C("reviewer_id")), F.lit(False))
+    return (
+        records.agg(
+            F.count("*").alias("record_count"),
+            F.count_if(label == "risky_transition").alias("risky_candidates"),
+            F.count_if(label == "malicious_transition").alias("malicious_candidates"),
+            F.count_if(tier == "SINGLE_REVIEWER_PROVISIONAL").alias("provisional_count"),
+            F.count_if((label == "malicious_transition") & tier.isin(vocab.GOLD_TIERS)).alias("confirmed_malicious_count"),
+        )
+        .withColumns({
+            "gold": side(gold, real_gold_count=F.count_if(kind == "real"), controlled_gold_count=F.count_if(kind == "controlled")),
+            "held": side(
+                held, holdout_count=F.count("*"), holdout_extensions=F.count_distinct("extension_id"),
+                holdout_provisional_count=F.count_if(~F.coalesce(tier.isin(vocab.GOLD_TIERS), F.lit(False))),
+            ),
+            "read": side(reviews, later_reviews=F.count_if(genuine & (C("review_round") != "INITIAL_BLIND"))),
+        })
+        .select("*", "gold.*", "held.*", "read.*")
+        .drop("gold", "held", "read")
+    )
+
+
+def last_stage_readiness(facts: DataFrame) -> DataFrame:
+    """Facts with every check, `block_reasons`, and `ready`: whether all checks hold.
+
+    Besides `last_stage_facts` it reads names_passed, duplicates_passed and leakage_passed; a null one fails.
+    """
+    checked = facts.withColumns({name: F.coalesce(F.expr(check), F.lit(False)) for name, check in LAST_STAGE_CHECKS})
+    everything = F.forall(F.array(*[name for name, _ in LAST_STAGE_CHECKS]), lambda passed: passed)
+    return gate(checked, GATES["last_stage"]).withColumn("ready", everything).drop("warnings")
+
+
 # -- distributions ----------------------------------------------------------
 def distributions(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     """Counts of many single dimensions in one pass: {dimension, value, records, extensions}."""

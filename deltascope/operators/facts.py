@@ -125,6 +125,9 @@ class PatternTable:
         ]
 
     def hits(self, code_only: str, clean: str) -> Column:
+        return F.expr(self.hits_sql(code_only, clean))
+
+    def hits_sql(self, code_only: str, clean: str) -> str:
         """Positions of the patterns found in a line; the anchor test keeps most expressions from running."""
         cases = []
         for at, row in enumerate(self.rows):
@@ -133,7 +136,7 @@ class PatternTable:
             if row["anchor"]:
                 test = f"contains({body}, {sql_text(row['anchor'])}) and {test}"
             cases.append(f"case when {test} then {at} end")
-        return F.expr(f"array_compact(cast(array({', '.join(cases)}) as array<int>))")
+        return f"array_compact(cast(array({', '.join(cases)}) as array<int>))"
 
     def of(self, hit: Column, field: str, kind: str) -> Column:
         return F.get(fixed_array([row[field] for row in self.rows], kind), hit)
@@ -366,6 +369,11 @@ def flows(facts: DataFrame) -> DataFrame:
         .agg(names("flow_source").alias("sources"), names("flow_sink").alias("sinks"))
         .where((F.size("sources") > 0) & (F.size("sinks") > 0))
     )
+    return _judged(grouped)
+
+
+def _judged(grouped: DataFrame) -> DataFrame:
+    """Severity and wording of flows with their `sources` and `sinks`."""
     critical = F.arrays_overlap("sources", F.array(*[F.lit(name) for name in vocab.CRITICAL_FLOW_SOURCES]))
     return grouped.withColumn("severity", F.when(critical, "Critical").otherwise("High")).withColumn(
         "pattern",
@@ -376,6 +384,36 @@ def flows(facts: DataFrame) -> DataFrame:
     )
 
 
+def file_flows(files: DataFrame, flow_sources=None, flow_sinks=None) -> DataFrame:
+    """Script files with both a sensitive source and an outbound sink, with every line that shows one.
+
+    The columns of `flows` and, for sources and sinks, evidence {name, line, snippet} by line and, within a
+    line, in the order of the patterns. Decided on the row of the file, whose size the archive quotas bound:
+    no hit is shuffled, and rows of one path stay apart. A null content has no lines.
+    """
+    table = PatternTable(api_patterns=[], obfuscation_patterns=[], flow_sources=flow_sources, flow_sinks=flow_sinks)
+    cut = files.where(F.col("path").endswith(".js")).select(
+        "package_id", "path", text.lines(text.strip_comments(F.col("content"))).alias("clean")
+    )
+    lines = cut.withColumn("lines", F.arrays_zip("clean", F.transform("clean", text.mask_literals).alias("code_only")))
+    found = F.expr(
+        f"flatten(transform(lines, (row, at) -> transform({table.hits_sql('row.code_only', 'row.clean')}, hit -> "
+        r"struct(hit, at + 1 as line, left(regexp_replace(row.clean, r'(?U)^\s+|\s+$', ''), 120) as snippet))))"
+    )
+    evidence = lambda kind: F.transform(
+        F.filter("found", lambda item: table.of(item["hit"], "kind", "string") == kind),
+        lambda item: F.struct(table.of(item["hit"], "name", "string").alias("name"), item["line"].alias("line"), item["snippet"].alias("snippet")),
+    )
+    names = lambda column: F.array_sort(F.array_distinct(F.transform(column, lambda item: item["name"])))
+    both = (
+        lines.select("package_id", "path", found.alias("found"))
+        .select("package_id", "path", evidence("flow_source").alias("source_evidence"), evidence("flow_sink").alias("sink_evidence"))
+        .where((F.size("source_evidence") > 0) & (F.size("sink_evidence") > 0))
+        .withColumns({"sources": names("source_evidence"), "sinks": names("sink_evidence")})
+    )
+    return _judged(both).withColumns({"confidence": F.lit(vocab.FLOW_CONFIDENCE), "claim": F.lit(vocab.FLOW_CLAIM)})
+
+
 def fact_stream(files: DataFrame, manifests: DataFrame, **patterns) -> DataFrame:
     """All facts of all packages in one table, network facts already reduced to first occurrences."""
     everything = (

@@ -239,6 +239,26 @@ def readiness_gates(spark, sf_dir):
     return result
 
 
+_SUPERVISED_RULES = audits.GATES["supervised"] + audits.GATES["groups"]
+
+
+@query(
+    f"""WITH {CUR}, e AS (SELECT * FROM curated WHERE eligible AND label IN ({", ".join(f"'{n}'" for n in vocab.TARGET_MAPPING)})),
+    h AS (SELECT old_sha256 AS sha, split FROM e UNION ALL SELECT new_sha256, split FROM e),
+    g AS (SELECT (SELECT count(*) FROM e) AS eligible_count, (SELECT count(DISTINCT extension_id) FROM e) AS eligible_extensions,
+      {", ".join(f"(SELECT count(DISTINCT label = 'benign_transition') FROM e WHERE split = '{s}') AS {s}_classes" for s in vocab.SPLITS)},
+      (SELECT count(*) FROM (SELECT 1 FROM e GROUP BY extension_id HAVING count(DISTINCT split) > 1)) AS extension_overlap,
+      (SELECT count(*) FROM (SELECT 1 FROM h WHERE sha <> '' GROUP BY sha HAVING count(DISTINCT split) > 1)) AS package_hash_overlap,
+      (SELECT count(*) FROM (SELECT 1 FROM e WHERE old_sha256 <> '' AND new_sha256 <> '' GROUP BY old_sha256, new_sha256 HAVING count(*) > 1)) AS duplicate_transition_pairs)
+    SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m, _ in _SUPERVISED_RULES)}], lambda x: x IS NOT NULL), '; ') AS block_reasons, NOT ({" OR ".join(f"({c})" for c, _, _ in _SUPERVISED_RULES)}) AS ready FROM g"""
+)
+def experiment_gate(spark, sf_dir):
+    """Whether the curated records may be trained on: sizes, classes and overlap of extensions, packages and transitions."""
+    eligible = features.supervised(curated_records(spark, sf_dir))
+    found = audits.supervised_gate(eligible, t.records(spark, sf_dir))
+    return found.withColumns({f"{name}_classes": C(f"{name}_classes").cast("long") for name in vocab.SPLITS}).withColumn("block_reasons", F.array_join("block_reasons", "; "))
+
+
 @query(f"WITH {CUR} SELECT " + ", ".join(f"count(*) FILTER (WHERE label_quality_tier = '{n}') AS {n.lower()}" for n in vocab.QUALITY_TIERS) + ", count(*) FILTER (WHERE label_quality_tier = 'MULTI_REVIEWER_ADJUDICATED') AS double_reviewed_count, count(*) FILTER (WHERE eligible) AS eligible_supervised_training_count, count(*) FILTER (WHERE eligible AND label = 'uncertain') AS uncertain_training_eligible_count FROM curated")
 def label_quality(spark, sf_dir):
     return audits.label_quality(curated_records(spark, sf_dir))
@@ -589,6 +609,32 @@ def gold_set_quality(spark, sf_dir):
     return reviews.gold_set_quality(reviews.gold_set(project_records(spark, sf_dir), holdout_records(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {PROJECT_SQL}, {_GOLD_SQL}, x AS (SELECT (SELECT count(*) FROM project) AS record_count, (SELECT count(*) FROM project WHERE label = 'risky_transition') AS risky_candidates,
+      (SELECT count(*) FROM project WHERE label = 'malicious_transition') AS malicious_candidates, (SELECT count(*) FROM project WHERE label_quality_tier = 'SINGLE_REVIEWER_PROVISIONAL') AS provisional_count,
+      (SELECT count(*) FROM project WHERE label = 'malicious_transition' AND label_quality_tier IN ({", ".join(f"'{n}'" for n in vocab.GOLD_TIERS)})) AS confirmed_malicious_count,
+      (SELECT count(*) FROM gold WHERE kind = 'real') AS real_gold_count, (SELECT count(*) FROM gold WHERE kind = 'controlled') AS controlled_gold_count,
+      (SELECT count(*) FROM project WHERE held) AS holdout_count, (SELECT count(DISTINCT extension_id) FROM project WHERE held) AS holdout_extensions,
+      (SELECT count(*) FROM project WHERE held AND label_quality_tier NOT IN ({", ".join(f"'{n}'" for n in vocab.GOLD_TIERS)})) AS holdout_provisional_count,
+      (SELECT count(*) FROM reviews WHERE review_round <> 'INITIAL_BLIND') AS later_reviews, true AS names_passed,
+      NOT EXISTS (SELECT 1 FROM project GROUP BY record_id HAVING count(*) > 1) AS duplicates_passed,
+      NOT EXISTS (SELECT 1 FROM project JOIN gold USING (record_id) WHERE project.held) AS leakage_passed),
+    c AS (SELECT *, {", ".join(f"({check}) AS {name}" for name, check in audits.LAST_STAGE_CHECKS)} FROM x)
+    SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m, _ in audits.GATES["last_stage"])}], lambda x: x IS NOT NULL), '; ') AS block_reasons, {" AND ".join(name for name, _ in audits.LAST_STAGE_CHECKS)} AS ready FROM c"""
+)
+def last_stage_gate(spark, sf_dir):
+    """Every check and block reason of the last review stage."""
+    records, holdout = project_records(spark, sf_dir), holdout_records(spark, sf_dir)
+    gold = reviews.gold_set(records, holdout)
+    none = lambda frame: frame.agg(F.count("*") == 0).scalar()
+    counted = audits.last_stage_facts(records, gold, holdout, t.reviews(spark, sf_dir)).withColumns({
+        "names_passed": F.lit(not audits.feature_name_leaks(vocab.feature_names(), vocab.STRICT_FEATURE_NAME_TERMS)),
+        "duplicates_passed": none(records.groupBy("record_id").count().where("count > 1")),
+        "leakage_passed": none(gold.join(holdout, "record_id", "left_semi")),
+    })
+    return audits.last_stage_readiness(counted).withColumn("block_reasons", F.array_join("block_reasons", "; "))
+
+
 @query(f"""WITH {PROJECT_SQL}, s AS (SELECT *, CASE label WHEN 'malicious_transition' THEN 120 WHEN 'risky_transition' THEN 100 WHEN 'uncertain' THEN 90 ELSE 0 END + CASE WHEN fresh THEN 20 ELSE 0 END + CASE WHEN label_quality_tier = 'SINGLE_REVIEWER_PROVISIONAL' THEN 10 ELSE 0 END AS p FROM project)
     SELECT record_id, CAST(p AS BIGINT) AS priority_score, row_number() OVER (ORDER BY p DESC, record_id) AS rank FROM s""")
 def second_review_queue(spark, sf_dir):

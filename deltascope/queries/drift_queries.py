@@ -120,6 +120,18 @@ def review_score(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {t.ORDER_LINES_SQL} SELECT CASE WHEN risk_score >= 65 THEN 'Critical' WHEN risk_score >= 40 THEN 'High' WHEN risk_score >= 15 THEN 'Moderate' ELSE 'Low' END AS risk_class,
+    CASE WHEN risk_score >= 40 THEN 'HOLD FOR MANUAL SECURITY REVIEW' WHEN risk_score >= 15 THEN 'PROCEED WITH CAUTION' ELSE 'LOW REVIEW PRIORITY' END AS advice, count(*) AS pairs
+    FROM pairs JOIN final USING (pair_id) WHERE pair_id NOT IN (SELECT pair_id FROM failed) GROUP BY ALL"""
+)
+def review_advice(spark, sf_dir):
+    """What reviewers are told to do, by class of score."""
+    pairs = drift.usable_pairs(t.order_pairs(spark, sf_dir), t.order_packages(spark, sf_dir))
+    scored = scoring.score(drift.complete(pairs.select("pair_id", "extension_id"), drift.summary(pairs, drift.items(pairs, t.order_facts(spark, sf_dir)))))
+    return scored.groupBy("risk_class", F.substring_index("recommendation", ":", 1).alias("advice")).agg(F.count("*").alias("pairs"))
+
+
 @query(f"WITH {t.ORDER_LINES_SQL} SELECT pair_id, side, CAST(package_id AS VARCHAR) AS package_id, reason FROM failed")
 def failed_pairs(spark, sf_dir):
     """Pairs that can't be compared: an order without lines is an absent package."""

@@ -224,6 +224,42 @@ def source_sink_flows(spark, sf_dir):
     return found.select("package_id", F.array_join("sources", "|").alias("sources"), F.array_join("sinks", "|").alias("sinks"))
 
 
+_EVIDENCE_SQL = r"""h AS (SELECT id, line, role, pos, name, left(regexp_replace(clean, '^\s+|\s+$', '', 'g'), 120) AS snippet FROM codeline,
+  (VALUES ('source', 0, 'article', '<article'), ('source', 1, 'nav', '<nav'), ('sink', 0, 'track', '\btrack\s*\('), ('sink', 1, 'ad', '<div\s+class=')) p(role, pos, name, pat) WHERE regexp_matches(code_only, pat))"""
+
+
+@query(
+    f"WITH {PAGES}, {_EVIDENCE_SQL}, paired AS (SELECT id FROM h GROUP BY 1 HAVING count(DISTINCT role) = 2) "
+    "SELECT CAST(id AS VARCHAR) AS package_id, 'page.js' AS path, role, CAST(row_number() OVER (PARTITION BY id, role ORDER BY line, pos) - 1 AS INT) AS position, name, CAST(line AS INT) AS line, snippet, 'High' AS severity FROM h JOIN paired USING (id)"
+)
+def flow_evidence(spark, sf_dir):
+    """Every line of a page that shows a source or a sink, where the page has both."""
+    found = facts.file_flows(t.page_files(spark, sf_dir), PAGE_SOURCES, PAGE_SINKS)
+    side = lambda role: F.transform(f"{role}_evidence", lambda item, at: F.struct(F.lit(role).alias("role"), at.alias("position"), item["name"].alias("name"), item["line"].alias("line"), item["snippet"].alias("snippet")))
+    return found.select("package_id", "path", "severity", F.inline(F.concat(side("source"), side("sink"))))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey AS k, 'h' || (p_partkey % 97) || '.example.com' AS host, ['fetch', 'open', 'socket', 'beacon', 'plain'][CAST(p_partkey % 5 AS INT) + 1] AS form, ['main.js', 'page.html', 'data.json', 'manifest.json', 'style.css'][CAST(p_size % 5 AS INT) + 1] AS path, p_partkey % 3 = 0 AS large FROM part)
+    SELECT CAST(k AS VARCHAR) AS package_id, path, 'Domain' AS type, host AS name, CAST(2 AS INT) AS line,
+      CASE form WHEN 'fetch' THEN 'Fetch_Destination' WHEN 'open' THEN 'XMLHttpRequest_Destination' WHEN 'socket' THEN 'WebSocket_Destination' WHEN 'beacon' THEN 'Beacon_Destination' ELSE 'string_literal' END AS source
+    FROM f WHERE path <> 'style.css' AND NOT (path = 'data.json' AND large)"""
+)
+def sink_destinations(spark, sf_dir):
+    """Destinations of outbound calls in one file per part: script, page, data, manifest or style, every third of them large; plain data above the limit and styles are not read."""
+    key = C("p_partkey")
+    one_of = lambda number, *values: F.element_at(F.array(*[F.lit(value) for value in values]), (number % len(values) + 1).cast("int"))
+    call = one_of(key, "fetch('%s')", "request.open('POST', '%s')", "new WebSocket('%s')", "navigator.sendBeacon('%s')", "let host = '%s'")
+    host = F.concat(F.lit("h"), (key % 97).cast("string"), F.lit(".example.com"))
+    files = t.load(spark, sf_dir, "part").select(
+        key.cast("string").alias("package_id"), one_of(C("p_size"), "main.js", "page.html", "data.json", "manifest.json", "style.css").alias("path"),
+        F.when(key % 3 == 0, vocab.MAX_PLAIN_JSON_BYTES + 1).otherwise(200).cast("long").alias("size"),
+        F.concat(F.lit("// one call\n"), F.replace(call, F.lit("%s"), host), F.lit(";\n")).alias("content"),
+    )
+    found = facts.first_per_line(facts.script_facts(files, api_patterns=[], obfuscation_patterns=[], flow_sources=[], flow_sinks=[]))
+    return found.where(C("kind") == "network").select("package_id", "path", "type", "name", "line", "source")
+
+
 _FUNCTION_TEXT = "'function f_' || lang || '_' || (doc_id % 7) || ' (a) { } const g' || (n_chars % 5) || ' = (x) => x; el.addEventListener(\"on' || (doc_id % 3) || '\", h); '"
 
 

@@ -116,6 +116,8 @@ FLOW_SINKS = [
     {"name": "external_messaging", "anchor": "", "pattern": r"\b(?:chrome|browser)\.runtime\.(?:sendMessage|connect)\b|\bpostMessage\s*\("},
 ]
 CRITICAL_FLOW_SOURCES = ["cookies", "history", "clipboard", "dom_form_fields"]
+FLOW_CONFIDENCE = 0.75
+FLOW_CLAIM = "Heuristic indicator only; not confirmed exfiltration."
 
 # symbols
 FUNCTION_PATTERN = r"\bfunction\s+([a-zA-Z0-9_$]+)\s*\(|\bconst\s+([a-zA-Z0-9_$]+)\s*=\s*(?:function|\([^)]*\)\s*=>)"
