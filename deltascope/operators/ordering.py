@@ -20,8 +20,14 @@ def _cuts(frame: DataFrame, order: list[Column]) -> DataFrame:
     ordered = sample.agg(F.array_sort(F.collect_list("_key")).alias("keys"))
     step = F.greatest(F.ceil(F.size("keys") / F.lit(parts)), F.lit(1))
     bounds = ordered.select(F.filter("keys", lambda item, at: (at + 1) % step == 0).alias("bounds"))
+    # There are at most `parts` bounds: halving steps find the place. The key is one element of an array, as what a lambda
+    # names is evaluated again for every bound it is compared with.
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(parts.bit_length()))])
+    place = lambda own: F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get("_bounds", at + step - 1) < own, at + step).otherwise(at)
+    )
     return frame.withColumn("_bounds", bounds.scalar()).withColumn(
-        "_cut", F.size(F.filter("_bounds", lambda bound: bound < key))
+        "_cut", F.element_at(F.transform(F.array(key), place), 1)
     ).drop("_bounds")
 
 

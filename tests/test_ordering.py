@@ -32,6 +32,12 @@ def test_next_row(spark, rows):
     assert found == {row.id: row.n for row in wanted}
 
 
+def test_keys_are_not_built_again_for_every_bound(spark, rows):
+    made = ordering.with_next(rows, ["g"], [F.col("v") * 2, F.col("id")], ["id"])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(" in plan and "< struct(" not in plan and "< named_struct(" not in plan
+
+
 def test_no_job_runs_while_a_plan_is_built(spark, rows):
     before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
     ordering.positioned(rows, [F.col("v"), F.col("id")])
