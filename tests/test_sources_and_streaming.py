@@ -112,6 +112,15 @@ def test_release_assets_take_the_first_match(spark):
     assert [(row.release, row.name) for row in releases.select_assets(assets, specs).collect()] == [("r1", "my-chrome-1.zip")]
 
 
+def test_release_assets_of_one_source_stay_in_their_tasks(spark):
+    assets = spark.range(1000).selectExpr("concat('s', id % 1) source_id", "id release", "1 position", "'ext.zip' name")
+    specs = spark.createDataFrame([("s0", "ext.zip", "", "", "")], "source_id string, asset_name string, asset_contains string, asset_prefix string, asset_suffix string")
+    chosen = releases.select_assets(assets, specs)
+    plan = chosen._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert chosen.count() == 1000
+
+
 def test_curation_reports(spark, tmp_path):
     from deltascope.operators import curation
 
