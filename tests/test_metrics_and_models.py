@@ -182,3 +182,30 @@ def test_trees_against_plain_splits():
             assert abs(nodes["gain"][at] - best) < 1e-4
             below = matrix[:, 0] <= nodes["threshold"][at]
             open_ += [(nodes["left"][at], tree, mask & below), (nodes["right"][at], tree, mask & ~below)]
+
+
+@pytest.mark.parametrize("node_rows", [1 << 19, 200])
+def test_forests_of_many_rows(spark, monkeypatch, node_rows):
+    """Rows dealt by tree, with and without nodes split from sums first: forests like those of tasks that hold all rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [(float(a), float(b), 3.0, float(a + b + rng.normal() * 0.3 > 0.7)) for a, b in rng.normal(size=(2000, 2))]
+    train = spark.createDataFrame(data, "a double, b double, c double, target double").withColumn("features", F.array("a", "b", "c")).repartition(3).persist()
+    growths = [models.Growth(np.array([1, 0]), 2, np.array([1.0, 2.0]), 30, 8), models.Growth(np.array([0, 1, 2]), 1, np.array([1.0, 1.0]), 3, 4)]
+    wanted = models.grow(train, len(data), growths, 5)
+    monkeypatch.setattr(models, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(models, "NODE_ROWS", node_rows)
+    monkeypatch.setattr(models, "grow_by_levels", None)
+    found = models.grow(train, len(data), growths, 5)
+    matrix, truth = np.array([row[:3] for row in data]), np.array([row[3] for row in data])
+    for forest, other, growth in zip(found, wanted, growths):
+        cuts = [(growth.depth, growth.trees), (2, growth.trees), (3, 2)]
+        mine, theirs = forest.scores(matrix, cuts), other.scores(matrix, cuts)
+        assert len(forest.roots) == growth.trees and forest.depth.max() <= growth.depth
+        assert ((mine[:, 0] > 0.5) == truth).mean() > ((theirs[:, 0] > 0.5) == truth).mean() - 0.02
+        # Sums of shares over a bootstrap are those of the rows, whatever the splits.
+        assert abs(mine.mean(0) - theirs.mean(0)).max() < 0.03
+        assert np.allclose(forest.importances(3, growth.depth, growth.trees), other.importances(3, growth.depth, growth.trees), atol=0.2)
+    inner = np.flatnonzero(found[1].left != np.arange(len(found[1].left)))
+    assert (found[1].depth[found[1].left[inner]] == found[1].depth[inner] + 1).all()
