@@ -41,8 +41,8 @@ def _host_of_supplier(key: Column) -> Column:
     )
 
 
-def order_facts(spark, sf_dir) -> DataFrame:
-    """Three facts per line: the part is a file, its brand a capability, its supplier a host."""
+def order_lines(spark, sf_dir) -> DataFrame:
+    """Lines of orders, with what `line_facts` are made of."""
     parts = load(spark, sf_dir, "part").select("p_partkey", "p_brand")
     lines = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"
@@ -50,7 +50,7 @@ def order_facts(spark, sf_dir) -> DataFrame:
     brand_number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
     host = _host_of_supplier(C("l_suppkey"))
     cents = F.round(C("l_extendedprice") * 100).cast("bigint").cast("string")
-    joined = lines.join(parts, C("l_partkey") == C("p_partkey")).select(
+    return lines.join(parts, C("l_partkey") == C("p_partkey")).select(
         C("l_orderkey").cast("string").alias("package_id"),
         C("l_partkey").cast("string").alias("path"),
         C("l_quantity").cast("bigint").alias("size"),
@@ -62,17 +62,26 @@ def order_facts(spark, sf_dir) -> DataFrame:
         hosts.host_scope_score(host).alias("host_weight"),
         hosts.host_scope(host).alias("scope"),
     )
+
+
+#: Kinds of facts that a line of an order has.
+LINE_KINDS = ("file", "permission", "host")
+
+
+def line_facts(kinds=LINE_KINDS) -> Column:
+    """Three facts per line: the part is a file, its brand a capability, its supplier a host."""
     fact = fact_jobs.fact
-    return joined.select(
-        "package_id",
-        F.inline(
-            F.array(
-                fact("file", path=C("path"), type="other", detail=C("detail"), size=C("size")),
-                fact("permission", name=C("brand"), weight=C("weight"), rank=C("rank")),
-                fact("host", name=C("host"), weight=C("host_weight"), type=C("scope")),
-            )
-        ),
-    )
+    made = {
+        "file": fact("file", path=C("path"), type="other", detail=C("detail"), size=C("size")),
+        "permission": fact("permission", name=C("brand"), weight=C("weight"), rank=C("rank")),
+        "host": fact("host", name=C("host"), weight=C("host_weight"), type=C("scope")),
+    }
+    return F.array(*[made[kind] for kind in LINE_KINDS if kind in kinds])
+
+
+def order_facts(spark, sf_dir) -> DataFrame:
+    """All facts of all lines."""
+    return order_lines(spark, sf_dir).select("package_id", F.inline(line_facts()))
 
 
 def order_packages(spark, sf_dir) -> DataFrame:

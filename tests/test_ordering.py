@@ -32,6 +32,25 @@ def test_next_row(spark, rows):
     assert found == {row.id: row.n for row in wanted}
 
 
+@pytest.mark.parametrize("large", [100, 1 << 17])
+def test_next_row_of_large_and_small_groups(spark, monkeypatch, rows, large):
+    """Groups that are cut and groups that are not; the rows without a key are one group."""
+    monkeypatch.setattr(ordering, "LARGE", large)
+    keyed = rows.withColumn("g", F.when(F.col("g") > 0, F.when(F.col("g") < 90, F.col("g"))))
+    found = {row.id: row.next_id for row in ordering.with_next(keyed, ["g"], [F.col("v"), F.col("id")], ["id"]).collect()}
+    wanted = keyed.withColumn("n", F.lead("id").over(Window.partitionBy("g").orderBy("v", "id"))).where("g is not null").collect()
+    assert len(found) == 3000 and all(found[row.id] == row.n for row in wanted)
+
+
+def test_small_groups_have_no_bounds(spark, monkeypatch, rows):
+    """Bounds are for the rows of large groups only."""
+    cuts = ordering._cuts(rows, [F.col("v"), F.col("id")], ["g"]).agg(F.max("_cut").alias("most")).first()
+    assert cuts.most == 0
+    monkeypatch.setattr(ordering, "LARGE", 500)
+    cut = ordering._cuts(rows, [F.col("v"), F.col("id")], ["g"]).where("_cut > 0").select("g").distinct().collect()
+    assert [row.g for row in cut] == [0]
+
+
 def test_keys_are_not_built_again_for_every_bound(spark, rows):
     made = ordering.with_next(rows, ["g"], [F.col("v") * 2, F.col("id")], ["id"])
     plan = made._jdf.queryExecution().optimizedPlan().toString()

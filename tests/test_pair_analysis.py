@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from deltascope import vocab
 from deltascope.operators import drift, features
@@ -157,3 +158,20 @@ def test_pair_without_facts_has_no_drift(spark):
     row = drift.summary(pairs, drift.items(pairs, facts)).first()
     assert row.added_permissions == [] and row.flows == [] and row.new_file_count == 0 and row.max_added_permission_severity == "None"
     assert not row.global_host_expansion and not row.background_added
+
+
+def test_lines_spread_at_their_pairs(spark):
+    """Rows that hold several facts give the items of the facts spread before."""
+    from deltascope.queries import tables
+
+    lines = spark.createDataFrame(
+        [("1", "a", 2, "N|1", "Brand#1", 5, 2, "h1"), ("1", "b", 3, "N|2", "Brand#2", 10, 3, "h1"), ("2", "a", 4, "N|3", "Brand#2", 10, 3, "h2")],
+        "package_id string, path string, size long, detail string, brand string, weight int, rank int, host string",
+    ).withColumn("host_weight", F.lit(10)).withColumn("scope", F.lit("Specific Host"))
+    pairs = spark.createDataFrame([("1->2", 1, 2), ("2->1", 2, 1)], "pair_id string, old_package_id long, new_package_id long")
+    shown = ["pair_id", "kind", "key", "status", "n_old", "n_new", "old_size", "new_size", "weight", "first"]
+    read = lambda items: sorted(map(str, items.select(*shown).collect()))
+    whole = drift.items(pairs, lines.select("package_id", F.inline(tables.line_facts())))
+    assert read(drift.items(pairs, lines, spread=tables.line_facts())) == read(whole) and whole.count() == 12
+    some = drift.items(pairs, lines, spread=tables.line_facts(("permission", "host")))
+    assert read(some) == read(whole.where("kind <> 'file'"))
