@@ -35,10 +35,11 @@ def private_columns(frame: DataFrame) -> list[str]:
 
 def json_keys(text: Column) -> Column:
     """Distinct object keys anywhere in JSON text."""
-    # All strings are cut out in turn, so a quoted text inside a value is no key; those before a colon are.
-    pairs = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*+)"\s*+(?::|)'), F.lit(0))
-    keys = F.filter(pairs, lambda item: item.endswith(":"))
-    return F.array_distinct(F.transform(keys, lambda item: F.regexp_extract(item, r'(?s)^"(.*)"\s*:$', 1)))
+    # All strings are cut out in turn, so a quoted text inside a value is no key; the group has those before a colon.
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    quoted = F.regexp_extract_all(text, F.lit(rf"({string})\s*+:|{string}"), F.lit(1))
+    keys = F.array_distinct(F.filter(quoted, lambda item: item != ""))
+    return F.transform(keys, lambda item: F.substring(item, F.lit(2), F.length(item) - 2))
 
 
 def forbidden_json_keys(rows: DataFrame, column: str, forbidden: list[str] | None = None, key: str = "record_id") -> DataFrame:

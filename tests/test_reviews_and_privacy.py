@@ -80,3 +80,12 @@ def test_privacy(spark):
     assert found == {("t", "email"), ("t", "windows_path"), ("u", "private_unix_path"), ("u", "private_id")}
     nested = rows.select(F.struct(F.array(F.struct(F.lit(1).alias("final_severity"))).alias("x")).alias("s"), F.lit(1).alias("my_secret"))
     assert privacy.forbidden_columns(nested) == ["s.x[].final_severity"] and privacy.private_columns(nested) == ["my_secret"]
+
+
+def test_json_keys_are_told_from_values(spark):
+    """Quotes in keys and values, blanks before the colon, an empty key; each string is read once, without a pattern for each key."""
+    texts = [(r'{"a\"b" : "x\":y", "": ["a:", {"c\\": 1}], "a\"b":2}', [r'a\"b', "", r"c\\"])]
+    rows = spark.createDataFrame([(text,) for text, _ in texts], "packet string")
+    found = rows.select(privacy.json_keys(F.col("packet")).alias("keys"))
+    assert found.first().keys == texts[0][1]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 0
