@@ -37,14 +37,18 @@ HEAD = 1 << 19
 CLASS_ROWS, SLOT_ROWS, FEATURES = 1 << 14, 1 << 15, 4
 ROW_TOKENS, MOST_CLASS_ROWS = 1024, 1 << 16
 ROUNDS, RATE = 2, 0.15
-#: Tokens that the learner takes at a time: more of them share rows in larger batches. Tokens scored at a time.
-BATCH, SCORED = 32768, 8192
+#: Tokens that the learner takes at a time: more of them share rows in larger batches.
+BATCH = 32768
+#: Places or weight rows that are worked on at a time, so that their numbers stay in a core's cache from step to step.
+STEP = 2048
 #: Gradients of one row that are added together with those of other rows; what is beyond is added row by row.
 FEW = 16
 #: Of the types that occur once in training, one in so many stands for the unknown type there, in the head or not.
 PRETEND = 4
 #: Types that stand for the unknown one, at most; when there would be more, fewer stand for it and each counts for several.
 STAND_INS = 1 << 20
+#: Sums of weights up to this size are taken to the power of e as they are; softmaxes need not be shifted for them.
+LARGE = 40
 PIECES = 48
 #: Token types that a task holds while it counts.
 HELD_TYPES = 500_000
@@ -216,10 +220,20 @@ def features(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return words.mix(np.stack(raw) * _M2 + np.uint64(1))
 
 
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """Softmaxes don't change when a number is taken from all of a row; that is done only when some are large."""
+    if max(x.max(initial=0), -x.min(initial=0)) > LARGE:
+        x -= x.max(axis=1, keepdims=True)
+    return x
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    np.exp(_shifted(x), out=x)
+    x *= (1 / _row_sums(x))[:, None]
     return x
 
 
@@ -230,37 +244,41 @@ def _rows(w: Weights, hashed: np.ndarray, classes: np.ndarray) -> tuple[np.ndarr
     return first, second
 
 
-def _added(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Sum over all features of the weight rows at their places."""
-    total = rows.take(places[0], axis=0)
+def _added(rows: np.ndarray, places: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """Sum over all features of the weight rows at their places, in `total` if it is given."""
+    total = rows.take(places[0], axis=0, out=total, mode="clip")
     buffer = np.empty_like(total)
     for k in range(1, FEATURES):
         total += rows.take(places[k], axis=0, out=buffer, mode="clip")
     return total
 
 
-def _class_sums(w: Weights, first: np.ndarray) -> np.ndarray:
-    x = _added(w.class_rows, first)
+def _class_sums(w: Weights, first: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+    x = _added(w.class_rows, first, x)
     x += w.class_bias[0]
     return x
 
 
-def _slot_sums(w: Weights, second: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    y = _added(w.slot_rows, second)
+def _slot_sums(w: Weights, second: np.ndarray, classes: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+    y = _added(w.slot_rows, second, y)
     y += w.slot_bias.take(classes, axis=0)
     return y
 
 
-def _forward(w: Weights, first: np.ndarray, second: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _softmax(_class_sums(w, first)), _softmax(_slot_sums(w, second, classes))
+def _forward(w: Weights, first: np.ndarray, second: np.ndarray, classes: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Probabilities of all classes in `p`, and of all slots of the given classes in `q`."""
+    for i in range(0, len(classes), STEP):
+        here = slice(i, i + STEP)
+        _softmax(_class_sums(w, first[:, here], p[here]))
+        _softmax(_slot_sums(w, second[:, here], classes[here], q[here]))
 
 
 def _log_softmax_at(x: np.ndarray, *chosen: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """Natural logarithm of the softmax at the rows and columns of each of `chosen`; `x` is used up."""
-    x -= x.max(axis=1, keepdims=True)
+    _shifted(x)
     picked = [x[rows, columns].astype(np.float64) for rows, columns in chosen]
     np.exp(x, out=x)
-    logs = np.log(x.sum(axis=1, dtype=np.float32).astype(np.float64))
+    logs = np.log(_row_sums(x).astype(np.float64))
     return [value - logs[rows] for value, (rows, _) in zip(picked, chosen)]
 
 
@@ -269,10 +287,11 @@ def log_probabilities(w: Weights, hashed: np.ndarray, cells: np.ndarray) -> np.n
     return log_probabilities_of_two(w, hashed, cells, np.zeros(0, np.intp), 0)[0]
 
 
-def log_probabilities_of_two(w: Weights, hashed: np.ndarray, cells: np.ndarray, places: np.ndarray, cell: int, step: int = SCORED) -> tuple[np.ndarray, np.ndarray]:
+def log_probabilities_of_two(w: Weights, hashed: np.ndarray, cells: np.ndarray, places: np.ndarray, cell: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the probability of each cell, given the features at its place; and that of `cell` at each of `places`, which ascend."""
     out, others = np.empty(len(cells)), np.empty(len(places))
     side = w.slot_bias.shape[1]
+    room = np.empty((min(step, len(cells)), side), np.float32)
     for i in range(0, len(cells), step):
         batch = hashed[:, i : i + step]
         classes, slots = np.divmod(cells[i : i + step], side)
@@ -282,33 +301,44 @@ def log_probabilities_of_two(w: Weights, hashed: np.ndarray, cells: np.ndarray,
         since, until = np.searchsorted(places, [i, i + step])
         here = places[since:until] - i
         other = np.full(len(here), cell // side)
-        p, r = _log_softmax_at(_class_sums(w, first), (at, classes), (here, other))
-        out[i : i + step] = p + _log_softmax_at(_slot_sums(w, second, classes), (at, slots))[0]
+        p, r = _log_softmax_at(_class_sums(w, first, room[: len(at)]), (at, classes), (here, other))
+        out[i : i + step] = p + _log_softmax_at(_slot_sums(w, second, classes, room[: len(at)]), (at, slots))[0]
         slot_sums = _slot_sums(w, _rows(w, batch[:, here], other)[1], other)
         others[since:until] = r + _log_softmax_at(slot_sums, (np.arange(len(here)), np.full(len(here), cell % side)))[0]
     return out / np.log(10), others / np.log(10)
 
 
-def sums_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum of the gradients of each distinct row, the rows, and how often each occurs; `rows` holds the gradients' rows once or several times over."""
+def sums_of_rows(rows: np.ndarray, gradient: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sum of the gradients of each distinct row, the rows, and how often each occurs, STEP rows at a time.
+
+    `rows` holds the gradients' rows once or several times over. Sums stay as they are until the next ones are asked for.
+    """
     # Rows and their places as one number: plain numbers sort much faster than an order of numbers is found.
     bits = len(rows).bit_length()
     keys = (rows.astype(np.int64) << bits) | np.arange(len(rows))
     keys.sort()
-    order, ordered = keys & ((1 << bits) - 1), keys >> bits
+    place, ordered = (keys & ((1 << bits) - 1)) % len(gradient), keys >> bits
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     times = np.diff(np.append(first, len(rows)))
     # The rows by how often they occur: the first, second, ... gradients of all that have one are added at once.
-    by_times = np.argsort(-times, kind="stable")
-    first, times = first[by_times], times[by_times]
-    place = order % len(gradient)
-    total = gradient.take(place[first], axis=0)
-    for k in range(1, min(FEW, times[0])):
-        more = np.searchsorted(-times, -k)  # so many occur more than k times
-        total[:more] += gradient.take(place[first[:more] + k], axis=0)
-    for at in range(np.searchsorted(-times, -FEW)):
-        total[at] += gradient.take(place[first[at] + FEW : first[at] + times[at]], axis=0).sum(axis=0)
-    return total, ordered[first], times
+    fewer = (FEW + 1 - np.minimum(times, FEW + 1)).astype(np.uint8)  # bytes are put in order in one pass
+    by_times = np.argsort(fewer, kind="stable")
+    first, times, fewer = first[by_times], times[by_times], fewer[by_times]
+    space, buffer = (np.empty((min(STEP, len(first)), gradient.shape[1]), gradient.dtype) for _ in range(2))
+    for i in range(0, len(first), STEP):
+        since, often, below = first[i : i + STEP], times[i : i + STEP], fewer[i : i + STEP]
+        total = gradient.take(place[since], axis=0, out=space[: len(since)], mode="clip")
+        for k in range(1, min(FEW, often[0])):
+            more = np.searchsorted(below, np.uint8(FEW + 1 - k))  # so many occur more than k times
+            total[:more] += gradient.take(place[since[:more] + k], axis=0, out=buffer[:more], mode="clip")
+        for at in range(np.searchsorted(below, np.uint8(1))):
+            total[at] += gradient.take(place[since[at] + FEW : since[at] + often[at]], axis=0).sum(axis=0)
+        yield total, ordered[since], often
+
+
+def sums_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of all rows together."""
+    return tuple(np.concatenate(x) for x in zip(*((total.copy(), own, times) for total, own, times in sums_of_rows(rows, gradient))))
 
 
 class Learner:
@@ -318,11 +348,14 @@ class Learner:
         self.weights, self.rate = weights.copy(), rate
         self.sums = [np.full(len(p), 1e-2, np.float32) for p in weights.parts()]
         self.seen = [np.zeros(len(p), np.int64) for p in weights.parts()]
+        # Room that every batch uses again.
+        self.outputs = [np.empty((BATCH, bias.shape[1]), np.float32) for bias in (weights.class_bias, weights.slot_bias)]
+        self.spare = [np.empty((min(STEP, len(p)), p.shape[1]), np.float32) for p in weights.parts()]
 
     def _step(self, part: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         """Moves the rows of all features, given as one array for each, by their sums of the gradients."""
-        sums, rows, times = sums_by_row(rows.ravel(), gradient)
-        self._move(part, rows, sums, times)
+        for sums, own, times in sums_of_rows(rows.ravel(), gradient):
+            self._move(part, own, sums, times)
 
     def _move(self, part: int, rows: np.ndarray, total: np.ndarray, times: np.ndarray) -> None:
         """Moves the rows against their gradients, which are used up."""
@@ -330,24 +363,26 @@ class Learner:
         sums[rows] += np.einsum("ij,ij->i", total, total) / total.shape[1]
         self.seen[part][rows] += times
         total *= (self.rate / np.sqrt(sums[rows]))[:, None]
-        weights[rows] = np.subtract(weights.take(rows, axis=0), total, out=total)
+        np.subtract(weights.take(rows, axis=0, out=self.spare[part][: len(rows)], mode="clip"), total, out=total)
+        # A row as one item of many bytes is copied whole.
+        row = np.dtype((np.void, total.strides[0]))
+        weights.view(row)[rows, 0] = total.view(row)[:, 0]
 
     def learn(self, hashed: np.ndarray, cells: np.ndarray, times: np.ndarray | None = None) -> None:
         """Follows the gradients of all places, each counted once or as often as `times` says."""
         for i in range(0, len(cells), BATCH):
             classes, slots = np.divmod(cells[i : i + BATCH], self.weights.slot_bias.shape[1])
             first, second = _rows(self.weights, hashed[:, i : i + BATCH], classes)
-            p, q = _forward(self.weights, first, second, classes)
+            p, q = (x[: len(classes)] for x in self.outputs)
+            _forward(self.weights, first, second, classes, p, q)
             at = np.arange(len(classes))
             p[at, classes] -= 1
             q[at, slots] -= 1
             if times is not None:
                 p *= times[i : i + BATCH, None]
                 q *= times[i : i + BATCH, None]
-            self._move(0, np.zeros(1, np.intp), p.sum(axis=0, keepdims=True), np.array([len(classes)]))
-            every = np.arange(len(self.weights.slot_bias))
-            member = (every[:, None] == classes).astype(np.float32)
-            self._move(1, every, member @ q, member.sum(axis=1).astype(np.int64))
+            self._move(0, np.zeros(1, np.intp), np.ones((1, len(p)), np.float32) @ p, np.array([len(classes)]))
+            self._step(1, classes, q)
             self._step(2, first, p)
             self._step(3, second, q)
 

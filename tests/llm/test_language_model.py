@@ -1,6 +1,7 @@
 """The language model: counts and base against brute force, probabilities that add up, gradients, learning."""
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -182,3 +183,30 @@ def test_second_cell_of_a_place():
     own, other = maxent_lm.log_probabilities_of_two(weights, hashed, cells, places, 77, step=64)
     assert np.allclose(own, maxent_lm.log_probabilities(weights, hashed, cells))
     assert np.allclose(other, maxent_lm.log_probabilities(weights, hashed[:, places], np.full(len(places), 77)))
+
+
+def test_softmax_of_small_and_large_sums():
+    """Rows are shifted where the power of e would leave the range of a float, and give the same as they are."""
+    some = np.random.default_rng(11)
+    for scale in (1, 30, 1000):
+        x = (some.normal(size=(50, 32)) * scale).astype(np.float32)
+        x[:2] -= 3 * scale
+        wide = x.astype(np.float64)
+        want = np.exp(wide - wide.max(axis=1, keepdims=True))
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.allclose(maxent_lm._softmax(x.copy()), want, atol=1e-5)
+        at = (np.arange(50), want.argmax(axis=1))
+        assert np.allclose(maxent_lm._log_softmax_at(x.copy(), at)[0], np.log(want[at]), atol=1e-5)
+
+
+def test_learning_takes_little_room():
+    """A batch is worked on in steps, in room that is used again, not in large arrays made anew."""
+    some, side = np.random.default_rng(12), 64
+    weights = maxent_lm.Weights(*[np.zeros(shape, np.float32) for shape in ((1, side), (side, side), (1 << 16, side), (1 << 17, side))])
+    hashed, cells = some.integers(0, 1 << 62, (4, maxent_lm.BATCH)).astype(np.uint64), some.integers(0, side * side, maxent_lm.BATCH)
+    learner = maxent_lm.Learner(weights)
+    tracemalloc.start()
+    learner.learn(hashed, cells)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * maxent_lm.BATCH * side * 4
