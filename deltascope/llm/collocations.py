@@ -10,7 +10,12 @@ A phrase counts only if it is frequent, and so is then all that lies in it. Piec
 whose pair can't be frequent, and at each place the graph is followed only as far as the phrase from there can be
 frequent; what stops before five words is a correction for that length, as at a piece's end. Both is read off tables
 of fixed size, in which a slot holds the sum over all phrases with its hash, at least the count of each of them. So no
-count of a frequent phrase changes, whatever the size of the tables; smaller ones only mean more rows.
+count of a frequent phrase changes, whatever the size of the tables; smaller ones only mean more rows. Each phrase has
+TABLES slots by different bits of its hash: the rare ones that share one slot with a frequent phrase grow with the rare
+ones and the frequent ones, hence with the square of the input, but hardly any share both.
+
+The tasks are as many as cores, whatever the input: each hands on a phrase once, so that there are as many rows as
+phrases times cores, not times a number of tasks that grows as well.
 """
 from __future__ import annotations
 
@@ -25,11 +30,11 @@ from deltascope.llm import common, words
 
 LONGEST = 5
 MOST_FREQUENT, AT_LEAST = 2000, 100
-#: Slots of a table, and those in one row while it is summed. A slot counts up to 255.
-SLOT_BITS, ROW_BITS = 24, 16
+#: Tables, slots of each, and those in one row while they are summed. A slot counts up to 255.
+TABLES, SLOT_BITS, ROW_BITS = 2, 24, 16
 #: A longer path leaves the task in several rows.
 PATH_WORDS = 256
-#: Rows that a task adds up before it hands them on.
+#: Rows that a task adds up at a time; it hands them on when half as many are left.
 HELD_ROWS = 1_000_000
 NO_LANGUAGE = "und"
 PATH, STOP, WORD, TOTAL = range(4)
@@ -79,13 +84,17 @@ def _longer(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
     return words.mix(keys * _ODD + word)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slots(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Slots of the keys in each of the tables, which lie one after the other."""
+    for k in range(TABLES):
+        yield (keys << np.uint64(k * SLOT_BITS) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + (k << SLOT_BITS)
 
 
 def _set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = _slot(keys)
-    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    every = np.ones(len(keys), bool)
+    for slot in _slots(keys):
+        every &= (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    return every
 
 
 def _linked(pieces: Pieces, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -144,21 +153,22 @@ def _languages(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def frequent_slots(texts: DataFrame, keys_of, at_least: int = AT_LEAST) -> np.ndarray:
-    """A bit for each slot, set if its phrases occur `at_least` times together (255 at most is looked at).
+    """A bit for each slot of all tables, set if its phrases occur `at_least` times together (255 at most is looked at).
 
     keys_of gives the keys to count of some pieces and their words' keys.
     """
-    level, width = min(at_least, 255), 1 << ROW_BITS
+    level, width, size = min(at_least, 255), 1 << ROW_BITS, TABLES << SLOT_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << SLOT_BITS, np.uint8)
+        held = np.zeros(size, np.uint8)
         for batch in batches:
             for piece in common.pieces(batch):
                 pieces = Pieces(piece.column("text"))
                 if len(pieces.codes):
-                    found, times = np.unique(_slot(keys_of(pieces, _word_keys(pieces, _languages(piece.column("lang"))[2]))), return_counts=True)
-                    held[found] = np.minimum(held[found] + times, 255)
-        for k in range(0, 1 << SLOT_BITS, width):
+                    for slot in _slots(keys_of(pieces, _word_keys(pieces, _languages(piece.column("lang"))[2]))):
+                        found, times = np.unique(slot, return_counts=True)
+                        held[found] = np.minimum(held[found] + times, 255)
+        for k in range(0, size, width):
             part = held[k : k + width]
             if part.any():
                 yield pa.RecordBatch.from_pydict({"part": pa.array([k // width], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
@@ -171,7 +181,7 @@ def frequent_slots(texts: DataFrame, keys_of, at_least: int = AT_LEAST) -> np.nd
         yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "bits": pa.array([np.packbits(held >= level).tobytes()], pa.binary())})
 
     parts = texts.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, bits binary")
-    bits = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for row in parts.collect():
         bits[row.part * (width // 8) : (row.part + 1) * (width // 8)] = np.frombuffer(bytes(row.bits), np.uint8)
     return bits
@@ -268,7 +278,7 @@ def _parts(tables):
 
 
 def _combined(run):
-    """The same rows with those of equal phrases added up, HELD_ROWS at a time, before they leave the task."""
+    """The same rows with those of equal phrases added up before they leave the task, as long as there is room for them."""
 
     def combine(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
         added = pa.Table.from_batches(held).group_by(["lang", "kind", "phrase"], use_threads=False).aggregate([("times", "sum")])
@@ -281,8 +291,11 @@ def _combined(run):
             held.append(rows)
             count += rows.num_rows
             if count >= HELD_ROWS:
-                yield from combine(held)
-                held, count = [], 0
+                held = combine(held)
+                count = sum(x.num_rows for x in held)
+                if count > HELD_ROWS // 2:
+                    yield from held
+                    held, count = [], 0
         if held:
             yield from combine(held)
 
@@ -294,6 +307,16 @@ def _rows(names: pa.Array, lang: np.ndarray, kind: int, phrases: pa.Array, times
     return pa.RecordBatch.from_arrays(columns, names=["lang", "kind", "phrase", "times"])
 
 
+def graph_rows(docs: DataFrame, at_least: int = AT_LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, kind, phrase, times: paths, stops, words that may be frequent, and numbers of words, added up in each task."""
+    context = docs.sparkSession.sparkContext
+    texts = common.small_batches(docs).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANGUAGE)).alias("lang"))
+    texts = texts.coalesce(context.defaultParallelism)
+    short = frequent_slots(texts, _short_phrases, at_least)
+    long = frequent_slots(texts, lambda pieces, keys: _long_phrases(pieces, keys, short), at_least)
+    return texts.mapInArrow(_combined(_parts(context.broadcast((short, long)))), PARTS)
+
+
 def _added(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.sum("times").alias("times"))
 
@@ -353,11 +376,7 @@ def collocations(docs: DataFrame, at_least: int = AT_LEAST, most: int = MOST_FRE
     occur `at_least` times has no rows, nor has an empty table. Other columns are not read. `at_least` above 255 keeps
     more pairs than needed, which costs work only.
     """
-    texts = common.small_batches(docs).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANGUAGE)).alias("lang"))
-    short = frequent_slots(texts, _short_phrases, at_least)
-    long = frequent_slots(texts, lambda pieces, keys: _long_phrases(pieces, keys, short), at_least)
-    tables = docs.sparkSession.sparkContext.broadcast((short, long))
-    parts = common.stored(texts.mapInArrow(_combined(_parts(tables)), PARTS), "paths")
+    parts = common.stored(graph_rows(docs, at_least, text_col, lang_col), "paths")
     found = common.stored(counts(parts, at_least), "phrases")
     totals = common.stored(parts.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("times").alias("n")).where("n > 0"), "totals")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from deltascope.llm import collocations
@@ -107,3 +108,32 @@ def test_paths_hold_every_edge_once():
             have[tuple(codes[k : k + 5].tolist())] += int(weight)
     assert have == want
     assert len(graph.paths()[0]) < len(want) / 2
+
+
+def test_a_shared_slot_makes_no_phrase_frequent(spark):
+    """A key that shares its slot in one table with a frequent one has another in the next."""
+    key = np.uint64(0x123456789ABCDEF0)
+    frame = spark.createDataFrame([("a a a", "en")] * 40, "text string, lang string")
+    bits = collocations.frequent_slots(frame, lambda pieces, keys: np.full(len(keys), key), 100)
+    near = np.array([key, key ^ np.uint64(1 << 30), key ^ np.uint64(1 << 60)], np.uint64)
+    assert collocations._set(bits, near).tolist() == [True, False, False]
+
+
+def test_a_task_hands_on_a_phrase_once():
+    """However many rows are added up, as long as few are left of them."""
+    names = pa.array(["en", "de"])
+    some = np.random.default_rng(9)
+    rows = [collocations._rows(names, some.integers(0, 2, 200_000), 0, pa.array([f"p{k}" for k in some.integers(0, 50, 200_000)]), np.ones(200_000)) for _ in range(12)]
+    out = pa.Table.from_batches(collocations._combined(lambda batches: batches)(iter(rows)))
+    assert out.num_rows == 100 and sum(out.column("times").to_pylist()) == 12 * 200_000
+
+
+def test_rows_do_not_grow_with_tasks(spark):
+    """The same texts in more partitions make no more rows, and the same result."""
+    rows = sentences(6, 5, 400)
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    most = spark.sparkContext.defaultParallelism
+    parts = collocations.graph_rows(frame.repartition(10 * most), 4)
+    assert parts.count() <= most * parts.select("lang", "kind", "phrase").distinct().count()
+    assert parts.rdd.getNumPartitions() <= most
+    assert found(frame.repartition(10 * most), 4, 2000) == brute(rows, 4, 2000)
