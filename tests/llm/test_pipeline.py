@@ -31,7 +31,7 @@ def test_query_matches_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "labels"):
+    for table in ("documents", "embeddings", "labels", "conversations"):
         connection.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     frame = queries.QUERIES[name](spark, FOLDER)
     want = connection.sql(queries.ORACLES[name])
@@ -41,6 +41,6 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in queries.QUERIES if n != "pipeline"} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES if n != "pipeline"} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in queries.QUERIES and set(queries.ORACLES) <= set(queries.QUERIES)
     assert (byte_cnn.THRESHOLD, minhash.SIMILARITY, minhash.SHINGLE, packing.WINDOW, quality_rules.LEAST_WORDS) == (0.3, 0.8, 5, 1024, 10)
