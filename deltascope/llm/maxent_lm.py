@@ -41,14 +41,14 @@ ROUNDS, RATE = 2, 0.15
 BATCH = 32768
 #: Places or weight rows that are worked on at a time, so that their numbers stay in a core's cache from step to step.
 STEP = 2048
-#: Gradients of one row that are added together with those of other rows; what is beyond is added row by row.
-FEW = 16
+#: Gradients of rows that occur at most so often are added together with those of other rows; rows that occur more often are added up one by one.
+FEW = 64
 #: Of the types that occur once in training, one in so many stands for the unknown type there, in the head or not.
 PRETEND = 4
 #: Types that stand for the unknown one, at most; when there would be more, fewer stand for it and each counts for several.
 STAND_INS = 1 << 20
-#: Sums of weights up to this size are taken to the power of e as they are; softmaxes need not be shifted for them.
-LARGE = 40
+#: Softmaxes need not be shifted while what they divide by lies between this and its inverse.
+SMALLEST = np.float32(1e-16)
 PIECES = 48
 #: Token types that a task holds while it counts.
 HELD_TYPES = 500_000
@@ -98,8 +98,9 @@ def count_tokens(texts: DataFrame) -> DataFrame:
                 key, ending, at, _ = tokens(piece.column("text"))
                 n = np.bincount(at, minlength=len(key))
                 held.append((key[n > 0], ending[n > 0], n[n > 0]))
-            if len(held) > 1:
-                held = [added()]
+                # Added up when there are about twice as many as the last time: few tokens are put in order again and again.
+                if sum(len(x[0]) for x in held[1:]) > max(len(held[0][0]), HELD_TYPES // 8):
+                    held = [added()]
             if held and len(held[0][0]) > HELD_TYPES:
                 yield rows()
                 held = []
@@ -110,6 +111,14 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return parts.groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("n").alias("c"))
 
 
+def _found(ascending: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash in an ascending list that is not empty, and whether it is there. Looked up in order, near ones share what is in cache."""
+    order = np.argsort(hashes)
+    at = np.empty(len(hashes), np.intp)
+    at[order] = np.minimum(np.searchsorted(ascending, hashes[order]), len(ascending) - 1)
+    return at, ascending[at] == hashes
+
+
 @dataclass
 class Vocabulary:
     hashes: np.ndarray  # of the head, ascending
@@ -127,8 +136,7 @@ class Vocabulary:
         """Cell of each type, whether it is in the head, and its count if it is."""
         if not len(self.hashes):
             return self.shared[endings], np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        inside = self.hashes[at] == hashes
+        at, inside = _found(self.hashes, hashes)
         return np.where(inside, self.cells[at], self.shared[endings]), inside, np.where(inside, self.counts[at], 0)
 
 
@@ -216,70 +224,79 @@ def features(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         previous[at - start < back] = _START
         before.append(previous)
     one, two, three = before
-    raw = [one, two + np.uint64(1 << 12), words.mix(one + _M1) + two, three + np.uint64(1 << 13)]
-    return words.mix(np.stack(raw) * _M2 + np.uint64(1))
+    out = np.empty((FEATURES, len(hashes)), np.uint64)
+    for row, raw in zip(out, (one, two + np.uint64(1 << 12), words.mix(one + _M1) + two, three + np.uint64(1 << 13))):
+        row[:] = words.mix(raw * _M2 + np.uint64(1))
+    return out
+
 
+def _exp(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """e to the power of each row in `out`, and the rows' sums.
 
-def _shifted(x: np.ndarray) -> np.ndarray:
-    """Softmaxes don't change when a number is taken from all of a row; that is done only when some are large."""
-    if max(x.max(initial=0), -x.min(initial=0)) > LARGE:
+    Softmaxes don't change when a number is taken from all of a row; that is done, in `x`, only when some are large.
+    """
+    ones = np.ones(x.shape[1], x.dtype)
+    with np.errstate(over="ignore"):
+        sums = np.exp(x, out=out) @ ones
+    if len(sums) and not (sums.min() > SMALLEST and sums.max() < 1 / SMALLEST):
         x -= x.max(axis=1, keepdims=True)
-    return x
+        sums = np.exp(x, out=out) @ ones
+    return sums
 
 
-def _row_sums(x: np.ndarray) -> np.ndarray:
-    return x @ np.ones(x.shape[1], x.dtype)
+def _softmax(x: np.ndarray, buffer: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
+    """Softmax of each row of `x`, which may be shifted."""
+    buffer = np.empty_like(x) if buffer is None else buffer
+    sums = _exp(x, buffer)
+    return np.multiply(buffer, (1 / sums)[:, None], out=out)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    np.exp(_shifted(x), out=x)
-    x *= (1 / _row_sums(x))[:, None]
-    return x
+def _rows(w: Weights, hashed: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class rows and slot rows of each feature; the numbers of rows are powers of two."""
+    first = hashed & np.uint64(len(w.class_rows) - 1)
+    second = words.mix(hashed + classes.astype(np.uint64) * _M1) & np.uint64(len(w.slot_rows) - 1)
+    return first.astype(np.intp), second.astype(np.intp)
 
 
-def _rows(w: Weights, hashed: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class rows and slot rows of each feature."""
-    first = (hashed % np.uint64(len(w.class_rows))).astype(np.intp)
-    second = (words.mix(hashed + classes.astype(np.uint64) * _M1) % np.uint64(len(w.slot_rows))).astype(np.intp)
-    return first, second
+def _room(places: int, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Room for the sums of some places and for numbers made of them."""
+    return tuple(np.empty((places, side), np.float32) for _ in range(2))
 
 
-def _added(rows: np.ndarray, places: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
-    """Sum over all features of the weight rows at their places, in `total` if it is given."""
-    total = rows.take(places[0], axis=0, out=total, mode="clip")
-    buffer = np.empty_like(total)
+def _added(rows: np.ndarray, places: np.ndarray, room: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum over all features of the weight rows at their places, and a buffer of that size."""
+    total, buffer = (x[: places.shape[1]] for x in room)
+    rows.take(places[0], axis=0, out=total, mode="clip")
     for k in range(1, FEATURES):
         total += rows.take(places[k], axis=0, out=buffer, mode="clip")
-    return total
+    return total, buffer
 
 
-def _class_sums(w: Weights, first: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
-    x = _added(w.class_rows, first, x)
+def _class_sums(w: Weights, first: np.ndarray, room: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    x, buffer = _added(w.class_rows, first, room)
     x += w.class_bias[0]
-    return x
+    return x, buffer
 
 
-def _slot_sums(w: Weights, second: np.ndarray, classes: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
-    y = _added(w.slot_rows, second, y)
-    y += w.slot_bias.take(classes, axis=0)
-    return y
+def _slot_sums(w: Weights, second: np.ndarray, classes: np.ndarray, room: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    y, buffer = _added(w.slot_rows, second, room)
+    y += w.slot_bias.take(classes, axis=0, out=buffer, mode="clip")
+    return y, buffer
 
 
 def _forward(w: Weights, first: np.ndarray, second: np.ndarray, classes: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
     """Probabilities of all classes in `p`, and of all slots of the given classes in `q`."""
+    room = _room(min(STEP, len(classes)), p.shape[1])
     for i in range(0, len(classes), STEP):
         here = slice(i, i + STEP)
-        _softmax(_class_sums(w, first[:, here], p[here]))
-        _softmax(_slot_sums(w, second[:, here], classes[here], q[here]))
+        _softmax(*_class_sums(w, first[:, here], room), out=p[here])
+        _softmax(*_slot_sums(w, second[:, here], classes[here], room), out=q[here])
 
 
-def _log_softmax_at(x: np.ndarray, *chosen: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """Natural logarithm of the softmax at the rows and columns of each of `chosen`; `x` is used up."""
-    _shifted(x)
-    picked = [x[rows, columns].astype(np.float64) for rows, columns in chosen]
-    np.exp(x, out=x)
-    logs = np.log(_row_sums(x).astype(np.float64))
-    return [value - logs[rows] for value, (rows, _) in zip(picked, chosen)]
+def _log_softmax_at(x: np.ndarray, *chosen: tuple[np.ndarray, np.ndarray], buffer: np.ndarray | None = None) -> list[np.ndarray]:
+    """Natural logarithm of the softmax at the rows and columns of each of `chosen`; `x` may be shifted."""
+    logs = np.log(_exp(x, np.empty_like(x) if buffer is None else buffer).astype(np.float64))
+    return [x[rows, columns] - logs[rows] for rows, columns in chosen]
 
 
 def log_probabilities(w: Weights, hashed: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -291,7 +308,7 @@ def log_probabilities_of_two(w: Weights, hashed: np.ndarray, cells: np.ndarray,
     """log10 of the probability of each cell, given the features at its place; and that of `cell` at each of `places`, which ascend."""
     out, others = np.empty(len(cells)), np.empty(len(places))
     side = w.slot_bias.shape[1]
-    room = np.empty((min(step, len(cells)), side), np.float32)
+    room = _room(min(step, len(cells)), side)
     for i in range(0, len(cells), step):
         batch = hashed[:, i : i + step]
         classes, slots = np.divmod(cells[i : i + step], side)
@@ -301,39 +318,53 @@ def log_probabilities_of_two(w: Weights, hashed: np.ndarray, cells: np.ndarray,
         since, until = np.searchsorted(places, [i, i + step])
         here = places[since:until] - i
         other = np.full(len(here), cell // side)
-        p, r = _log_softmax_at(_class_sums(w, first, room[: len(at)]), (at, classes), (here, other))
-        out[i : i + step] = p + _log_softmax_at(_slot_sums(w, second, classes, room[: len(at)]), (at, slots))[0]
-        slot_sums = _slot_sums(w, _rows(w, batch[:, here], other)[1], other)
-        others[since:until] = r + _log_softmax_at(slot_sums, (np.arange(len(here)), np.full(len(here), cell % side)))[0]
+        x, buffer = _class_sums(w, first, room)
+        p, r = _log_softmax_at(x, (at, classes), (here, other), buffer=buffer)
+        x, buffer = _slot_sums(w, second, classes, room)
+        out[i : i + step] = p + _log_softmax_at(x, (at, slots), buffer=buffer)[0]
+        x, buffer = _slot_sums(w, _rows(w, batch[:, here], other)[1], other, room)
+        others[since:until] = r + _log_softmax_at(x, (np.arange(len(here)), np.full(len(here), cell % side)), buffer=buffer)[0]
     return out / np.log(10), others / np.log(10)
 
 
 def sums_of_rows(rows: np.ndarray, gradient: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sum of the gradients of each distinct row, the rows, and how often each occurs, STEP rows at a time.
+    """Sum of the gradients of each distinct row, the rows, and how often each occurs, at most STEP rows at a time.
 
     `rows` holds the gradients' rows once or several times over. Sums stay as they are until the next ones are asked for.
     """
     # Rows and their places as one number: plain numbers sort much faster than an order of numbers is found.
-    bits = len(rows).bit_length()
-    keys = (rows.astype(np.int64) << bits) | np.arange(len(rows))
+    bits = len(gradient).bit_length()
+    keys = ((rows.reshape(-1, len(gradient)).astype(np.int64) << bits) | np.arange(len(gradient))).ravel()
     keys.sort()
-    place, ordered = (keys & ((1 << bits) - 1)) % len(gradient), keys >> bits
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    times = np.diff(np.append(first, len(rows)))
-    # The rows by how often they occur: the first, second, ... gradients of all that have one are added at once.
+    places = keys & ((1 << bits) - 1)
+    keys >>= bits
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    times = np.diff(np.append(first, len(keys)))
+    space, buffer = (np.empty((min(STEP, len(keys)), gradient.shape[1]), gradient.dtype) for _ in range(2))
+    # Rows that occur often: their gradients lie together in the order of rows, and a product with ones adds them.
+    ones = np.ones(len(buffer), gradient.dtype)
+    many = np.flatnonzero(times > FEW)
+    for i in range(0, len(many), STEP):
+        runs = many[i : i + STEP]
+        total = space[: len(runs)]
+        total[:] = 0
+        for one, since, until in zip(total, first[runs], first[runs] + times[runs]):
+            for j in range(since, until, STEP):
+                here = places[j : min(j + STEP, until)]
+                one += ones[: len(here)] @ gradient.take(here, axis=0, out=buffer[: len(here)], mode="clip")
+        yield total, keys[first[runs]], times[runs]
+    # The others by how often they occur: the first, second, ... gradients of all that have one are added at once.
     fewer = (FEW + 1 - np.minimum(times, FEW + 1)).astype(np.uint8)  # bytes are put in order in one pass
-    by_times = np.argsort(fewer, kind="stable")
+    by_times = np.argsort(fewer, kind="stable")[len(many) :]
     first, times, fewer = first[by_times], times[by_times], fewer[by_times]
-    space, buffer = (np.empty((min(STEP, len(first)), gradient.shape[1]), gradient.dtype) for _ in range(2))
     for i in range(0, len(first), STEP):
-        since, often, below = first[i : i + STEP], times[i : i + STEP], fewer[i : i + STEP]
-        total = gradient.take(place[since], axis=0, out=space[: len(since)], mode="clip")
-        for k in range(1, min(FEW, often[0])):
-            more = np.searchsorted(below, np.uint8(FEW + 1 - k))  # so many occur more than k times
-            total[:more] += gradient.take(place[since[:more] + k], axis=0, out=buffer[:more], mode="clip")
-        for at in range(np.searchsorted(below, np.uint8(1))):
-            total[at] += gradient.take(place[since[at] + FEW : since[at] + often[at]], axis=0).sum(axis=0)
-        yield total, ordered[since], often
+        since, often = first[i : i + STEP], times[i : i + STEP]
+        # How many occur more than 1, 2, ... times.
+        more = np.searchsorted(fewer[i : i + STEP], np.arange(FEW, FEW + 1 - often[0], -1).astype(np.uint8))
+        total = gradient.take(places[since], axis=0, out=space[: len(since)], mode="clip")
+        for k, n in enumerate(more, 1):
+            total[:n] += gradient.take(places[since[:n] + k], axis=0, out=buffer[:n], mode="clip")
+        yield total, keys[since], often
 
 
 def sums_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -360,13 +391,13 @@ class Learner:
     def _move(self, part: int, rows: np.ndarray, total: np.ndarray, times: np.ndarray) -> None:
         """Moves the rows against their gradients, which are used up."""
         sums, weights = self.sums[part], self.weights.parts()[part]
-        sums[rows] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+        sums[rows] = moved = sums[rows] + np.einsum("ij,ij->i", total, total) / total.shape[1]
         self.seen[part][rows] += times
-        total *= (self.rate / np.sqrt(sums[rows]))[:, None]
+        total *= (self.rate / np.sqrt(moved))[:, None]
         np.subtract(weights.take(rows, axis=0, out=self.spare[part][: len(rows)], mode="clip"), total, out=total)
         # A row as one item of many bytes is copied whole.
         row = np.dtype((np.void, total.strides[0]))
-        weights.view(row)[rows, 0] = total.view(row)[:, 0]
+        np.put(weights.view(row), rows, total.view(row), mode="clip")
 
     def learn(self, hashed: np.ndarray, cells: np.ndarray, times: np.ndarray | None = None) -> None:
         """Follows the gradients of all places, each counted once or as often as `times` says."""
@@ -392,8 +423,7 @@ def training_targets(vocab: Vocabulary, hashes: np.ndarray, endings: np.ndarray)
     cells, _, _ = vocab.look_up(hashes, endings)
     if not len(vocab.stand_ins):
         return cells, np.ones(len(cells), np.float32)
-    at = np.minimum(np.searchsorted(vocab.stand_ins, hashes), len(vocab.stand_ins) - 1)
-    pretend = vocab.stand_ins[at] == hashes
+    _, pretend = _found(vocab.stand_ins, hashes)
     return np.where(pretend, vocab.unknown, cells), np.where(pretend, vocab.stands_for, 1).astype(np.float32)
 
 

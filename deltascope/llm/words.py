@@ -6,14 +6,13 @@ import pyarrow as pa
 
 from deltascope.llm.common import WORD_BREAKS, text_bytes
 
-_BREAK = np.zeros(256, bool)
-_BREAK[[ord(c) for c in WORD_BREAKS]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: The first of the breaks that follow each other, and how many they are; a space is the only other one.
+_FIRST, _MANY = np.uint8(ord("\t")), np.uint8(len(WORD_BREAKS) - 1)
 
 
 def breaks(values: np.ndarray) -> np.ndarray:
-    return _BREAK[values]
+    # Bytes below the first one wrap around to large numbers.
+    return (values == np.uint8(ord(" "))) | (values - _FIRST < _MANY)
 
 
 def split(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -23,7 +22,7 @@ def split(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array,
     """
     values, offsets = text_bytes(column)
     if lower:
-        values = _LOWER[values]
+        values = values + ((values - np.uint8(ord("A")) < np.uint8(26)).view(np.uint8) << np.uint8(5))
     gap = breaks(values)
     first = ~gap  # a word begins where the byte before is a break or belongs to another text
     first[1:] &= gap[:-1]
@@ -31,9 +30,13 @@ def split(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array,
     first[heads] = ~gap[heads]
     starts = np.flatnonzero(first)
     places = np.searchsorted(starts, offsets)
-    kept = np.flatnonzero(~gap)
-    bounds = np.append(np.searchsorted(kept, starts), len(kept)).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(values[kept]))
+    last = ~gap  # and ends where the byte after is a break or belongs to another text
+    last[:-1] &= gap[1:]
+    tails = offsets[1:][np.diff(offsets) > 0] - 1
+    last[tails] = ~gap[tails]
+    bounds = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.flatnonzero(last) + 1 - starts, out=bounds[1:])
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(values[~gap]))
     coded = words.dictionary_encode()
     return coded.indices.to_numpy(), coded.dictionary, places
 

@@ -1,6 +1,8 @@
 """The language model: counts and base against brute force, probabilities that add up, gradients, learning."""
 import math
 import random
+import re
+import sys
 import tracemalloc
 from collections import Counter
 
@@ -8,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from deltascope.llm import maxent_lm
+from deltascope.llm import maxent_lm, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -210,3 +212,36 @@ def test_learning_takes_little_room():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 2 * maxent_lm.BATCH * side * 4
+
+
+def test_rows_that_occur_some_dozens_of_times_are_added_up_together():
+    """The number of calls follows how often rows occur, not how many rows there are."""
+    some = np.random.default_rng(13)
+    gradient, rows = some.normal(size=(30_000, 8)).astype(np.float32), some.permutation(np.arange(120_000) % 3000)
+    calls = 0
+
+    def count(frame, event, argument):
+        nonlocal calls
+        calls += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        for _ in maxent_lm.sums_of_rows(rows, gradient):
+            pass
+    finally:
+        sys.setprofile(None)
+    assert calls < 1000
+    total, row, times = maxent_lm.sums_by_row(rows, gradient)
+    want = np.zeros((3000, 8))
+    np.add.at(want, rows, np.tile(gradient, (4, 1)))
+    assert (np.sort(row) == np.arange(3000)).all() and (times == 40).all() and np.allclose(total, want[row], atol=1e-3)
+
+
+def test_words_of_odd_texts():
+    some = random.Random(14)
+    texts = ["", "".join(some.choices(" \t\n\x0b\x0c\r\x08\x0e\x1f@AZ[az`{\x00\u00c9\u00a0\u4e2d", k=2000)), " ", "B", "", "\t", "a\nZ ", " q"]
+    for column in (pa.array(texts), pa.array(texts).slice(2)):
+        for lower in (False, True):
+            codes, distinct, places = words.split(column, lower)
+            want = [re.findall("[^\x20\x09-\x0D]+", t.translate(LOWER) if lower else t) for t in column.to_pylist()]
+            assert [[distinct[k].as_py() for k in codes[a:b]] for a, b in zip(places, places[1:])] == want
