@@ -41,14 +41,16 @@ ROUNDS, RATE = 2, 0.15
 BATCH = 32768
 #: Places or weight rows that are worked on at a time, so that their numbers stay in a core's cache from step to step.
 STEP = 2048
-#: Gradients of rows that occur at most so often are added together with those of other rows; rows that occur more often are added up one by one.
-FEW = 64
+#: Gradients of one row that are added before the others, which have a sum of their own.
+FEW = 16
+#: Rows that occur at most so often are added up together, others one by one.
+OFTEN = 64
 #: Of the types that occur once in training, one in so many stands for the unknown type there, in the head or not.
 PRETEND = 4
 #: Types that stand for the unknown one, at most; when there would be more, fewer stand for it and each counts for several.
 STAND_INS = 1 << 20
-#: Softmaxes need not be shifted while what they divide by lies between this and its inverse.
-SMALLEST = np.float32(1e-16)
+#: Sums of weights up to this size are taken to the power of e as they are; softmaxes need not be shifted for them.
+LARGE = 40
 PIECES = 48
 #: Token types that a task holds while it counts.
 HELD_TYPES = 500_000
@@ -235,13 +237,9 @@ def _exp(x: np.ndarray, out: np.ndarray) -> np.ndarray:
 
     Softmaxes don't change when a number is taken from all of a row; that is done, in `x`, only when some are large.
     """
-    ones = np.ones(x.shape[1], x.dtype)
-    with np.errstate(over="ignore"):
-        sums = np.exp(x, out=out) @ ones
-    if len(sums) and not (sums.min() > SMALLEST and sums.max() < 1 / SMALLEST):
+    if max(x.max(initial=0), -x.min(initial=0)) > LARGE:
         x -= x.max(axis=1, keepdims=True)
-        sums = np.exp(x, out=out) @ ones
-    return sums
+    return np.exp(x, out=out) @ np.ones(x.shape[1], x.dtype)
 
 
 def _softmax(x: np.ndarray, buffer: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
@@ -333,38 +331,49 @@ def sums_of_rows(rows: np.ndarray, gradient: np.ndarray) -> Iterator[tuple[np.nd
     `rows` holds the gradients' rows once or several times over. Sums stay as they are until the next ones are asked for.
     """
     # Rows and their places as one number: plain numbers sort much faster than an order of numbers is found.
-    bits = len(gradient).bit_length()
-    keys = ((rows.reshape(-1, len(gradient)).astype(np.int64) << bits) | np.arange(len(gradient))).ravel()
+    bits = len(rows).bit_length()
+    keys = (rows.astype(np.int64) << bits) | np.arange(len(rows))
     keys.sort()
-    places = keys & ((1 << bits) - 1)
+    places = (keys & ((1 << bits) - 1)) % len(gradient)
     keys >>= bits
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     times = np.diff(np.append(first, len(keys)))
     space, buffer = (np.empty((min(STEP, len(keys)), gradient.shape[1]), gradient.dtype) for _ in range(2))
-    # Rows that occur often: their gradients lie together in the order of rows, and a product with ones adds them.
-    ones = np.ones(len(buffer), gradient.dtype)
-    many = np.flatnonzero(times > FEW)
+
+    def added(since: int, until: int) -> np.ndarray:
+        """Sum of the gradients at places that follow each other in the order of rows."""
+        here = places[since : min(since + len(buffer), until)]
+        total = np.add.reduce(gradient.take(here, axis=0, out=buffer[: len(here)], mode="clip"), axis=0)
+        for j in range(since + len(buffer), until, len(buffer) - 1):
+            here = places[j : min(j + len(buffer) - 1, until)]
+            buffer[0] = total
+            gradient.take(here, axis=0, out=buffer[1 : len(here) + 1], mode="clip")
+            np.add.reduce(buffer[: len(here) + 1], axis=0, out=total)
+        return total
+
+    # Rows that occur often one by one. The sum of the first FEW gradients and that of the others are added.
+    many = np.flatnonzero(times > OFTEN)
     for i in range(0, len(many), STEP):
         runs = many[i : i + STEP]
-        total = space[: len(runs)]
-        total[:] = 0
-        for one, since, until in zip(total, first[runs], first[runs] + times[runs]):
-            for j in range(since, until, STEP):
-                here = places[j : min(j + STEP, until)]
-                one += ones[: len(here)] @ gradient.take(here, axis=0, out=buffer[: len(here)], mode="clip")
-        yield total, keys[first[runs]], times[runs]
+        for one, since, often in zip(space, first[runs], times[runs]):
+            np.add(added(since, since + FEW), added(since + FEW, since + often), out=one)
+        yield space[: len(runs)], keys[first[runs]], times[runs]
     # The others by how often they occur: the first, second, ... gradients of all that have one are added at once.
-    fewer = (FEW + 1 - np.minimum(times, FEW + 1)).astype(np.uint8)  # bytes are put in order in one pass
+    fewer = (OFTEN + 1 - np.minimum(times, OFTEN + 1)).astype(np.uint8)  # bytes are put in order in one pass
     by_times = np.argsort(fewer, kind="stable")[len(many) :]
     first, times, fewer = first[by_times], times[by_times], fewer[by_times]
     for i in range(0, len(first), STEP):
         since, often = first[i : i + STEP], times[i : i + STEP]
-        # How many occur more than 1, 2, ... times.
-        more = np.searchsorted(fewer[i : i + STEP], np.arange(FEW, FEW + 1 - often[0], -1).astype(np.uint8))
-        total = gradient.take(places[since], axis=0, out=space[: len(since)], mode="clip")
-        for k, n in enumerate(more, 1):
-            total[:n] += gradient.take(places[since[:n] + k], axis=0, out=buffer[:n], mode="clip")
-        yield total, keys[since], often
+        # How many occur more than 0, 1, 2, ... times.
+        more = np.searchsorted(fewer[i : i + STEP], np.arange(OFTEN + 1, OFTEN + 1 - often[0], -1).astype(np.uint8))
+        for start in range(0, often[0], FEW) if often[0] <= FEW else (0, FEW):
+            part = space[: len(since)] if not start else np.empty((more[FEW], gradient.shape[1]), gradient.dtype)
+            gradient.take(places[since[: len(part)] + start], axis=0, out=part, mode="clip")
+            for k in range(start + 1, often[0] if start else min(FEW, often[0])):
+                part[: more[k]] += gradient.take(places[since[: more[k]] + k], axis=0, out=buffer[: more[k]], mode="clip")
+            if start:
+                space[: len(part)] += part
+        yield space[: len(since)], keys[since], often
 
 
 def sums_by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
