@@ -234,7 +234,7 @@ def provisional_label(sensitive: Column, hosts: Column, connectable: Column, bac
 def provisional_labels(summary: DataFrame, background_is_risky: bool = False) -> DataFrame:
     """Provisional label and confidence of drift summaries."""
     label = provisional_label(
-        C("added_sensitive_permission_count") > 0, F.size("added_hosts") > 0, C("externally_connectable_changed"),
+        C("added_sensitive_permission_count") > 0, C("added_host_count") > 0, C("externally_connectable_changed"),
         C("background_added"), background_is_risky,
     )
     return summary.select("pair_id", label.alias("label")).withColumn(
